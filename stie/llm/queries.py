@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stie.llm.decontaminate import op5_decontaminate
+from stie.llm.language_id import op3_language_id
 from stie.llm.line_dedup import OP7_SQL, op7_line_dedup
 from stie.llm.mixing import OP8_SQL, op8_mix
+from stie.llm.quality import op6_quality
 from stie.llm.substring_dedup import op1_substring_dedup
 from stie.llm.suffix_dedup import op4_suffix_array_dedup
+from stie.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix": op8_mix,
 }
