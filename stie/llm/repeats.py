@@ -42,6 +42,7 @@ from stie.llm.suffix import suffix_arrays
 U64 = np.uint64
 HOT = 2048
 LONGEST_RUN = 128
+BATCH_BITS = 20  # symbols that are sorted together: many texts share each step, and few MB are at work
 FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("row", np.uint32), ("start", np.uint32), ("count", np.uint32), ("size", np.uint32))
 
 
@@ -214,8 +215,10 @@ def first_by_suffixes(buf: np.ndarray, offsets: np.ndarray, group: np.ndarray, d
     first, many = K.runs(group)
     text_size = np.add.reduceat(size + 1, first) + 1 if len(first) else first
     by_size = np.argsort(text_size, kind="stable")
-    batch = np.cumsum(text_size[by_size]) >> 20
-    for s, m in zip(*K.runs(batch), strict=True):
+    by_size = by_size[many[by_size] > 1]  # of a single context, nothing can stand in another document
+    batch = np.cumsum(text_size[by_size]) >> BATCH_BITS
+    alike = np.log2(np.maximum(text_size[by_size], 1)).astype(np.int64)  # texts of a batch take about as many steps
+    for s, m in zip(*K.runs(batch, alike), strict=True):
         texts = by_size[s : s + m]
         chosen = K.spans_of(first[texts], many[texts])
         # 0, first context, 0, second context, 0, ..., 0 for every text

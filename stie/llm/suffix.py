@@ -13,7 +13,8 @@ The construction has two phases and no recursion:
    previous-smaller pointers) each take the next free place of their group.
 
 Texts are independent, so each step takes the current group of every text together: the
-array operations are shared, the order within a text is the one above.
+array operations are shared, the order within a text is the one above. For a few large texts
+that saves nothing, and the same steps run on plain lists.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import numpy as np
 
 from stie.llm.kernels import runs, spans_of
 
+FEW = 100
+
 
 def suffix_arrays(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The suffix array of every text symbols[first[t]:first[t + 1]], one after the other.
@@ -32,18 +35,23 @@ def suffix_arrays(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """
     n, texts = len(symbols), len(first) - 1
     if not n:
-        return np.zeros(0, dtype=np.int64)
-    text = np.repeat(np.arange(texts), np.diff(first))
-    order = np.argsort(text * 512 + symbols, kind="stable")
+        return np.zeros(0, dtype=np.int32)
+    if texts < FEW:
+        return np.concatenate([np.array(suffix_array(symbols[a:b].tolist())) + a for a, b in zip(first[:-1], first[1:], strict=True)])
+    first = np.asarray(first, dtype=np.int32)
+    text = np.repeat(np.arange(texts, dtype=np.int32), np.diff(first))
+    order = np.argsort(symbols.astype(np.uint16), kind="stable").astype(np.int32)
+    narrow = text.astype(np.uint16) if texts < 1 << 16 else text
+    order = order[np.argsort(narrow[order], kind="stable")]
     start, size_of = runs(text[order], symbols[order])
-    group = np.empty(n, dtype=np.int64)
+    group = np.empty(n, dtype=np.int32)
     group[order] = np.repeat(start, size_of)
-    size = np.zeros(n, dtype=np.int64)
+    size = np.zeros(n, dtype=np.int32)
     size[start] = size_of
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     low = group[first[:-1]]  # the strings' cuts: never above any symbol, so nothing is appended to them
-    previous = np.full(n, -1, dtype=np.int64)
+    previous = np.full(n, -1, dtype=np.int32)
     _grouping(first, text, order, place, group, size, low, previous)
     return _emission(first, group, previous)
 
@@ -100,8 +108,8 @@ def _grouping(first, text, order, place, group, size, low, previous) -> None:
 
 def _emission(first, group, previous) -> np.ndarray:
     n = len(group)
-    out = np.full(n, -1, dtype=np.int64)
-    free = np.arange(n)
+    out = np.full(n, -1, dtype=np.int32)
+    free = np.arange(n, dtype=np.int32)
     done = np.zeros(n, dtype=bool)
     sizes = np.diff(first)
     live = np.argsort(-sizes, kind="stable")
@@ -131,3 +139,58 @@ def _emission(first, group, previous) -> np.ndarray:
             return out
         j = out[first[:-1][live[:keep]] + step]
         step += 1
+
+
+def suffix_array(symbols: list[int]) -> list[int]:
+    """suffix_arrays() of one text, on lists."""
+    n = len(symbols)
+    order = sorted(range(n), key=symbols.__getitem__)
+    place, group, size, previous = [0] * n, [0] * n, [0] * n, [-1] * n
+    top, last = 0, None
+    for at, s in enumerate(order):
+        if symbols[s] != last:
+            top, last = at, symbols[s]
+        place[s], group[s] = at, top
+        size[top] += 1
+    low, upto = group[0], n
+    while upto > low + size[low]:
+        top = group[order[upto - 1]]
+        times: dict[int, int] = {}
+        for s in sorted(order[top:upto]):
+            p = s - 1
+            while group[p] >= top:
+                p = previous[p]
+            previous[s] = p
+            if group[p] != low:
+                times[p] = times.get(p, 0) + 1
+        upto = top
+        by_group: dict[int, list[int]] = {}
+        for p in times:
+            by_group.setdefault(group[p], []).append(p)
+        for old, grown in by_group.items():
+            grown.sort(key=times.__getitem__, reverse=True)
+            end = old + size[old]
+            size[old] -= len(grown)
+            for k, p in enumerate(grown):
+                end -= 1
+                q, at = order[end], place[p]
+                order[at], order[end], place[q], place[p] = q, p, at, end
+                if k + 1 == len(grown) or times[grown[k + 1]] != times[p]:
+                    begin, m = end, k
+                    while m >= 0 and times[grown[m]] == times[p]:
+                        group[grown[m]] = begin
+                        m -= 1
+                    size[begin] = k - m
+    out, free, done = [-1] * n, list(range(n)), [False] * n
+    j = n
+    for at in range(n + 1):
+        s = j - 1
+        while s >= 0 and not done[s]:
+            done[s] = True
+            spot = free[group[s]]
+            free[group[s]] = spot + 1
+            out[spot] = s
+            s = previous[s]
+        if at < n:
+            j = out[at]
+    return out

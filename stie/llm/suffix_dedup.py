@@ -14,7 +14,7 @@ from stie.llm.common import table
 from stie.llm.repeats import first_by_suffixes, remove_repeats
 
 
-def suffix_dedup(documents: DataFrame, window: int = 50, seed: int = 16, texts: bool = False, **options) -> DataFrame:
+def suffix_dedup(documents: DataFrame, window: int = 50, seed: int = 24, texts: bool = False, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if `texts`, kept_text (bytes that no longer form UTF-8 are replaced there)."""
     return remove_repeats(documents, "byte", seed, window, first_by_suffixes, texts, **options)
 
