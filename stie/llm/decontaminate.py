@@ -129,9 +129,6 @@ def overlaps(values: np.ndarray, begins: np.ndarray, block: Block, overlap: int,
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, overlap: int = 20, identity: float = 0.8, shortest: int = 11, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, first_token, n_tokens (compared), n_equal of every contaminated pair."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
-    count = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
     sent = documents.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, first_token long, n_tokens long, n_equal long"
 
@@ -148,12 +145,38 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, overlap: int = 20,
         return of_batches
 
     found = None
-    for number in range(count):
-        rows = [(r.item_id, r.text) for r in items.where(F.col("block") == number).orderBy("item_id", "text").collect()]
-        part = sent.mapInArrow(search(Block.of(rows, shortest)), schema)
+    for block in _blocks(benchmark, shortest, block_bytes):
+        part = sent.mapInArrow(search(block), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _blocks(benchmark: DataFrame, shortest: int, block_bytes: int) -> Iterator[Block]:
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    count = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    for number in range(count):
+        yield Block.of([(r.item_id, r.text) for r in items.where(F.col("block") == number).orderBy("item_id", "text").collect()], shortest)
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, overlap: int = 20, identity: float = 0.8, shortest: int = 11, block_bytes: int = 4 << 20) -> DataFrame:
+    """The documents that hold no item, with their columns; they are filtered where they lie."""
+    schema, text = documents.schema, documents.columns.index("text")
+
+    def keep(block: Block):
+        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for i, _, values, begins in tokens(batch.column(text)):
+                    clean[[i + d for d, *_ in overlaps(values, begins, block, overlap, identity)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return of_batches
+
+    for block in _blocks(benchmark, shortest, block_bytes):
+        documents = documents.mapInArrow(keep(block), schema)
+    return documents
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

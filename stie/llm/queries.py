@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stie.llm.decontaminate import op5_decontaminate
+from stie.llm.jaccard_join import op10_jaccard_join
 from stie.llm.language_id import op3_language_id
 from stie.llm.line_dedup import OP7_SQL, op7_line_dedup
 from stie.llm.mixing import OP8_SQL, op8_mix
 from stie.llm.quality import op6_quality
 from stie.llm.substring_dedup import op1_substring_dedup
 from stie.llm.suffix_dedup import op4_suffix_array_dedup
+from stie.llm.topk import OP9_SQL, op9_top_k
 from stie.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,9 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix": op8_mix,
+    "op9_top_k": op9_top_k,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op8_mix": OP8_SQL,
+    "op9_top_k": OP9_SQL,
 }
