@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from stie.plans import on_spans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**on_spans.QUERIES}
+ORACLES: dict[str, str] = {**on_spans.ORACLES}
