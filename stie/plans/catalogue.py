@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stie.plans import on_spans
+from stie.plans import on_spans, on_tracks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**on_spans.QUERIES}
-ORACLES: dict[str, str] = {**on_spans.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**on_spans.QUERIES, **on_tracks.QUERIES}
+ORACLES: dict[str, str] = {**on_spans.ORACLES, **on_tracks.ORACLES}
