@@ -40,9 +40,15 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(html, HIDDEN, "")
     text = F.regexp_replace(text, BLOCK, "\n")
     text = F.regexp_replace(text, TAG, "")
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    plain = text
+    for entity, character in ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(character))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+
+def trimmed_lines(text: Column) -> Column:
+    """The lines without spaces around them, empty ones left out."""
+    return F.coalesce(F.filter(F.split(F.trim(text), r" *\n[ \n]*"), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def text_lines(text: Column) -> Column:
@@ -64,8 +70,8 @@ def boilerplate(lines: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 
 
 def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 10, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """The columns of pages, and `site` (its host), `kept` (its lines that stay) and `n_lines`, `n_dropped`."""
-    columns = pages.columns
+    """The columns of pages, and `site` (its host), `kept` (its lines that stay) and `n_lines`, `n_dropped`, which replace any of these names."""
+    columns = [c for c in pages.columns if c not in ("site", "kept", "n_lines", "n_dropped")]
     known = boilerplate(pages.select(host.alias("host"), lines.alias("lines")), ratio, min_pages)
     known = reliable(known)
     many = known.agg(F.sum(F.size("hashes"))).first()[0] or 0
@@ -88,8 +94,7 @@ def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the text that stays, of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    lines = F.filter(F.transform(text_lines(html_text(F.col("html"))), lambda x: F.trim(x)), lambda x: x != "")
-    found = line_dedup(pages, host_of(F.col("url")), lines)
+    found = line_dedup(pages, host_of(F.col("url")), trimmed_lines(html_text(F.col("html"))))
     return found.select("page_id", F.col("site").alias("host"), "n_lines", "n_dropped", F.array_join("kept", "\n").alias("kept_text"))
 
 
