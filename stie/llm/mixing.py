@@ -62,19 +62,19 @@ def mix(documents: DataFrame, seed: str = "mix", most: int = 3) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, seed: str = "mix", most: int = 3) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with `copy` from 0."""
+    """The documents of the mix, each as often as it is taken, with `copy` from 0 in place of any column of that name."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     targets = reliable(source_targets(documents.select("source", size.alias("size")), most)).withColumnRenamed("source", "of")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + F.when(uniform(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(uniform(F.col("row.doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "copy"]).alias("row"))
     return (
-        documents.join(targets, F.col("source").eqNullSafe(F.col("of")))
+        packed.join(targets, F.col("row.source").eqNullSafe(F.col("of")))
         .withColumn("copies", copies.cast("int"))
         .where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        .select(*[F.col(f"`{c}`") for c in documents.columns], "copy")
+        .select("row.*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     )
 
 
