@@ -58,11 +58,11 @@ pr AS (SELECT event_id, clip_id, ts, gap, along FROM (SELECT p.clip_id, p.event_
   row_number() OVER (PARTITION BY p.clip_id, p.event_id, p.ts ORDER BY round(abs(v.ts - p.ts), 9), v.ts) AS nth FROM se p JOIN tracks v ON v.clip_id = p.clip_id AND v.id = p.vehicle_id AND v.kind <> 'person' AND v.ts BETWEEN p.ts - 3 AND p.ts + 3) WHERE nth = 1),
 pk AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY ts) AS a, row_number() OVER (w ORDER BY ts DESC) AS z FROM pr WINDOW w AS (PARTITION BY clip_id, event_id)),
 pm AS (SELECT clip_id, event_id, max(n) AS n, round(avg(CASE WHEN a <= least(3, n // 2) THEN gap END), 6) AS gap_first, round(avg(CASE WHEN z <= least(3, n // 2) THEN gap END), 6) AS gap_last,
-  round(avg(CASE WHEN a <= least(3, n // 2) THEN along END), 6) AS along_first, round(avg(CASE WHEN z <= least(3, n // 2) THEN along END), 6) AS along_last, min(CASE WHEN z <= 3 THEN gap END) AS gap_tail FROM pk GROUP BY ALL),
+  round(avg(CASE WHEN a <= least(3, n // 2) THEN along END), 6) AS along_first, round(avg(CASE WHEN z <= least(3, n // 2) THEN along END), 6) AS along_last, min(CASE WHEN z <= 3 THEN gap END) AS gap_tail, arg_max(along, ts) AS along_end FROM pk GROUP BY ALL),
 r0 AS (SELECT ke.*, pm.* EXCLUDE (clip_id, event_id) FROM ke LEFT JOIN pm USING (clip_id, event_id)),
 r1 AS (SELECT *, CASE WHEN type = 'door_operation' AND vehicle_last >= person_last + 0.3 AND person_last BETWEEN end_s - 0.5 AND end_s + 1.5 AND gap_tail <= 0.1 THEN 'enter' ELSE type END AS t1 FROM r0),
 r2 AS (SELECT *, CASE WHEN t1 IN ('other_interaction', 'door_operation') AND n >= 3 AND vehicle_last >= person_last + 0.3 AND person_last BETWEEN end_s - 1.5 AND end_s + 1.5 AND round(gap_first - gap_last, 6) >= 0.08 AND gap_last <= 0.1 THEN 'enter' ELSE t1 END AS t2 FROM r1),
-r3 AS (SELECT *, CASE WHEN t2 = 'enter' AND coalesce(n >= 4 AND gap_first <= 0.1 AND (round(gap_last - gap_first, 6) >= 0.08 OR (abs(round(along_last - along_first, 6)) >= 0.45 AND along_first BETWEEN 0.18 AND 0.82 AND (along_last <= 0.18 OR along_last >= 0.82))), false) THEN 'exit' ELSE t2 END AS final_type FROM r2)"""
+r3 AS (SELECT *, CASE WHEN t2 = 'enter' AND coalesce(n >= 4 AND gap_first <= 0.1 AND (round(gap_last - gap_first, 6) >= 0.08 OR (abs(round(along_end - along_first, 6)) >= 0.45 AND along_first BETWEEN 0.18 AND 0.82 AND (along_end <= 0.18 OR along_end >= 0.82))), false) THEN 'exit' ELSE t2 END AS final_type FROM r2)"""
 
 
 @query(EVIDENCE_SQL + " SELECT clip_id, event_id, type, final_type, n FROM r3")
