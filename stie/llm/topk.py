@@ -10,7 +10,8 @@ pages: a node has a routing vector, a covering radius and its distance from its
 routing vector; a leaf page holds vectors with their distances from its routing vector. Nodes are
 visited best first; a child or vector whose stored parent distance, by the triangle
 inequality, can't bring it below the k-th distance is skipped without computing anything. All
-distances only decide what is skipped, with a margin for rounding; scores are integers.
+distances only decide what is skipped, with a margin for rounding; scores are integers. The
+queries of a block share the walk, so that a page is one matrix product for those that need it.
 
 The queries are a stated set against all rows: they go through all trees in blocks of `block`.
 Each (tree, block) is one row of work; trees give their k best a query, and these are ranked in the end.
@@ -18,11 +19,13 @@ Each (tree, block) is one row of work; trees give their k best a query, and thes
 Vectors that are null or hold a null, NaN or infinity take no part, nor do rows without an id.
 Rows that repeat with id and vector count once; rows with the query's id are its own and no
 candidates. Vectors of another dimension than the query's are no candidates. A query without
-candidates returns no rows. Embeddings may have any other columns.
+candidates returns no rows. Scores must fit 64 bits; one that doesn't is an error. Embeddings may
+have any other columns.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import pickle
 from collections.abc import Iterator
@@ -40,10 +43,7 @@ FANOUT = 16
 
 
 def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; in doubles only where these hold them exactly."""
-    largest = max(np.abs(vectors).max(initial=0), np.abs(query).max(initial=0))
-    if float(largest) ** 2 * max(1, len(query)) < 2**53:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    """Integer inner products where doubles can't hold them."""
     return (vectors.astype(object) @ query.astype(object)).astype(np.int64)
 
 
@@ -57,6 +57,8 @@ class MTree:
         self.points = np.hstack([vectors.astype(np.float64), np.sqrt(np.maximum(self.square - norms, 0))[:, None]])
         self.router: list[np.ndarray] = []
         self.radius: list[float] = []
+        self.radii: list[np.ndarray] = []  # of a node's children, and their routing vectors
+        self.routers: list[np.ndarray] = []
         self.children: list[np.ndarray] = []  # nodes, or rows in a leaf
         self.far: list[np.ndarray] = []  # their distances from the routing vector
         self.leaf: list[bool] = []
@@ -72,6 +74,8 @@ class MTree:
         else:
             kids = np.array([self._load(part) for part in self._split(rows, own)])
             far = np.sqrt(((np.array([self.router[k] for k in kids]) - self.points[center]) ** 2).sum(axis=1))
+        self.radii.append(np.array([self.radius[k] for k in kids]) if len(rows) > PAGE else distance[:0])
+        self.routers.append(np.array([self.router[k] for k in kids]) if len(rows) > PAGE else own[:0])
         self.router.append(self.points[center])
         self.radius.append(float(distance.max()))
         self.children.append(kids)
@@ -94,42 +98,61 @@ class MTree:
             return np.array_split(rows, k)
         return [rows[belongs == p] for p in range(len(pivots))]
 
-    def search(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id."""
-        q = np.append(query.astype(np.float64), 0.0)
-        base = float((q**2).sum()) + self.square
-        margin = 1e-6 * (1 + np.sqrt(base))
-        best: list[tuple[int, int]] = []  # of (score, -id), the worst first
-        limit = np.inf
-        at = float(np.sqrt(((q - self.router[self.root]) ** 2).sum()))
-        heap = [(max(0.0, at - self.radius[self.root]), self.root, at)]
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, score, id of the k best of each query, ties to the smaller id.
+
+        The queries walk the tree together: the node with the least bound of any query comes
+        next, and only the queries that need it take part, with one matrix product a page.
+        """
+        q = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
+        base = (q**2).sum(axis=1) + self.square
+        margin = 1e-4 * (1 + np.sqrt(base))
+        limit = np.full(len(q), np.inf)
+        lowest = np.iinfo(np.int64).min
+        scores, names = np.full((len(q), k), lowest), np.full((len(q), k), np.iinfo(np.int64).max)
+
+        def distances(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum((q[rows] ** 2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * q[rows] @ points.T, 0))
+
+        at = distances(self.router[self.root][None], np.arange(len(q)))[:, 0]
+        bounds = np.maximum(at - self.radius[self.root], 0)
+        heap = [(float(bounds.min()), 0, self.root, bounds, at)]
+        pushed = 0
         while heap:
-            bound, node, at = heapq.heappop(heap)
-            if bound > limit + margin:
-                break
+            least, _, node, bounds, at = heapq.heappop(heap)
+            active = np.flatnonzero(bounds <= limit + margin)
+            if not len(active):
+                continue
             kids, far = self.children[node], self.far[node]
-            if self.leaf[node]:
-                near = kids[np.abs(at - far) <= limit + margin]
-                near = near[self.ids[near] != own_id]
-                scores = (self.vectors[near].astype(np.float64) @ q[:-1]).astype(np.int64) if self.small else exact_products(self.vectors[near], query)
-                if len(best) == k:
-                    fine = scores >= best[0][0]
-                    near, scores = near[fine], scores[fine]
-                for score, name in zip(scores.tolist(), self.ids[near].tolist(), strict=True):
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -name))
-                    elif (score, -name) > best[0]:
-                        heapq.heapreplace(best, (score, -name))
-                if len(best) == k:
-                    limit = float(np.sqrt(max(0.0, base - 2.0 * best[0][0])))
+            reach = (limit + margin)[active, None]
+            if not self.leaf[node]:
+                needed = np.abs(at[active, None] - far) - self.radii[node] <= reach
+                near = np.flatnonzero(needed.any(axis=0))
+                d = distances(self.routers[node][near], active)
+                low = np.where(needed[:, near], np.maximum(d - self.radii[node][near], 0), np.inf)
+                for n in np.flatnonzero((low <= reach).any(axis=0)).tolist():
+                    child, away = np.full(len(q), np.inf), np.zeros(len(q))
+                    child[active], away[active] = low[:, n], d[:, n]
+                    pushed += 1
+                    heapq.heappush(heap, (float(low[:, n].min()), pushed, int(kids[near[n]]), child, away))
+                continue
+            near = kids[(np.abs(at[active, None] - far) <= reach).any(axis=0)]
+            if not len(near):
+                continue
+            got = exact_products(self.vectors[near], queries[active].T) if not self.small else (q[active, :-1] @ self.vectors[near].T.astype(np.float64)).astype(np.int64).T
+            got = np.where(self.ids[near][:, None] == own[active], lowest, got).T
+            better = np.flatnonzero(got.max(axis=1) >= np.maximum(scores[active, -1], lowest + 1))
+            if not len(better):
                 continue
-            radius = np.array([self.radius[c] for c in kids])
-            kids = kids[np.abs(at - far) - radius <= limit + margin]
-            for c in kids:
-                d = float(np.sqrt(((q - self.router[c]) ** 2).sum()))
-                if d - self.radius[c] <= limit + margin:
-                    heapq.heappush(heap, (max(0.0, d - self.radius[c]), int(c), d))
-        return sorted(((s, -n) for s, n in best), key=lambda x: (-x[0], x[1]))
+            rows = active[better]
+            all_scores = np.hstack([scores[rows], got[better]])
+            all_names = np.hstack([names[rows], np.where(got[better] == lowest, np.iinfo(np.int64).max, self.ids[near])])
+            order = np.lexsort((all_names, ~all_scores), axis=-1)[:, :k]
+            scores[rows], names[rows] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_names, order, 1)
+            full = rows[scores[rows, -1] > lowest]
+            limit[full] = np.sqrt(np.maximum(base[full] - 2.0 * scores[full, -1], 0))
+        number, place = np.nonzero(scores > lowest)
+        return number, scores[number, place], names[number, place]
 
 
 def _matrix(table_: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -161,14 +184,14 @@ def _search(k: int):
         for batch in batches:
             for tree, queries in zip(batch.column(0), batch.column(1), strict=True):
                 tree, (ids, vectors) = pickle.loads(tree.as_py()), pickle.loads(queries.as_py())
-                rows = [(int(i), n, v, s) for n, (i, q) in enumerate(zip(ids, vectors, strict=True)) for s, v in tree.search(int(i), q, k)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((i, hash(vectors[n].tobytes()), v, s) for i, n, v, s in rows), strict=True)], ["query_id", "which", "vec_id", "score"])
+                number, score, name = tree.search(ids, vectors, k)
+                which = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in vectors])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[number], which[number], name, score)], ["query_id", "which", "vec_id", "score"])
 
     return of_batches
 
 
-def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: int = 256, part: int = 4096, block: int = 256) -> DataFrame:
+def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: int = 256, part: int = 8192, block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: which rows are queries, on vec_id."""
     number = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
