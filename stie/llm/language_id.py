@@ -94,8 +94,10 @@ class LanguageModel:
 
 def fit_languages(documents: DataFrame, per_language: int = PER_LANGUAGE, languages: int = 200, clusters: int = 4, slack: float = 1.25) -> LanguageModel:
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & ~held_out()).select(F.col("doc_id").cast("long"), "lang", F.xxhash64(F.col("doc_id").cast("long")).alias("turn"))
-    most = F.broadcast(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang"))
-    ranked = usable.join(most, "lang").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("turn", "doc_id")))
+    most = F.broadcast(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages))
+    # Of a language with many documents, only those whose hash is low can be among the first; twice as many as needed are expected.
+    likely = F.pmod("turn", F.lit(1 << 40)).cast("double") * F.col("count") <= F.lit(float(1 << 40)) * 2 * per_language
+    ranked = usable.join(most, "lang").where(likely).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("turn", F.lit(1 << 40)), "doc_id")))
     chosen = F.broadcast(ranked.where(F.col("nth") <= per_language).select("doc_id", "lang").distinct())
     sample = reliable(documents.select(F.col("doc_id").cast("long"), "lang", "text").join(chosen, ["doc_id", "lang"]))
 
