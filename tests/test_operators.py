@@ -9,9 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import geometry as G
 from stie.functions import text as X
-from stie.operators import evaluation, events, folds, graph, intervals, tracks, verify
+from stie.operators import detections, evaluation, events, folds, graph, intervals, tracks, verify
 from stie.plans import reports
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -181,6 +182,49 @@ def test_collapsed_episodes(spark):
     assert events.collapsed(two).count() == 2
 
 
+def test_episodes_need_people_together(spark):
+    rows = [(n, p) for n in ("p", "q") for p in (0, 1)]
+    near = [box(i, float(i), n, 10 * (n == "q"), 0, 20 + 10 * (n == "q"), 50, kind="person") for n, i in rows] + [box(i, float(i), "v", 0, 0, 90, 60) for i in (0, 1)]
+    far = [b if b[4] != "q" else (*b[:6], b[6] + 500, b[7], b[8] + 500, b[9], b[10]) for b in near]
+    e = spark.createDataFrame([("c", "enter", "p", "v", 0.0, 1.0), ("c", "enter", "q", "v", 0.0, 1.0)], EVENTS)
+    assert events.collapsed(e, spark.createDataFrame(near, BOX)).count() == 1
+    assert events.collapsed(e, spark.createDataFrame(far, BOX)).count() == 2
+    twins = [box(0, 0.0, n, 0, 0, 100, 60, kind="car") for n in ("v", "w")] + [box(0, 0.0, "p", 0, 0, 9, 9)]
+    other = spark.createDataFrame([("c", "enter", "p", "v", 0.0, 1.0), ("c", "exit", "p", "w", 0.0, 0.9)], EVENTS)
+    (got,) = events.collapsed(other, spark.createDataFrame(twins, BOX)).collect()
+    assert (got.type, got.vehicle_id, got.n_events) == ("other_interaction", "v", 2)
+
+
+def test_heads_and_crops(spark):
+    schema = "f int, obj string, x1 double, y1 double, x2 double, y2 double"
+    heads = spark.createDataFrame([(0, "in", 4.0, 0.0, 6.0, 2.0), (0, "free", 50.0, 0.0, 52.0, 2.0), (0, "huge", 80.0, 0.0, 95.0, 30.0)], schema)
+    people = spark.createDataFrame([(0, "p", 0.0, 0.0, 10.0, 30.0)], schema)
+    vehicles = spark.createDataFrame([(0, "v", 70.0, 0.0, 120.0, 40.0)], schema)
+    assert [r.obj for r in detections.new_heads(heads, people, vehicles, ["f"]).collect()] == ["free"]
+    assert [r.head_obj for r in detections.attributed(people, heads, ["f"]).collect()] == ["in"]
+    crops = [{"obj": n, "motion": m, "x1": x, "y1": 0.0, "x2": x + 10, "y2": 10.0} for n, m, x in (("a", 3.0, 0.0), ("b", 2.0, 1.0), ("c", 1.0, 50.0))]
+    assert [c["obj"] for c in detections.motion_crops(crops)] == ["a", "c"]
+    assert [f["ts"] for f in detections.time_gate([{"ts": t / 10} for t in range(10)], 4.0)] == [0.0, 0.3, 0.5, 0.8]
+
+
+def test_review_frames_and_render_quality(spark):
+    frames = spark.createDataFrame([("c", i, i / 10) for i in range(100)], "clip_id string, frame_index int, ts double")
+    spans = spark.createDataFrame([("c", 1.05, 2.0)], "clip_id string, start_s double, end_s double")
+    got = {round(r.ts, 1) for r in detections.review_frames(frames.select("clip_id", "ts"), spans, ["clip_id"], 3).collect()}
+    assert {0.0, 1.0, 1.1, 1.9, 2.0, 9.9} <= got
+    drawn = frames.withColumn("active", F.array(F.lit("e1")))
+    quality = detections.render_quality(drawn, drawn.withColumn("active", F.when(F.col("frame_index") < 50, F.col("active")).otherwise(F.array(F.lit("e2")))), ["clip_id"]).first()
+    assert (quality.frames, quality.agreement, quality.max_time_error) == (100, 0.5, 0.0)
+
+
+def test_config():
+    assert RELEASED.expand_near == 0.25 and DEFAULT.expand_near == 0.35
+    assert Config.read('{"window_s": 9}').window_s == 9 and Config.read(RELEASED.json()) == RELEASED
+    for bad in ('{"window_s": 1}', '{"sample_frames": 1}', '{"nonsense": 1}'):
+        with pytest.raises(ValueError):
+            Config.read(bad)
+
+
 def numbered(spark, rows):
     return events.merged(spark.createDataFrame(rows, EVENTS))
 
@@ -238,7 +282,7 @@ def test_decisions(spark):
     got = {r.candidate_id: (r.decision, list(r.faults)) for r in verify.accepted(df, F.lit([0, 5, 10]).cast("array<bigint>")).collect()}
     assert [k for k, v in got.items() if v[0] == "interaction"] == ["good", "fence", "list"]
     assert got["invented"] == ("uncertain", ["invented"]) and "unreadable" in got["broken"][1] and "unreadable" in got["null"][1] and got["empty"] == ("uncertain", ["events"])
-    assert {r.answer[:25] for r in verify.verified(df.drop("answer")).collect()} == {'{"decision": "uncertain", '}
+    assert {r.answer[:26] for r in verify.verified(df.drop("answer")).collect()} == {'{"decision": "uncertain", '}
 
 
 def test_votes_need_a_run(spark):
