@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -56,11 +57,14 @@ def test_numbers(spark):
     assert documents.next_number(spark.createDataFrame([("draft",)], "name string")) == 1
 
 
-def stream_of(spark, folder, rows, schema, build):
+def stream_of(spark, folder, rows, schema, build, expected):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/in")
     query = build(spark.readStream.schema(schema).parquet(f"{folder}/in")).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", f"{folder}/ck").start()
-    try:
-        query.processAllAvailable()
+    try:  # timeouts by processing time keep the query busy, so wait for the rows and not for it
+        for _ in range(120):
+            if spark.table("out").count() >= expected or query.exception():
+                break
+            time.sleep(0.5)
     finally:
         query.stop()
     return spark.sql("SELECT * FROM out").collect()
@@ -68,13 +72,13 @@ def stream_of(spark, folder, rows, schema, build):
 
 def test_live_assignments(spark, tmp_path):
     rows = [("c", 1, 0.0, 7, 0.1), ("c", 1, 0.1, 8, 0.10), ("c", 1, 0.1, 7, 0.12), ("c", 1, 0.2, 8, 0.1), ("c", 1, 0.2, 7, 0.3)]
-    got = stream_of(spark, tmp_path, rows, "clip_id string, person_id long, ts double, vehicle_id long, rank double", live.assignments)
+    got = stream_of(spark, tmp_path, rows, "clip_id string, person_id long, ts double, vehicle_id long, rank double", live.assignments, 3)
     assert [(r.ts, r.vehicle_id) for r in sorted(got, key=lambda r: r.ts)] == [(0.0, 7), (0.1, 7), (0.2, 8)]
 
 
 def test_live_identities(spark, tmp_path):
     rows = [("c", 0, 1, 0.0, 0.0, 10.0, 10.0), ("c", 4, 2, 1.0, 0.0, 11.0, 10.0), ("c", 5, 3, 90.0, 0.0, 99.0, 10.0), ("c", 30, 4, 1.0, 0.0, 11.0, 10.0)]
-    got = stream_of(spark, tmp_path, rows, "clip_id string, frame_index long, raw_id long, x1 double, y1 double, x2 double, y2 double", live.identities)
+    got = stream_of(spark, tmp_path, rows, "clip_id string, frame_index long, raw_id long, x1 double, y1 double, x2 double, y2 double", live.identities, 4)
     assert {r.raw_id: r.id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
