@@ -116,11 +116,20 @@ def longitudinal(person: Box, vehicle: Box) -> Column:
     return (person.center[0] - vehicle.x1) / F.greatest(vehicle.width, F.lit(SMALL))
 
 
-def body_from_head(head: Box, frame_width: float, frame_height: float, widths: float = 3.0, heights: float = 7.0) -> Box:
-    """A body box below a head box, within the frame."""
+def body_from_head(head: Box, frame_width: float, frame_height: float, widths: float = 3.2, heights: float = 6.5, above: float = 0.2) -> Box:
+    """A body box that begins a little above a head box, within the frame."""
     x = head.center[0]
-    half = head.width * widths / 2
-    return Box(F.greatest(x - half, F.lit(0.0)), F.greatest(head.y1, F.lit(0.0)), F.least(x + half, F.lit(frame_width)), F.least(head.y1 + head.height * heights, F.lit(frame_height)))
+    wide, high = F.greatest(head.width, F.lit(1.0)), F.greatest(head.height, F.lit(1.0))
+    half = wide * widths / 2
+    return Box(F.greatest(x - half, F.lit(0.0)), F.greatest(head.y1 - high * above, F.lit(0.0)), F.least(x + half, F.lit(frame_width)), F.least(head.y1 + high * heights, F.lit(frame_height)))
+
+
+def motion_region(vehicle: Box, frame_width: int, frame_height: int, margin: float = 0.6) -> Box:
+    """The vehicle widened by a share of its longer side, in whole pixels of the frame."""
+    m = vehicle.side * margin
+    low = lambda x: F.greatest((x - m).cast("int"), F.lit(0))
+    high = lambda x, most: F.least((x + m).cast("int"), F.lit(most))
+    return Box(low(vehicle.x1), low(vehicle.y1), high(vehicle.x2, frame_width), high(vehicle.y2, frame_height))
 
 
 def overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stie.functions import geometry as G
+from stie.operators.tracks import as_of
+from stie.operators.verify import evenly
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -17,61 +19,66 @@ def _named(df: DataFrame, frame: list[str], prefix: str) -> DataFrame:
     return df.select(*frame, *[F.col(c).alias(prefix + c) for c in df.columns if c not in frame])
 
 
-def new_heads(heads: DataFrame, people: DataFrame, vehicles: DataFrame, frame: list[str], margin: float = 0.12, reach: float = 0.5, largest: float = 0.35) -> DataFrame:
-    """Heads of people that no person box has: the center is in no person box (with a margin), and no vehicle nearby makes it implausibly large.
+def new_heads(heads: DataFrame, people: DataFrame, vehicles: DataFrame, frame: list[str], margin: float = 0.12, reach: float = 0.2, widest: float = 0.0) -> DataFrame:
+    """Heads of people that no person box has: the center is in no person box (with a margin).
 
-    heads, people, vehicles: frame, obj, corners.
+    If `widest` is not 0, heads wider than that share of a vehicle that holds their center (with
+    the margin `reach`) go too. heads, people, vehicles: frame, obj, corners.
     """
     h = _named(heads, frame, "h_")
     head, person, vehicle = G.Box.of("h_"), G.Box.of("p_"), G.Box.of("v_")
-    taken = h.join(_named(people, frame, "p_"), frame).where(G.contains(person, *head.center, margin))
-    huge = h.join(_named(vehicles, frame, "v_"), frame).where((G.normalized_gap(head, vehicle) <= reach) & (head.height > largest * vehicle.height))
-    gone = taken.select(*frame, F.col("h_obj").alias("obj")).unionByName(huge.select(*frame, F.col("h_obj").alias("obj"))).distinct()
-    return heads.join(gone, [*frame, "obj"], "left_anti")
+    gone = h.join(_named(people, frame, "p_"), frame).where(G.contains(person, *head.center, margin)).select(*frame, F.col("h_obj").alias("obj"))
+    if widest:
+        wide = F.greatest(head.width, F.lit(1.0)) > widest * F.greatest(vehicle.width, F.lit(1.0))
+        huge = h.join(_named(vehicles, frame, "v_"), frame).where(G.contains(vehicle, *head.center, reach) & wide)
+        gone = gone.unionByName(huge.select(*frame, F.col("h_obj").alias("obj")))
+    return heads.join(gone.distinct(), [*frame, "obj"], "left_anti")
 
 
-def attributed(tracked: DataFrame, heads: DataFrame, frame: list[str], least: float = 0.35) -> DataFrame:
-    """tracked with head_obj: the head whose inferred region it overlaps most; else the uppermost, then widest, head inside it; null without one."""
-    pairs = _named(tracked, frame, "t_").join(_named(heads, frame, "h_"), frame)
+def attributed(tracked: DataFrame, heads: DataFrame, free: DataFrame, frame: list[str], least: float = 0.35, margin: float = 0.05, width: float = 1e9, height: float = 1e9) -> DataFrame:
+    """tracked with head_obj: the free head whose inferred body it overlaps most; else the uppermost, then widest, of all heads inside it; null without one.
+
+    free: the heads that stand for people of their own (new_heads).
+    """
+    t = _named(tracked, frame, "t_")
     box, head = G.Box.of("t_"), G.Box.of("h_")
-    region = G.body_from_head(head, 1e9, 1e9)
-    scored = pairs.withColumns({"_iou": G.iou(box, region), "_inside": G.contains(box, *head.center)})
-    by_region = F.max_by("h_obj", F.when(F.col("_iou") >= least, F.struct(F.round("_iou", 9), F.col("h_obj"))))
-    inside = F.min_by("h_obj", F.when(F.col("_inside"), F.struct(F.col("h_y1"), -head.width, F.col("h_obj"))))
-    found = scored.groupBy(*frame, F.col("t_obj").alias("obj")).agg(F.coalesce(by_region, inside).alias("head_obj"))
-    return tracked.join(found, [*frame, "obj"], "left")
+    own = [*frame, F.col("t_obj").alias("obj")]
+    bodies = t.join(_named(free, frame, "h_"), frame).withColumn("_iou", G.iou(box, G.body_from_head(head, width, height))).where(F.col("_iou") >= least)
+    by_body = bodies.groupBy(*own).agg(F.min_by("h_obj", F.struct(-F.round("_iou", 9), F.col("h_obj"))).alias("_body"))
+    held = t.join(_named(heads, frame, "h_"), frame).where(G.contains(box, *head.center, margin))
+    inside = held.groupBy(*own).agg(F.min_by("h_obj", F.struct(head.center[1], -head.width, F.col("h_obj"))).alias("_inside"))
+    found = tracked.join(by_body, [*frame, "obj"], "left").join(inside, [*frame, "obj"], "left")
+    return found.withColumn("head_obj", F.coalesce("_body", "_inside")).drop("_body", "_inside")
 
 
 def motion_crops(crops: list[dict], k: int = 4, overlap: float = 0.65) -> Iterable[dict]:
-    """The k crops with the most motion of which no two overlap by more than that IoU; for folds.fold()."""
+    """The k crops with the most motion, then the greatest corners, of which no two overlap by more than that IoU; for folds.fold()."""
+    area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
     kept: list[dict] = []
-    for crop in sorted(crops, key=lambda c: (-c["motion"], c["obj"])):
+    for crop in sorted(crops, key=lambda c: (-c["motion"], *(-c[x] for x in CORNERS), c["obj"])):
         both = [max(min(crop["x2"], o["x2"]) - max(crop["x1"], o["x1"]), 0.0) * max(min(crop["y2"], o["y2"]) - max(crop["y1"], o["y1"]), 0.0) for o in kept]
-        area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
         if len(kept) < k and all(b / max(area(crop) + area(o) - b, 1e-6) <= overlap for b, o in zip(both, kept, strict=True)):
             kept.append(crop)
     return kept
 
 
-def time_gate(frames: list[dict], fps: float) -> Iterable[dict]:
-    """Frames at least 1 / fps apart, from the first on; for folds.fold()."""
-    due = None
+def time_gate(frames: list[dict], fps: float, start: float = 0.0) -> Iterable[dict]:
+    """Frames from `start` on, each at least 1 / fps after the one before; for folds.fold()."""
+    due = start
     for frame in frames:
-        if due is None or frame["ts"] + 1e-9 >= due:
+        if frame["ts"] + 1e-6 >= due:
             yield frame
-            due = (frame["ts"] if due is None else due) + 1 / fps
-            while due <= frame["ts"] + 1e-9:
-                due += 1 / fps
+            due = frame["ts"] + 1 / fps
 
 
-def review_frames(frames: DataFrame, spans: DataFrame, keys: list[str], count: int = 20) -> DataFrame:
-    """keys, ts: evenly spread frames and the frames around every bound of every span."""
+def review_frames(frames: DataFrame, spans: DataFrame, keys: list[str], count: int = 8) -> DataFrame:
+    """keys, ts: evenly spread frames and the frames on both sides of the start, middle and end of every span."""
     numbered = frames.withColumns({"_i": F.row_number().over(W.partitionBy(*keys).orderBy("ts")) - 1, "_n": F.count("*").over(W.partitionBy(*keys))})
-    slot = lambda i: F.floor(i * (count - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
-    even = numbered.where((F.col("_n") <= count) | (F.col("_i") == 0) | (slot(F.col("_i")) != slot(F.col("_i") - 1))).select(*keys, "ts")
-    bounds = spans.select(*keys, F.explode(F.array("start_s", "end_s")).alias("t")).distinct()
-    around = bounds.join(frames, keys).groupBy(*keys, "t").agg(F.max(F.when(F.col("ts") < F.col("t"), F.col("ts"))).alias("a"), F.min(F.when(F.col("ts") >= F.col("t"), F.col("ts"))).alias("b"))
-    return even.unionByName(around.select(*keys, F.explode(F.array_compact(F.array("a", "b"))).alias("ts"))).distinct()
+    even = numbered.where(evenly(F.col("_i"), F.col("_n"), count)).select(*keys, "ts")
+    bounds = spans.select(*keys, F.explode(F.array(F.col("start_s"), (F.col("start_s") + F.col("end_s")) / 2, F.col("end_s"))).alias("t")).distinct()
+    before = as_of(bounds, frames, keys, "t", "ts", "before").select(*keys, "ts")
+    after = as_of(bounds, frames, keys, "t", "ts", "forward").select(*keys, "ts")
+    return even.unionByName(before).unionByName(after).where(F.col("ts").isNotNull()).distinct()
 
 
 def render_quality(expected: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:

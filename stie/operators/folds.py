@@ -127,7 +127,8 @@ def expand(frames: list[dict], margin: float = 0.25, max_gap: float = 0.5, max_e
 def chain(sightings: list[dict], frames_ahead: int = 15, frame_gap: int = 5, reach: float = 0.18, least_reach: float = 55.0) -> list[dict]:
     """Links a first sighting to later ones by constant velocity, the nearest to the prediction first.
 
-    sightings: (frame, x, y, area, vehicle_width) of one seed and its candidates, the seed first.
+    sightings: (frame, x, y, area, vehicle_width) of one seed and its candidates, the seed first; the
+    width is the vehicle's in that frame.
     """
     seed, linked = sightings[0], [sightings[0]]
     by_frame: dict[int, list[dict]] = {}
@@ -139,13 +140,13 @@ def chain(sightings: list[dict], frames_ahead: int = 15, frame_gap: int = 5, rea
         ahead = frame - last["frame"]
         if ahead > frame_gap:
             break
-        width = max(seed["vehicle_width"], 1e-6)
-        limit = max(least_reach, reach * width * ahead)
         options = []
         for s in by_frame.get(frame, []):
+            width = max(s["vehicle_width"], 1.0)
+            limit = max(least_reach, reach * width * ahead)
             d = ((s["x"] - last["x"] - vx * ahead) ** 2 + (s["y"] - last["y"] - vy * ahead) ** 2) ** 0.5
             if d <= limit:
-                options.append((d / width - 0.03 * min(s["area"] / max(last["area"], 1e-6), 4.0), -s["area"], s["x"], s))
+                options.append((d / width - 0.03 * min(s["area"] / max(last["area"], 1.0), 4.0), -s["area"], s["x"], s))
         if options:
             best = min(options, key=lambda o: o[:3])[3]
             vx, vy = (best["x"] - last["x"]) / ahead, (best["y"] - last["y"]) / ahead

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stie.functions.geometry import overlap
+from stie.operators.verify import evenly
+
 
 def pooled(vectors: DataFrame, keys: list[str], order: str, value: str = "embedding") -> DataFrame:
     """keys, dim, mean, std (of the population), change (last less first) of every component."""
@@ -17,7 +20,7 @@ def pooled(vectors: DataFrame, keys: list[str], order: str, value: str = "embedd
 
 
 def diverse_sample(vectors: DataFrame, k: int, key: str = "vec_id", value: str = "embedding") -> list[int]:
-    """Keys of k rows, each the farthest (by cosine, of centered vectors) from those before; the first is farthest from the mean.
+    """Keys of k rows, each the farthest (of centered vectors of length 1) from those before; the first is farthest from their mean.
 
     k rows come to the driver, one a pass; the vectors stay where they are.
     """
@@ -27,7 +30,9 @@ def diverse_sample(vectors: DataFrame, k: int, key: str = "vec_id", value: str =
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     rows = vectors.select(key, centered.alias("c")).withColumn("norm", F.sqrt(total(F.transform("c", lambda x: x * x))))
     rows = rows.withColumn("u", F.transform("c", lambda x: x / F.greatest(F.col("norm"), F.lit(1e-12)))).withColumn("near", F.lit(-2.0)).cache()
-    chosen = [rows.orderBy(F.desc("norm"), key).first()]
+    middle = rows.select([F.avg(F.col("u")[i]).alias(f"m{i}") for i in range(size)]).first()
+    away = total(F.zip_with("u", F.array(*[F.lit(m) for m in middle]), lambda x, m: (x - m) * (x - m)))
+    chosen = [rows.orderBy(F.desc(F.round(away, 9)), key).first()]
     while len(chosen) < k:
         nearest: Column = F.greatest(*[total(F.zip_with("u", F.array(*[F.lit(x) for x in c.u]), lambda a, b: a * b)) for c in chosen], F.lit(-2.0))
         best = rows.where(~F.col(key).isin([c[key] for c in chosen])).orderBy(F.round(nearest, 9), key).first()
@@ -53,18 +58,31 @@ def head_scores(rows: DataFrame, folds: list, features: str = "embedding", label
     return out
 
 
-def best_threshold(scored: DataFrame, points: int = 25, label: str = "label") -> DataFrame:
-    """threshold, f1: the best of a grid of thresholds."""
-    grid = scored.withColumn("threshold", F.explode(F.array(*[F.lit((i + 1) / (points + 1)) for i in range(points)])))
+def best_threshold(scored: DataFrame, points: int = 25, label: str = "label", low: float = 0.2, step: float = 0.025) -> DataFrame:
+    """threshold, f1: the best of an even grid of thresholds from `low` to `high`; the highest of equals."""
+    grid = scored.withColumn("threshold", F.explode(F.array(*[F.lit(low + i * step) for i in range(points)])))
     hit, real = F.col("probability") >= F.col("threshold"), F.col(label) == 1
     sums = grid.groupBy("threshold").agg(F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"))
-    return sums.select("threshold", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1")).orderBy(F.desc_nulls_last("f1"), "threshold").limit(1)
+    return sums.select("threshold", (2 * F.col("tp") / F.greatest(F.lit(1), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
 def spread_sample(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """At most n rows of each class, evenly spread over its order."""
     nth, m = F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1, F.count("*").over(W.partitionBy(by))
     ranked = rows.withColumns({"_i": nth, "_m": m})
-    slot = lambda i: F.floor(i * (n - 1) / F.greatest(F.col("_m") - 1, F.lit(1)))
-    chosen = (F.col("_m") <= n) | (F.col("_i") == 0) | (slot(F.col("_i")) != slot(F.col("_i") - 1))
-    return ranked.where(chosen).drop("_i", "_m")
+    return ranked.where(evenly(F.col("_i"), F.col("_m"), n)).drop("_i", "_m")
+
+
+def labelled(candidates: DataFrame, references: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """candidates with `label`: 1 if it shares at least that part of any reference's duration. Both: keys, start_s, end_s; candidates: candidate_id."""
+    r = references.select(*keys, F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
+    shared = overlap(F.col("start_s"), F.col("end_s"), F.col("_start"), F.col("_end"))
+    hit = candidates.join(r, keys).where(shared >= least * (F.col("_end") - F.col("_start"))).select(*keys, "candidate_id").distinct().withColumn("_hit", F.lit(1))
+    return candidates.join(hit, [*keys, "candidate_id"], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
+
+
+def without_uncertain(candidates: DataFrame, uncertain: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidates that share no time with an uncertain span."""
+    u = uncertain.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return candidates.join(u, [*same, overlap(F.col("start_s"), F.col("end_s"), F.col("_start"), F.col("_end")) > 0], "left_anti")

@@ -134,7 +134,7 @@ def greedy_one_to_one(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, how: str = "nearest") -> DataFrame:
-    """left with the right row that is nearest in time, or the last at or before (`backward`), or the first at or after (`forward`); of two equally near, the earlier.
+    """left with the right row that is nearest in time, or the last at or before (`backward`), the last before (`before`), or the first at or after (`forward`); of two equally near, the earlier.
 
     Both sides are sorted together once by key and time, so the cost doesn't grow with the pairs.
     """
@@ -144,10 +144,12 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: st
     r = right.select(*keys, F.col(other).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l"), packed.alias("_r"))
     order = W.partitionBy(*keys).orderBy("_t", "_side")
     back = F.last("_r", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_r", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_t", F.desc("_side")).rowsBetween(0, W.unboundedFollowing))
-    both = l.unionByName(r).withColumns({"_back": back, "_ahead": ahead}).where("_side = 1")
+    strictly = W.partitionBy(*keys).orderBy("_t", F.desc("_side"))
+    before = F.last("_r", ignorenulls=True).over(strictly.rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.first("_r", ignorenulls=True).over(strictly.rowsBetween(0, W.unboundedFollowing))
+    both = l.unionByName(r).withColumns({"_back": back, "_before": before, "_ahead": ahead}).where("_side = 1")
     near = F.when(F.col("_back").isNull(), F.col("_ahead")).when(F.col("_ahead").isNull(), F.col("_back")).when(F.round(F.col(f"_ahead.{other}") - F.col("_t"), 9) < F.round(F.col("_t") - F.col(f"_back.{other}"), 9), F.col("_ahead")).otherwise(F.col("_back"))
-    chosen = {"nearest": near, "backward": F.col("_back"), "forward": F.col("_ahead")}[how]
+    chosen = {"nearest": near, "backward": F.col("_back"), "before": F.col("_before"), "forward": F.col("_ahead")}[how]
     return both.select("_l.*", chosen.alias("_c")).select(*left.columns, *[F.col(f"_c.{n}").alias(n if n not in left.columns else f"r_{n}") for n in names])
 
 

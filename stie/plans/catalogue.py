@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stie.plans import on_events, on_spans, on_tracks
+from stie.plans import on_detections, on_events, on_spans, on_tracks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**on_spans.QUERIES, **on_tracks.QUERIES, **on_events.QUERIES}
-ORACLES: dict[str, str] = {**on_spans.ORACLES, **on_tracks.ORACLES, **on_events.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**on_spans.QUERIES, **on_tracks.QUERIES, **on_events.QUERIES, **on_detections.QUERIES}
+ORACLES: dict[str, str] = {**on_spans.ORACLES, **on_tracks.ORACLES, **on_events.ORACLES, **on_detections.ORACLES}

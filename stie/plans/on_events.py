@@ -89,13 +89,13 @@ def _observed(t: DataFrame) -> DataFrame:
 
 
 @query(OBSERVED_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY clip_id, event_id ORDER BY ts) AS a, row_number() OVER (PARTITION BY clip_id, event_id ORDER BY ts DESC) AS z FROM ob),
-s AS (SELECT clip_id, event_id, type, avg(CASE WHEN a <= 2 THEN inside::INT END) AS ia, avg(CASE WHEN z <= 2 THEN inside::INT END) AS iz, avg(CASE WHEN a <= 2 THEN gap END) AS ga, avg(CASE WHEN z <= 2 THEN gap END) AS gz FROM k GROUP BY ALL)
-SELECT clip_id, event_id, type, CASE WHEN type = 'enter' AND ia > iz AND gz - ga >= 0.08 THEN 'exit' WHEN type = 'exit' AND iz > ia AND ga - gz >= 0.08 THEN 'enter' ELSE type END AS corrected FROM s""")
+s AS (SELECT clip_id, event_id, type, count(*) AS n, bool_and(inside) FILTER (a <= 2) AS ia, bool_and(inside) FILTER (z <= 2) AS iz, avg(CASE WHEN a <= 2 THEN gap END) AS ga, avg(CASE WHEN z <= 2 THEN gap END) AS gz FROM k GROUP BY ALL)
+SELECT clip_id, event_id, type, CASE WHEN n >= 4 AND type = 'enter' AND ia AND NOT iz AND round(gz - ga, 9) >= 0.08 THEN 'exit' WHEN n >= 4 AND type = 'exit' AND iz AND NOT ia AND round(ga - gz, 9) >= 0.08 THEN 'enter' ELSE type END AS corrected FROM s""")
 def direction_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.corrected_direction(_observed(track_view(spark, sf_dir)), ["clip_id", "event_id"])
 
 
-@query(OBSERVED_SQL + """, m AS (SELECT *, sum((NOT inside)::INT) OVER w AS out_n, max(gap) OVER w AS far FROM ob WINDOW w AS (PARTITION BY clip_id, event_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+@query(OBSERVED_SQL + """, m AS (SELECT *, sum((NOT inside)::INT) OVER w AS out_n, last_value(CASE WHEN NOT inside THEN gap END IGNORE NULLS) OVER w AS far FROM ob WINDOW w AS (PARTITION BY clip_id, event_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT DISTINCT clip_id, event_id FROM m WHERE inside AND out_n >= 2 AND far - gap > 0.1""")
 def exit_motion_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.exit_cues(_observed(track_view(spark, sf_dir)), ["clip_id", "event_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import geometry as G
 from stie.functions import text as X
-from stie.operators import detections, evaluation, events, folds, graph, intervals, tracks, verify
+from stie.operators import detections, evaluation, events, folds, graph, intervals, learning, tracks, verify
 from stie.plans import reports
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -197,21 +197,25 @@ def test_episodes_need_people_together(spark):
 
 def test_heads_and_crops(spark):
     schema = "f int, obj string, x1 double, y1 double, x2 double, y2 double"
-    heads = spark.createDataFrame([(0, "in", 4.0, 0.0, 6.0, 2.0), (0, "free", 50.0, 0.0, 52.0, 2.0), (0, "huge", 80.0, 0.0, 95.0, 30.0)], schema)
+    heads = spark.createDataFrame([(0, "in", 4.0, 0.0, 6.0, 2.0), (0, "free", 50.0, 0.0, 52.0, 2.0), (0, "huge", 80.0, 0.0, 105.0, 30.0)], schema)
     people = spark.createDataFrame([(0, "p", 0.0, 0.0, 10.0, 30.0)], schema)
     vehicles = spark.createDataFrame([(0, "v", 70.0, 0.0, 120.0, 40.0)], schema)
-    assert [r.obj for r in detections.new_heads(heads, people, vehicles, ["f"]).collect()] == ["free"]
-    assert [r.head_obj for r in detections.attributed(people, heads, ["f"]).collect()] == ["in"]
+    free = detections.new_heads(heads, people, vehicles, ["f"], widest=0.35)
+    assert [r.obj for r in free.collect()] == ["free"]
+    assert {r.obj for r in detections.new_heads(heads, people, vehicles, ["f"]).collect()} == {"free", "huge"}
+    assert [r.head_obj for r in detections.attributed(people, heads, free, ["f"]).collect()] == ["in"]
+    seen = spark.createDataFrame([(0, "t", 48.0, 0.0, 54.0, 14.0), (0, "none", 200.0, 0.0, 210.0, 30.0)], schema)
+    assert {r.obj: r.head_obj for r in detections.attributed(seen, heads, free, ["f"]).collect()} == {"t": "free", "none": None}
     crops = [{"obj": n, "motion": m, "x1": x, "y1": 0.0, "x2": x + 10, "y2": 10.0} for n, m, x in (("a", 3.0, 0.0), ("b", 2.0, 1.0), ("c", 1.0, 50.0))]
     assert [c["obj"] for c in detections.motion_crops(crops)] == ["a", "c"]
-    assert [f["ts"] for f in detections.time_gate([{"ts": t / 10} for t in range(10)], 4.0)] == [0.0, 0.3, 0.5, 0.8]
+    assert [f["ts"] for f in detections.time_gate([{"ts": t / 10} for t in range(10)], 4.0)] == [0.0, 0.3, 0.6, 0.9]  # each a quarter of a second after the one before
 
 
 def test_review_frames_and_render_quality(spark):
     frames = spark.createDataFrame([("c", i, i / 10) for i in range(100)], "clip_id string, frame_index int, ts double")
     spans = spark.createDataFrame([("c", 1.05, 2.0)], "clip_id string, start_s double, end_s double")
     got = {round(r.ts, 1) for r in detections.review_frames(frames.select("clip_id", "ts"), spans, ["clip_id"], 3).collect()}
-    assert {0.0, 1.0, 1.1, 1.9, 2.0, 9.9} <= got
+    assert got == {0.0, 1.0, 1.1, 1.5, 1.6, 1.9, 2.0, 4.9, 9.9}
     drawn = frames.withColumn("active", F.array(F.lit("e1")))
     quality = detections.render_quality(drawn, drawn.withColumn("active", F.when(F.col("frame_index") < 50, F.col("active")).otherwise(F.array(F.lit("e2")))), ["clip_id"]).first()
     assert (quality.frames, quality.agreement, quality.max_time_error) == (100, 0.5, 0.0)
@@ -296,6 +300,15 @@ def test_direction(spark):
     rows = [(t, i, t < 2, float(max(0, t - 1)) / 10) for i in ("enter", "other_interaction") for t in range(6)]
     df = spark.createDataFrame([(k, k, float(t), inside, gap) for t, k, inside, gap in rows], "e string, type string, ts double, inside boolean, gap double")
     assert {r.e: r.corrected for r in verify.corrected_direction(df, ["e"]).collect()} == {"enter": "exit", "other_interaction": "other_interaction"}
+    half = df.where("type = 'enter'").withColumn("inside", F.col("ts") == 0)  # not inside in all of the first rows
+    assert [r.corrected for r in verify.corrected_direction(half, ["e"]).collect()] == ["enter"]
+    assert [r.corrected for r in verify.corrected_direction(df.where("type = 'enter' AND ts IN (0, 4, 5)"), ["e"]).collect()] == ["enter"]
+
+
+def test_an_exit_ends_farther_away(spark):
+    gaps = {"grows": (0.0, 0.1, 0.3), "returns": (0.0, 0.3, 0.1), "once": (0.0, 0.5)}
+    df = spark.createDataFrame([(k, float(t), t == 0, g) for k, v in gaps.items() for t, g in enumerate(v)], "e string, ts double, inside boolean, gap double")
+    assert {r.e for r in verify.exit_cues(df, ["e"]).collect()} == {"grows"}
 
 
 def test_transition_sampling():
@@ -356,3 +369,37 @@ def test_appearance_change(spark):
 def test_chain_follows_the_motion():
     seen = [{"frame": f, "x": 10.0 * f, "y": 0.0, "area": 100.0 + f, "vehicle_width": 100.0} for f in range(6)] + [{"frame": 3, "x": 200.0, "y": 0.0, "area": 500.0, "vehicle_width": 100.0}]
     assert [s["x"] for s in folds.chain(seen)] == [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]
+
+
+def test_diverse_sample_is_farthest_first(spark):
+    x = np.random.default_rng(4).normal(size=(40, 6)) + 2
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x - x.mean(axis=0)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    expected = [int(np.argmax(np.linalg.norm(u - u.mean(axis=0), axis=1)))]
+    while len(expected) < 5:
+        expected.append(int(np.argmax(np.min([np.linalg.norm(u - u[e], axis=1) for e in expected], axis=0))))
+    assert learning.diverse_sample(rows, 5) == expected
+
+
+def test_even_positions(spark):
+    many = spark.range(1, 60).select(F.col("id").alias("n")).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    for k in (1, 2, 7, 20):
+        got = many.where(verify.evenly(F.col("i"), F.col("n"), k)).groupBy("n").agg(F.sort_array(F.collect_list("i")).alias("at")).collect()
+        assert all(r["at"] == sorted({j * (r.n - 1) // (k - 1) if k > 1 else 0 for j in range(k)}) for r in got)
+
+
+def test_training_labels(spark):
+    schema = "clip_id string, candidate_id string, start_s double, end_s double"
+    candidates = spark.createDataFrame([("c", "half", 0.0, 2.0), ("c", "less", 0.0, 1.5), ("c", "unsure", 8.0, 9.0), ("d", "other", 0.0, 9.0), (None, "none", 0.0, 9.0)], schema)
+    references = spark.createDataFrame([("c", 1.0, 3.0)], "clip_id string, start_s double, end_s double")
+    unsure = spark.createDataFrame([("c", 8.5, 10.0), ("c", 2.0, 4.0)], "clip_id string, start_s double, end_s double")
+    assert {r.candidate_id: r.label for r in learning.labelled(candidates, references, ["clip_id"]).collect()} == {"half": 1, "less": 0, "unsure": 0, "other": 0, "none": 0}
+    assert {r.candidate_id for r in learning.without_uncertain(candidates, unsure, ["clip_id"]).collect()} == {"half", "less", "other", "none"}
+
+
+def test_an_appearance_change_needs_a_vehicle(spark):
+    tracks_ = [("p", i, 10.0, [0.9, 0.1] if i < 4 else [0.1, 0.9], near) for i in range(8) for near in [False]] + [("q", i, 10.0, [9.0, 1.0] if i < 4 else [1.0, 9.0], i == 4) for i in range(8)]
+    rows = spark.createDataFrame(tracks_, "id string, frame_index int, area double, f array<double>, near boolean")
+    assert [(r.id, r.at_frame) for r in events.appearance_splits(rows, ["id"]).collect()] == [("q", 4)]
+    assert {r.id for r in events.appearance_splits(rows.drop("near"), ["id"]).collect()} == {"p", "q"}
