@@ -21,7 +21,9 @@ so what comes out grows with the documents. A bucket with more than `crowd` memb
 members to one cluster without comparing them, which loses no link.
 
 Null and empty texts have no set: each is a class of its own without links. Rows with a null
-doc_id come out with a null class and no links. Rows that repeat are copies of each other.
+doc_id come out with a null class and no links. Rows that repeat are copies of each other. Ids
+stand for their texts: if different texts share one id, each row has the class of its own text's
+earliest document, but links that begin at that id may be those of either text.
 """
 
 from __future__ import annotations

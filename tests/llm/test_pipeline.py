@@ -50,3 +50,11 @@ def test_stages_on_awkward_rows(spark, sf):
         stage(spark, docs, sf).count()
         assert stage(spark, docs.where("false"), sf).count() == 0
     assert corpus_pipeline.near_duplicates(spark, docs, sf).where("doc_id = 1").count() == 1
+
+
+def test_a_text_of_its_own_survives_the_copy_that_shares_its_id(spark, sf):
+    first, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, first), (2, first + " end"), (2, other), (3, first)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert (1, first) in left and (2, other) in left and all(i != 3 for i, _ in left)
