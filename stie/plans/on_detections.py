@@ -192,7 +192,7 @@ UNSURE_SQL = f"""{SPANS}, c AS (SELECT * FROM spans WHERE side = 0), u AS (SELEC
 FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.clip_id = c.clip_id AND u.slot = c.slot AND least(c.end_s, u.end_s) - greatest(c.start_s, u.start_s) > 0)""")
 def labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows: candidates that touch nothing uncertain, 1 if they cover half of a reference."""
-    s, keys = spans(spark, sf_dir), ["clip_id", "slot"]
+    s, keys = spans(spark, sf_dir), ["clip_id"]
     unsure = F.col("type") == "other_interaction"
     sure = learning.without_uncertain(s.where("side = 0").withColumnRenamed("event_id", "candidate_id"), s.where((F.col("side") == 1) & unsure), keys)
     return learning.labelled(sure, s.where((F.col("side") == 1) & ~unsure), keys).select("clip_id", "candidate_id", "label")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from stie.functions import geometry as G
 from stie.operators import evaluation as E
 from stie.operators import intervals as I
-from stie.sources.views import SPANS, TYPES, spans
+from stie.sources.views import DAY, SPANS, TYPES, spans
 
 QUERIES, ORACLES = {}, {}
 LABELS = sorted(TYPES.values())
 PAIR = ["clip_id", "type", "person_id", "vehicle_id"]
-GROUP = ["clip_id", "slot"]
+GROUP = ["clip_id"]
 THRESHOLD = 0.3
 
 
@@ -130,7 +130,7 @@ matched AS (SELECT c.* FROM b JOIN c ON c.clip_id = b.clip_id AND c.slot = b.slo
 
 @query(f"WITH {CANDIDATES_SQL} SELECT clip_id, slot, p AS event_id, r AS r_event_id, round(tiou, 6) AS tiou FROM c")
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.match_candidates(spans(spark, sf_dir), GROUP, THRESHOLD).select("clip_id", "slot", "event_id", "r_event_id", F.round("tiou", 6).alias("tiou"))
+    return E.match_candidates(spans(spark, sf_dir), GROUP, THRESHOLD).select("clip_id", "event_id", "r_event_id", F.round("tiou", 6).alias("tiou"))
 
 
 def _matched(s: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _matched(s: DataFrame) -> DataFrame:
 
 @query(MATCH_SQL + " SELECT clip_id, slot, count(*) AS n, round(sum(tiou), 6) AS total FROM matched GROUP BY ALL")
 def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spans(spark, sf_dir)).groupBy("clip_id", "slot").agg(F.count("*").alias("n"), F.round(F.sum("tiou"), 6).alias("total"))
+    return _matched(spans(spark, sf_dir)).groupBy("clip_id").agg(F.count("*").alias("n"), F.round(F.sum("tiou"), 6).alias("total"))
 
 
 COUNTS_SQL = """s AS (SELECT clip_id, slot, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS r FROM spans GROUP BY ALL HAVING count(*) FILTER (side = 1) > 0),
@@ -152,7 +152,7 @@ def event_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and rates per clip and in all (null clip)."""
     s = spans(spark, sf_dir)
     per = E.counts(s, _matched(s), GROUP)
-    sums = per.rollup("clip_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], (F.count("*") * 1200.0).alias("seconds"))
+    sums = per.rollup("clip_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], (F.count("*") * DAY).alias("seconds"))
     return sums.select("clip_id", "tp", "fp", "fn", *[F.round(v, 6).alias(k) for k, v in E.rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("seconds")).items()])
 
 
