@@ -1,8 +1,8 @@
 """Operator 7, line dedup by site-relative frequency.
 
 Per host, the pages that hold a line are divided by all pages of the host; lines above
-`ratio` are boilerplate there and go. A host needs `min_pages` pages before any line can go,
-else every line of a one-page host would.
+`ratio` that at least `least` pages hold are boilerplate there and go. So every host with more
+than one page is judged, and a line of a single page always stays.
 
 The counts are partial sums on (host, line hash) before they are shuffled, so a host or a
 line with a third of all rows costs one row a task. A host has at most
@@ -55,24 +55,24 @@ def text_lines(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
-def boilerplate(lines: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(lines: DataFrame, ratio: float, least: int) -> DataFrame:
     """host, hashes: the boilerplate lines of every host that has any. lines: host, lines."""
     lines = lines.where(F.col("host").isNotNull())
-    pages = lines.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    pages = lines.groupBy("host").agg(F.count("*").alias("pages"))
     held = (
         lines.select("host", F.explode(F.array_distinct("lines")).alias("line"))
         .where(F.trim("line") != "")
         .groupBy("host", F.xxhash64("line").alias("hash"))
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") > ratio * min_pages)
+        .where(F.col("n") >= least)
     )
     return held.join(pages, "host").where(F.col("n") / F.col("pages") > ratio).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
 
 
-def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 10, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, least: int = 2, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The columns of pages, and `site` (its host), `kept` (its lines that stay) and `n_lines`, `n_dropped`, which replace any of these names."""
     columns = [c for c in pages.columns if c not in ("site", "kept", "n_lines", "n_dropped")]
-    known = boilerplate(pages.select(host.alias("host"), lines.alias("lines")), ratio, min_pages)
+    known = boilerplate(pages.select(host.alias("host"), lines.alias("lines")), ratio, least)
     known = reliable(known)
     many = known.agg(F.sum(F.size("hashes"))).first()[0] or 0
     work = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), host.alias("site"), lines.alias("lines"))
