@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stie.llm.common import table
 from stie.llm.decontaminate import without_contaminated
-from stie.llm.jaccard_join import jaccard_join
+from stie.llm.jaccard_join import without_near_duplicates
 from stie.llm.line_dedup import line_dedup, text_lines
 from stie.llm.mixing import mixed_documents
 from stie.llm.toxicity import fit_toxicity, without_toxic
@@ -41,19 +41,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that hang together by links of 0.8 or more, the one with the least id stays.
 
-    Where rows share an id, equal ones stay once, and the id goes only if all its texts hang on
-    documents with a smaller id: a text of its own isn't lost with another one's copy.
+    Where rows share an id, each text is judged on its own: it isn't lost with another one's copy.
     """
-    docs = docs.select(*COLUMNS)
-    classes = jaccard_join(docs.select("doc_id", "text"))
-    gone = classes.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    shared = ids.where(F.col("rows") > 1).select("doc_id")
-    if shared.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    own = classes.where(F.col("class_id") == F.col("doc_id")).join(shared, "doc_id", "left_semi").select("doc_id")
-    kept = docs.join(gone.join(own, "doc_id", "left_anti"), "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where(F.col("doc_id").isNull()).unionByName(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
+    return without_near_duplicates(docs.select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

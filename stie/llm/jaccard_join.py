@@ -5,7 +5,7 @@ Two documents are linked if their sets of hashed 5-word shingles have a Jaccard
 shingle). The steps:
 
 1. Every document gets its set's 128-bit key and 152 MinHash values. Documents with one key
-   are a class; its document with the least id stands for it from here on.
+   are a class; the text of its document with the least id stands for it from here on.
 2. The values form 38 bands of 4; a pair at 0.8 misses all bands with a probability of
    2e-9. Representatives that share a band are candidates. Their values are compared 38 at a
    time, and a pair is dropped as soon as the posterior probability (uniform prior) of
@@ -21,9 +21,10 @@ so what comes out grows with the documents. A bucket with more than `crowd` memb
 members to one cluster without comparing them, which loses no link.
 
 Null and empty texts have no set: each is a class of its own without links. Rows with a null
-doc_id come out with a null class and no links. Rows that repeat are copies of each other. Ids
-stand for their texts: if different texts share one id, each row has the class of its own text's
-earliest document, but links that begin at that id may be those of either text.
+doc_id come out with a null class and no links. Rows that repeat are copies of each other. Classes
+are numbered, and ids come in only at the end: texts that share an id are compared each on its
+own, and each row has the class and the links of its own text. Two classes that don't hang
+together have one class_id only if their least ids are the same.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from stie.llm import kernels as K
 from stie.llm.common import reliable, table
@@ -88,7 +90,7 @@ def minhash(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def _signatures(size: int):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashes = batch.column(0), batch.column(2)
             for i, j, values, begins in shingle_sets(batch.column(1), size):
                 count = np.diff(begins)
                 full = np.flatnonzero(count)
@@ -100,7 +102,7 @@ def _signatures(size: int):
                     keys = np.stack([one, two], axis=1)
                     for n, k, s in zip(full, keys, minhash(values, np.append(starts, begins[-1])), strict=True):
                         key[n], sig[n] = k.tobytes(), s.tobytes()
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(key, pa.binary()), pa.array(count, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "key", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], hashes[i:j], pa.array(key, pa.binary()), pa.array(count, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "key", "n", "sig"])
 
     return of_batches
 
@@ -290,13 +292,19 @@ def _verify(threshold: float, needed: list[tuple[int, int]]):
     return of_unit
 
 
-def jaccard_join(documents: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-9, crowd: int = 512, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id it hangs together with), n_links (linked documents), n_texts (linked distinct sets)."""
+def jaccard_classes(documents: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-9, crowd: int = 512, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows: doc_id, key of every document; classes: key, doc_id (its least), class_id, first, n_links, n_texts.
+
+    `first` is true for one class of those that hang together: the one that holds class_id. Inside,
+    `doc` is the number of a class, not an id, since different texts can share an id.
+    """
     needed = least_matches(threshold, tolerance)
-    read = documents.select(F.col("doc_id").cast("long"), "text")
-    signed = reliable(read.mapInArrow(_signatures(size), "doc_id long, key binary, n long, sig binary"))
+    read = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = reliable(read.mapInArrow(_signatures(size), "doc_id long, text_hash long, key binary, n long, sig binary"))
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
-    classes = reliable(usable.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sig", "doc_id").alias("sig")))
+    held = F.struct("doc_id", "text_hash")
+    grouped = usable.groupBy("key").agg(F.min(held).alias("held"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sig", held).alias("sig"))
+    classes = reliable(grouped.select("key", F.monotonically_increasing_id().alias("doc"), "held.doc_id", "held.text_hash", "copies", "n", "sig"))
 
     bands = classes.select("doc", "sig").mapInArrow(_bands, "band long, doc long")
     met = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band")
@@ -309,17 +317,59 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, size: int = 5, to
     found = reliable(_links(read, classes, clusters, threshold, size, needed, block))
     roots = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("doc").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    known = classes.select("key", "doc", "copies").join(sums, "doc", "left").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-    known = known.select("key", F.coalesce("root", "doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    known = classes.select("key", "doc", "doc_id", "copies").join(sums, "doc", "left").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    lowest = known.groupBy("root").agg(F.min(F.struct("doc_id", "doc")).alias("low"))
+    known = known.join(lowest, "root").select(
+        "key", "doc_id", F.col("low.doc_id").alias("class_id"), (F.col("low.doc") == F.col("doc")).alias("first"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"),
+    )
+    return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), known
+
+
+def jaccard_join(documents: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-9, crowd: int = 512, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (the least doc_id it hangs together with), n_links (linked documents), n_texts (linked distinct sets)."""
+    rows, known = jaccard_classes(documents, threshold, size, tolerance, crowd, block)
     return (
-        signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
+        rows.join(known.drop("doc_id", "first"), "key", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
     )
 
 
+def _keys(size: int):
+    """The rows with the key of their text's set."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(np.zeros(batch.num_rows, dtype=np.int64))
+            alone = pa.RecordBatch.from_arrays([ids, batch.column("text"), ids], ["doc_id", "text", "text_hash"])
+            keys = [part.column("key") for part in _signatures(size)(iter([alone]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays([*keys, pa.array([], pa.binary())])], [*batch.schema.names, "key"])
+
+    return of_batches
+
+
+def without_near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """One document of all that hang together, that with the least id; texts that share an id are judged each on its own.
+
+    Rows of an id that repeat stay once. Null ids stay, as do null and empty texts.
+    """
+    rows, known = jaccard_classes(documents.select("doc_id", "text"), threshold, size)
+    stay = known.where("first").select("key", F.col("doc_id").alias("first_id"))
+    ids = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    shared = ids.where(F.col("rows") > 1).select("doc_id")
+    gone = rows.where(F.col("key").isNotNull()).join(stay, "key", "left").where(F.col("first_id").isNull() | (F.col("first_id") != F.col("doc_id"))).select("doc_id").distinct()
+    if shared.isEmpty():
+        return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    single = documents.join(shared, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*documents.columns)
+    keyed = documents.join(shared, "doc_id", "left_semi").select(*documents.columns).mapInArrow(_keys(size), StructType([*documents.schema.fields, StructField("key", BinaryType())]))
+    full = keyed.where(F.col("key").isNotNull()).join(stay, "key").where(F.col("first_id") == F.col("doc_id")).dropDuplicates(["doc_id", "key"])
+    empty = keyed.where(F.col("key").isNull()).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(full.select(*documents.columns)).unionByName(empty.select(*documents.columns))
+
+
 def _links(read: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float, size: int, needed: list[tuple[int, int]], block: int) -> DataFrame:
     """doc, links, texts, root, once for every unit of work that a document has links in."""
-    members = classes.select("doc", "copies", "n", "sig").join(clusters, "doc")
+    members = classes.select("doc", "doc_id", "text_hash", "copies", "n", "sig").join(clusters, "doc")
     # Only neighbouring levels can hold linked sets.
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
     members = members.withColumn("level", level)
@@ -342,8 +392,8 @@ def _links(read: DataFrame, classes: DataFrame, clusters: DataFrame, threshold:
     low = F.transform(steps(zero, F.col("cuts_above") - 1), lambda o: job(name(F.col("level"), F.col("cut"), o, "next"), 1))
     high = F.transform(steps(zero, F.col("cuts_below") - 1), lambda o: job(name(F.col("level") - 1, o, F.col("cut"), "next"), 2))
     jobs = F.when(F.col("m") <= block, packed).otherwise(F.concat(own, first, second, low, high))
-    planned = members.join(shape, ["cluster", "level"]).withColumn("cut", cut).select("doc", "copies", "cluster", "sig", jobs.alias("jobs"))
-    once = read.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "doc").join(planned, "doc").dropDuplicates(["doc"])
+    planned = members.join(shape, ["cluster", "level"]).withColumn("cut", cut).select("doc", "doc_id", "text_hash", "copies", "cluster", "sig", jobs.alias("jobs"))
+    once = read.where(F.col("doc_id").isNotNull()).join(planned, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("text", "doc", "copies", "cluster", "sig", "jobs")
     work = once.mapInArrow(_members(size), "doc long, copies long, cluster long, sig binary, jobs " + planned.schema["jobs"].dataType.simpleString() + ", set binary")
     return work.withColumn("job", F.explode("jobs")).select("doc", "copies", "cluster", "sig", "set", "job.side", F.col("job.unit").alias("unit")).groupBy("unit").applyInArrow(_plain_verify(threshold, needed), LINKS)
 

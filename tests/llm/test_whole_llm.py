@@ -1,8 +1,10 @@
 """Corpus operators do the whole job, where they once left something out."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from stie.llm import line_dedup
+import corpus_pipeline
+from stie.llm import jaccard_join, line_dedup
 
 
 def test_hosts_with_few_pages_are_judged(spark):
@@ -10,3 +12,22 @@ def test_hosts_with_few_pages_are_judged(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: list(r.kept) for r in line_dedup.line_dedup(docs, F.col("source"), line_dedup.text_lines(F.col("text"))).collect()}
     assert got[0] == ["body 0"] and got[18] == ["body 8"] and got[30] == ["menu", "body"] and got[40] == ["body 0"]
+
+
+def words(letter, n=60):
+    return " ".join(f"{letter}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_near_copy_under_a_shared_id(spark, turned):
+    """Whatever text's set comes first: B hangs on C, and A, of the same id, on nothing but its own copy."""
+    a, c = (words("z"), words("q")) if turned else (words("q"), words("z"))
+    b = c + " end"
+    rows = [(2, c), (5, a), (5, b), (7, a + " tail"), (9, words("s")), (9, words("s") + " end"), (9, ""), (9, ""), (11, words("t")), (11, words("t").replace(" ", "  "))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_texts) for r in jaccard_join.jaccard_join(docs.select("doc_id", "text")).collect())
+    assert got == [(2, 2, 1, 1), (5, 2, 1, 1), (5, 5, 1, 1), (7, 5, 1, 1), (9, 9, 0, 0), (9, 9, 0, 0), (9, 9, 1, 1), (9, 9, 1, 1), (11, 11, 1, 0), (11, 11, 1, 0)]
+    left = [(r.doc_id, " ".join(r.text.split())) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    nines = [t for i, t in left if i == 9]
+    assert sorted(x for x in left if x[0] != 9) == sorted([(2, c), (5, a), (11, words("t"))])
+    assert len(nines) == 2 and "" in nines
