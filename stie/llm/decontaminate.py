@@ -1,17 +1,17 @@
-"""Operator 5, benchmark decontamination by spaced seeds.
+"""Operator 5, benchmark decontamination by exact seeds.
 
-A fixed mask keeps some positions of a run of tokens and ignores the others, so two runs can
-meet although tokens at the ignored positions differ. The hashes of all masks at all
-positions of the benchmark are joined with those of the documents; around every hit, the
-document and the item are laid on each other on the hit's diagonal and compared token by
-token. A pair is reported if somewhere `overlap` tokens in a row (the whole item, if it is
-shorter) agree in at least `identity` of the positions.
+A pair is reported if somewhere `overlap` tokens in a row (the whole item, if it is shorter) agree
+in at least `identity` of the positions. With m differences among w tokens, the other w - m stand
+in m + 1 runs at most, so one run has ceil((w - m) / (m + 1)) tokens: 4 for w = 20 and 16 of them
+equal. The hashes of all runs of that many tokens of the benchmark are joined with those of the
+documents, so no pattern of differences that `identity` allows is missed; around every hit, the
+document and the item are laid on each other on the hit's diagonal and compared token by token.
 
 Tokens are lower-case runs of letters and digits, so case, spacing and punctuation don't
-count. Items of fewer than `shortest` tokens are not searched: what they hold is found
-everywhere. The benchmark is the small side: it goes to the executors in blocks of about
-`block_bytes`, one pass over the documents a block, so what is broadcast is bounded. The
-documents are read where they lie; nothing of them is shuffled but the pairs that are found.
+count; a token put in or left out ends a diagonal. Items of fewer than `shortest` tokens are found
+as whole, exact token sequences only. The benchmark is the small side: it goes to the executors in
+blocks of about `block_bytes`, one pass over the documents a block, so what is broadcast is bounded.
+The documents are read where they lie; nothing of them is shuffled but the pairs that are found.
 
 Null and empty texts hold nothing. Rows that repeat give the same pairs once each; a null
 doc_id or item_id is reported as null. Documents may have any other columns.
@@ -32,9 +32,8 @@ from stie.llm import kernels as K
 from stie.llm.common import table
 
 U64 = np.uint64
-#: Spans of 11 tokens of which 7 count.
-MASKS = ("11101001011", "11010010111", "10111100101", "11110000111")
 FILTER_BITS = 22
+CELLS = 1 << 20
 
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[128:] = False
@@ -51,79 +50,101 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield i, j, K.word_hashes(part, start, end), np.searchsorted(doc, np.arange(j - i + 1))
 
 
-def seeds(values: np.ndarray, mask: str, which: int) -> np.ndarray:
-    """The hash under a mask at every position where it fits."""
-    n = len(values) - len(mask) + 1
+def seeds(values: np.ndarray, span: int) -> np.ndarray:
+    """The hash of so many tokens at every position where they fit."""
+    n = len(values) - span + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    out = np.full(n, which + 1, dtype=U64)
-    for at, bit in enumerate(mask):
-        if bit == "1":
-            out = (out ^ values[at : at + n]) * U64(0x9FB21C651E98DF25)
-            out ^= out >> U64(29)
+    out = np.full(n, span, dtype=U64)
+    for at in range(span):
+        out = (out ^ values[at : at + n]) * U64(0x9FB21C651E98DF25)
+        out ^= out >> U64(29)
     return out
 
 
+def demand(size: int, overlap: int, identity: float, shortest: int) -> tuple[int, int, int]:
+    """Of an item of so many tokens: tokens in a row that are compared, how many must agree, and the run that then agrees at least."""
+    window = min(size, overlap)
+    equal = window if size < shortest else next(n for n in range(window + 1) if n >= identity * window)
+    return window, equal, max(1, -(-equal // (window - equal + 1)))
+
+
 @dataclass
 class Block:
-    """Some items of the benchmark: ids, tokens, and their seeds in order."""
+    """Some items of the benchmark: ids, tokens, what each demands, and their seeds in order."""
 
     ids: list[int | None]
     values: np.ndarray
     begins: np.ndarray
+    demands: list[tuple[int, int, int]]
+    spans: list[int]
     hashes: np.ndarray
     item: np.ndarray
     at: np.ndarray
     filter: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str | None]], shortest: int) -> Block:
+    def of(cls, rows: list[tuple[int | None, str | None]], overlap: int, identity: float, shortest: int) -> Block:
         parts = list(tokens(pa.array([t for _, t in rows], pa.string())))
         values = np.concatenate([x[2] for x in parts]) if parts else np.zeros(0, dtype=U64)
         sizes = np.concatenate([np.diff(x[3]) for x in parts]) if parts else np.zeros(0, dtype=np.int64)
         begins = np.append(0, np.cumsum(sizes))
         item = np.repeat(np.arange(len(sizes)), sizes)
-        found = []
-        for which, mask in enumerate(MASKS):
-            hashed = seeds(values, mask, which)
+        demands = [demand(int(n), overlap, identity, shortest) for n in sizes]
+        own = np.array([d[2] for d in demands], dtype=np.int64)
+        spans = sorted({int(x) for x in own[sizes > 0]})
+        found = [(np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))]
+        for span in spans:
+            hashed = seeds(values, span)
             here = np.arange(len(hashed))
-            fits = (item[: len(hashed)] == item[len(mask) - 1 :][: len(hashed)]) & (sizes[item[: len(hashed)]] >= shortest)
+            fits = (item[: len(hashed)] == item[span - 1 :][: len(hashed)]) & (own[item[: len(hashed)]] == span)
             found.append((hashed[fits], here[fits]))
         hashes, at = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         order = np.argsort(hashes, kind="stable")
         hashes, at = hashes[order], at[order]
         flags = np.zeros(1 << FILTER_BITS, dtype=bool)
         flags[(hashes >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in rows], values, begins, hashes, item[at], at - begins[item[at]], flags)
+        return cls([i for i, _ in rows], values, begins, demands, spans, hashes, item[at], at - begins[item[at]], flags)
 
 
-def overlaps(values: np.ndarray, begins: np.ndarray, block: Block, overlap: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+def overlaps(values: np.ndarray, begins: np.ndarray, block: Block) -> list[tuple[int, int, int, int, int]]:
     """Document, item, first token in the document, tokens compared, tokens equal: the best stretch of every pair."""
-    pairs = []
+    room = int(np.diff(block.begins).max(initial=0))
+    width, many = len(values) + 2 * room + 1, len(begins)
+    found = [np.zeros(0, dtype=np.int64)]
     doc_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    for which, mask in enumerate(MASKS):
-        hashed = seeds(values, mask, which)
+    for span in block.spans:
+        hashed = seeds(values, span)
         near = np.flatnonzero(block.filter[(hashed >> U64(64 - FILTER_BITS)).astype(np.int64)])
-        near = near[doc_of[near] == doc_of[near + len(mask) - 1]]
+        near = near[doc_of[near] == doc_of[near + span - 1]]
         low, high = np.searchsorted(block.hashes, hashed[near], "left"), np.searchsorted(block.hashes, hashed[near], "right")
         hit = K.spans_of(low, high - low)
         where = np.repeat(near, high - low)
-        pairs.append(np.stack([doc_of[where], block.item[hit], where - block.at[hit]]))
+        found.append((block.item[hit] * many + doc_of[where]) * width + where - block.at[hit] + room)
+    keys = np.unique(np.concatenate(found))
+    owner, shifts = np.divmod(keys, width)
+    items, docs = np.divmod(owner, many)
+    shifts -= room
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    diagonals = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((3, 0), dtype=np.int64)
-    for doc, item, shift in diagonals.T:
+    for f, m in zip(*K.runs(items), strict=True):
+        item = int(items[f])
         own = block.values[block.begins[item] : block.begins[item + 1]]
-        first, last = max(int(shift), int(begins[doc])), min(int(shift) + len(own), int(begins[doc + 1]))
-        size = min(overlap, len(own))
-        if last - first < size:
-            continue
-        equal = values[first:last] == own[first - shift : last - shift]
-        sums = np.append(0, np.cumsum(equal))
-        stretch = sums[size:] - sums[:-size]
-        if stretch.max() >= identity * size:
-            was = best.get((doc, item))
-            if was is None or was[2] < int(sums[-1]):
-                best[doc, item] = (first - int(begins[doc]), last - first, int(sums[-1]))
+        window, least, _ = block.demands[item]
+        step = max(1, CELLS // len(own))
+        for p in range(f, f + m, step):
+            doc, shift = docs[p : min(p + step, f + m)], shifts[p : min(p + step, f + m)]
+            first, last = np.maximum(shift, begins[doc]), np.minimum(shift + len(own), begins[doc + 1])
+            at = shift[:, None] + np.arange(len(own))
+            equal = (values[np.clip(at, 0, len(values) - 1)] == own) & (at >= first[:, None]) & (at < last[:, None])
+            sums = np.zeros((len(doc), len(own) + 1), dtype=np.int64)
+            np.cumsum(equal, axis=1, out=sums[:, 1:])
+            starts = at[:, : len(own) - window + 1]
+            enough = (sums[:, window:] - sums[:, :-window] >= least) & (starts >= first[:, None]) & (starts + window <= last[:, None])
+            for k in np.flatnonzero(enough.any(axis=1)):
+                d, total = int(doc[k]), int(sums[k, -1])
+                was = best.get((d, item))
+                if was is None or was[2] < total:
+                    best[d, item] = (int(first[k] - begins[d]), int(last[k] - first[k]), total)
     return [(int(d), int(i), *x) for (d, i), x in sorted(best.items())]
 
 
@@ -138,25 +159,25 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, overlap: int = 20,
                 ids = batch.column(0).to_pylist()
                 out = []
                 for i, _, values, begins in tokens(batch.column(1)):
-                    out += [(ids[d + i], block.ids[item], first, n, equal) for d, item, first, n, equal in overlaps(values, begins, block, overlap, identity)]
+                    out += [(ids[d + i], block.ids[item], first, n, equal) for d, item, first, n, equal in overlaps(values, begins, block)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "item_id", "first_token", "n_tokens", "n_equal"])
 
         return of_batches
 
     found = None
-    for block in _blocks(benchmark, shortest, block_bytes):
+    for block in _blocks(benchmark, overlap, identity, shortest, block_bytes):
         part = sent.mapInArrow(search(block), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _blocks(benchmark: DataFrame, shortest: int, block_bytes: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, overlap: int, identity: float, shortest: int, block_bytes: int) -> Iterator[Block]:
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     count = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
     for number in range(count):
-        yield Block.of([(r.item_id, r.text) for r in items.where(F.col("block") == number).orderBy("item_id", "text").collect()], shortest)
+        yield Block.of([(r.item_id, r.text) for r in items.where(F.col("block") == number).orderBy("item_id", "text").collect()], overlap, identity, shortest)
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, overlap: int = 20, identity: float = 0.8, shortest: int = 11, block_bytes: int = 4 << 20) -> DataFrame:
@@ -168,12 +189,12 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, overlap: in
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for i, _, values, begins in tokens(batch.column(text)):
-                    clean[[i + d for d, *_ in overlaps(values, begins, block, overlap, identity)]] = False
+                    clean[[i + d for d, *_ in overlaps(values, begins, block)]] = False
                 yield batch.filter(pa.array(clean))
 
         return of_batches
 
-    for block in _blocks(benchmark, shortest, block_bytes):
+    for block in _blocks(benchmark, overlap, identity, shortest, block_bytes):
         documents = documents.mapInArrow(keep(block), schema)
     return documents
 

@@ -1,10 +1,13 @@
 """Corpus operators do the whole job, where they once left something out."""
 
+import itertools
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stie.llm import jaccard_join, line_dedup
+from stie.llm import decontaminate, jaccard_join, line_dedup
 
 
 def test_hosts_with_few_pages_are_judged(spark):
@@ -31,3 +34,21 @@ def test_a_near_copy_under_a_shared_id(spark, turned):
     nines = [t for i, t in left if i == 9]
     assert sorted(x for x in left if x[0] != 9) == sorted([(2, c), (5, a), (11, words("t"))])
     assert len(nines) == 2 and "" in nines
+
+
+@pytest.mark.parametrize("size, differ", [(11, 1), (11, 2), (12, 2), (15, 3), (20, 4)])
+def test_every_pattern_that_identity_allows_is_found(size, differ):
+    item = [f"w{i}" for i in range(size)]
+    block = decontaminate.Block.of([(1, " ".join(item))], 20, 0.8, 11)
+    patterns = list(itertools.combinations(range(size), differ))
+    texts = [" ".join(["a", *("other" if i in p else w for i, w in enumerate(item)), "b"]) for p in patterns]
+    found = sum(len(decontaminate.overlaps(values, begins, block)) for _, _, values, begins in decontaminate.tokens(pa.array(texts)))
+    assert found == len(patterns)
+
+
+def test_short_items_are_found_exactly(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "name two of the five great lakes in order"), (3, "lonely")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so who wrote hamlet, then"), (2, "who wrote a hamlet"), (3, "name two of the five great lakes in turn"), (4, "Name two of the five great lakes in order"), (5, "hamlet"), (6, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {(1, 1, 3), (4, 2, 9)}
+    assert {r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()} == {2, 3, 5, 6}
