@@ -187,12 +187,18 @@ def tracklet_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(links.select("clip_id", F.col("old_id").alias("a"), F.col("new_id").alias("b")), ["clip_id"])
 
 
+def _instants(t: DataFrame) -> DataFrame:
+    """clip_id, t: start, middle and end of every track."""
+    spans = t.groupBy("clip_id", "id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return spans.select("clip_id", F.explode(F.array("a", F.round((F.col("a") + F.col("b")) / 2, 3), "b")).alias("t")).distinct()
+
+
 @query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, frame_index, ts FROM tracks WHERE frame_index % 3 = 0), i AS (SELECT DISTINCT clip_id, unnest(generate_series(0, 36)) + 0.37::DOUBLE AS t FROM tracks)
 SELECT clip_id, round(t, 3) AS t, frame_index, ts FROM (SELECT i.clip_id, t, f.frame_index, f.ts, row_number() OVER (PARTITION BY i.clip_id, t ORDER BY round(abs(f.ts - t), 9), f.ts) AS nth FROM i JOIN f USING (clip_id)) WHERE nth = 1""")
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
-    frames = t.where("frame_index % 3 = 0").select("clip_id", "frame_index", "ts").distinct()
-    instants = t.select("clip_id").distinct().withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(36)), lambda x: x + F.lit(0.37))))
+    frames = t.select("clip_id", "frame_index", "ts").distinct()
+    instants = _instants(t)
     return T.as_of(instants, frames, ["clip_id"], "t", "ts").withColumn("t", F.round("t", 3))
 
 
@@ -200,8 +206,8 @@ def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT clip_id, round(t, 3) AS t, max(CASE WHEN ts <= t THEN ts END) AS before, min(CASE WHEN ts >= t THEN ts END) AS after FROM i JOIN f USING (clip_id) GROUP BY ALL""")
 def asof_forward_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
-    frames = t.where("frame_index % 3 = 0").select("clip_id", "ts").distinct()
-    instants = t.select("clip_id").distinct().withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(36)), lambda x: x + F.lit(0.37))))
+    frames = t.select("clip_id", "ts").distinct()
+    instants = _instants(t)
     back = T.as_of(instants, frames, ["clip_id"], "t", "ts", "backward").withColumnRenamed("ts", "before")
     return T.as_of(back, frames, ["clip_id"], "t", "ts", "forward").select("clip_id", F.round("t", 3).alias("t"), "before", F.col("ts").alias("after"))
 

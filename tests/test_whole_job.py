@@ -8,6 +8,7 @@ import random
 import pytest
 
 from stie.plans import catalogue
+from stie.sources.views import tracks
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -61,3 +62,17 @@ def test_labels_reach_across_slots(spark, tmp_path):
     rows = [(0, 1100, 30, "signup"), (1, 1300, 20, "error"), (2, 40000, 30, "signup"), (3, 41000, 30, "purchase"), (4, 80000, 1, "signup")]
     got = catalogue.QUERIES["labelled_candidates"](spark, write_events(spark, tmp_path, rows)).collect()
     assert {(r.candidate_id, r.label) for r in got} == {(0, 1), (4, 0)}
+
+
+def test_instants_of_all_tracks_reach_all_frames(spark, sf):
+    frames, ends = {}, {}
+    for r in tracks(spark, sf).select("clip_id", "id", "ts").collect():
+        frames.setdefault(r.clip_id, set()).add(r.ts)
+        ends.setdefault((r.clip_id, r.id), []).append(r.ts)
+    instants = {(c, round(t, 3)) for (c, _), x in ends.items() for t in (min(x), (min(x) + max(x)) / 2, max(x))}
+    near = {(r.clip_id, r.t): r for r in catalogue.QUERIES["nearest_frame"](spark, sf).collect()}
+    both = {(r.clip_id, r.t): r for r in catalogue.QUERIES["asof_forward_backward"](spark, sf).collect()}
+    assert set(near) == set(both) == instants
+    for c, t in instants:
+        assert near[c, t].ts == min(frames[c], key=lambda x: (round(abs(x - t), 9), x)) and round(near[c, t].frame_index * 0.1, 1) == near[c, t].ts
+        assert both[c, t].before == max(x for x in frames[c] if x <= t) and both[c, t].after == min(x for x in frames[c] if x >= t)
