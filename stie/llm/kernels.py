@@ -16,6 +16,8 @@ U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD6E8FEB86659FD93)
 _BASE_INV = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_ODD = U64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 _POWERS: dict[str, np.ndarray] = {}
 
 SPACES = np.zeros(256, dtype=bool)
@@ -88,7 +90,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return bytes_[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents with about `limit` bytes each; a longer document stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -115,7 +117,41 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SP
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_sums(BYTES[buf]), start, end)
+    """64-bit hash of every word, from its bytes eight at a time.
+
+    Each piece of eight is mixed with its place in the word before the pieces are added, so there is no
+    structure (as in a polynomial) by which long words of few symbols could collide.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, dtype=U64)
+    padded = np.append(buf, np.zeros(8, dtype=np.uint8))
+    eights = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    first = _eight(eights[start], size)
+    out = mix(first * _ODD + size.astype(U64))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        place = spans_of(np.ones(len(long), dtype=np.int64), more)
+        at = np.repeat(start[long], more) + place * 8
+        left = np.repeat(end[long], more) - at
+        pieces = mix(mix(_eight(eights[at], left) + _GOLD) ^ mix(place.astype(U64) * _ODD))
+        out[long] = mix(out[long] + np.add.reduceat(pieces, np.cumsum(more) - more))
+    return out
+
+
+def _eight(values: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes, of which those from `left` on don't count."""
+    return values & _MASKS[np.minimum(left, 8)]
+
+
+def word_numbers(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the words: two words have one number if, and only if, their bytes are equal."""
+    size = end - start
+    data = pa.py_buffer(np.ascontiguousarray(buf[spans_of(start, size)]))
+    offsets = pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, offsets, data])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def spans_of(first: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -7,22 +7,29 @@ hash of its runs of `seed` symbols (winnowing), so equal windows have equal anch
 consecutive windows mostly share theirs. Consecutive windows with one anchor are a run, and
 the symbols they cover are its context.
 
-    chunks   documents dealt by id into pieces of about 8 MB of text
+    chunks   documents dealt by id and text into pieces of about 8 MB of text
     seeds    chunk -> anchor bucket: the distinct anchors of the chunk, with counts
     shared   bucket -> chunk: which of them hold more than one context anywhere
     contexts chunk -> bucket: of shared anchors, the contexts that no earlier document of
-             the chunk has; later ones of the chunk are settled at once
+             the chunk has; copies of a context that later documents of the chunk have are settled at once
     settle   bucket -> chunk: for every window of these contexts, the first document
     digest   chunk: the symbols left of every document
 
-A text crosses the network once, its anchors once and the contexts of shared anchors once.
-No pairs are made: an anchor with n contexts costs n, and copies inside a chunk cost
-nothing beyond it. An anchor with more than `HOT` contexts (a line that very many documents
-hold) is split: all its windows travel under their own hash, so that no group grows with
-the number of documents that share a passage; equal windows collapse in each chunk.
-
-Documents without an id neither lose nor take anything. Rows with equal ids don't take
-from each other. Null texts are empty.
+Hashes only bring together what may be equal. What is removed has been compared symbol by symbol:
+copies of a context byte by byte, different contexts by the operator's own method (`first_of`).
+Words are kept apart by one space each, so equal words mean equal bytes.
+
+Texts are dealt once, and that exchange is read by three stages; anchors travel once, and contexts
+only of shared anchors. No pairs travel: an anchor with n contexts costs n, and copies inside a chunk
+cost nothing beyond it. A chunk sends at most one row to a bucket, and never more rows than
+it has anchors, so the rows of an exchange are bounded by the anchors however many chunks there are.
+An anchor with more than `hot` contexts (a line that very many documents hold) gets the longest seed
+there is, the whole window: no group grows with the number of documents that share a
+passage, as equal windows collapse in each chunk. The result is the same for any `hot`.
+
+Documents without an id neither lose nor take anything, and are spread by their text. Rows with equal
+ids don't take from each other. Null texts are empty. An empty table gives an empty result. Long texts
+stand in one chunk whole, and are read in blocks. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +48,7 @@ from stie.llm.suffix import suffix_arrays
 
 U64 = np.uint64
 HOT = 2048
+FEW = 16  # seats that are extended each with each
 LONGEST_RUN = 128
 BATCH_BITS = 20  # symbols that are sorted together: many texts share each step, and few MB are at work
 FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("row", np.uint32), ("start", np.uint32), ("count", np.uint32), ("size", np.uint32))
@@ -80,17 +88,39 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, unit: str, seed: int, wi
     return {n: np.concatenate([x[k] for x in found]) if found else np.zeros(0, dtype=kinds[k]) for k, n in enumerate(names)}
 
 
-def _rows(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+def _one_space(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with one space after each word in place of any separators."""
+    gap = K.SPACES[buf]
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    keep[edge] = ~gap[edge]
+    many = np.append(0, np.cumsum(keep, dtype=np.uint32)).astype(np.uint32)
+    return np.where(gap, np.uint8(0x20), buf)[keep], many[offsets].astype(np.int64)
+
+
+def _rows(chunk: pa.Table, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
     """The chunk in an order that every stage finds again; ids, and where there are none."""
     chunk = chunk.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = chunk.column("doc_id")
     none = ids.is_null().to_numpy()
     buf, offsets = K.text_buffer(chunk.column("text"))
+    if unit == "word" and len(buf):
+        buf, offsets = _one_space(buf, offsets)
     return buf, offsets, ids.fill_null(0).to_numpy().astype(np.int64), none, chunk
 
 
+def _alike(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size[i] bytes from a[i] and from b[i] are the same."""
+    out = np.ones(len(a), dtype=bool)
+    for i, j in K.blocks(np.append(0, np.cumsum(size))):
+        same = buf[K.spans_of(a[i:j], size[i:j])] == buf[K.spans_of(b[i:j], size[i:j])]
+        out[i:j] = np.logical_and.reduceat(same, np.cumsum(size[i:j]) - size[i:j])
+    return out
+
+
 def _runs_of(chunk: pa.Table, unit: str, seed: int, window: int):
-    buf, offsets, ids, none, _ = _rows(chunk)
+    buf, offsets, ids, none, _ = _rows(chunk, unit)
     found = anchored_runs(buf, offsets, unit, seed, window)
     if none.any():
         keep = ~none[found["row"]]
@@ -153,6 +183,16 @@ def _unpack(count: int, raw: int, payload: pa.Buffer) -> tuple[dict[str, np.ndar
     return out, np.frombuffer(data, np.uint8, offset=at)
 
 
+def _windows_apart(burst: dict[str, np.ndarray], buf: np.ndarray, unit: str, window: int) -> dict[str, np.ndarray]:
+    """Every window of these contexts as a context of its own, with the whole window as its seed."""
+    size = burst["to"] - burst["from"]
+    begins = np.append(0, np.cumsum(size))
+    single = anchored_runs(buf[K.spans_of(burst["from"], size)], begins, unit, window, window)
+    of = single["row"]
+    shift = burst["from"][of] - begins[of]
+    return single | {"start": burst["start"][of] + single["start"], "row": burst["row"][of], "from": single["from"] + shift, "to": single["to"] + shift, "anchor": K.mix(~single["anchor"]), "flag": np.ones(len(of), np.uint8)}
+
+
 MESSAGE = "bucket long, chunk long, kind int, n long, raw long, payload binary"
 
 
@@ -174,19 +214,19 @@ def _contexts(key: tuple, chunk: pa.Table, flags: pa.Table, *, unit: str, seed:
         def settle_here(entries: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
             """Contexts that an earlier document of the chunk has are gone; the rest must be asked for."""
             first, many = K.runs(entries["anchor"], entries["context"])
-            doc = ids[entries["row"]]
-            later = doc > np.repeat(doc[first], many)
+            leader = np.repeat(first, many)
+            doc, size = ids[entries["row"]], entries["to"] - entries["from"]
+            later = (doc > doc[leader]) & (size == size[leader])
+            at = np.flatnonzero(later)
+            later[at] = _alike(buf, entries["from"][at], entries["from"][leader[at]], size[at])
             return {k: v[~later] for k, v in entries.items()}, tuple(entries[k][later] for k in ("row", "start", "count"))
 
         rest, gone = settle_here(found)
         asked = {k: v[rest["flag"] == 1] for k, v in rest.items()}
         burst = {k: v[rest["flag"] == 2] for k, v in rest.items()}
         if len(burst["row"]):
-            size = burst["to"] - burst["from"]
-            single = anchored_runs(buf[K.spans_of(burst["from"], size)], np.append(0, np.cumsum(size)), unit, window, window)
-            of = single["row"]
-            shift = burst["from"][of] - np.append(0, np.cumsum(size))[of]
-            single = single | {"start": burst["start"][of] + single["start"], "row": burst["row"][of], "from": single["from"] + shift, "to": single["to"] + shift, "anchor": K.mix(~single["anchor"]), "flag": np.ones(len(of), np.uint8)}
+            parts = [_windows_apart({k: v[i:j] for k, v in burst.items()}, buf, unit, window) for i, j in K.blocks(np.append(0, np.cumsum(burst["to"] - burst["from"])))]
+            single = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
             order = np.lexsort((single["row"], single["context"], single["anchor"]))
             single, more = settle_here({k: v[order] for k, v in single.items()})
             gone = tuple(np.concatenate(x) for x in zip(gone, more, strict=True))
@@ -215,7 +255,6 @@ def first_by_suffixes(buf: np.ndarray, offsets: np.ndarray, group: np.ndarray, d
     first, many = K.runs(group)
     text_size = np.add.reduceat(size + 1, first) + 1 if len(first) else first
     by_size = np.argsort(text_size, kind="stable")
-    by_size = by_size[many[by_size] > 1]  # of a single context, nothing can stand in another document
     batch = np.cumsum(text_size[by_size]) >> BATCH_BITS
     alike = np.log2(np.maximum(text_size[by_size], 1)).astype(np.int64)  # texts of a batch take about as many steps
     for s, m in zip(*K.runs(batch, alike), strict=True):
@@ -251,40 +290,83 @@ def first_by_suffixes(buf: np.ndarray, offsets: np.ndarray, group: np.ndarray, d
 def first_by_extension(buf: np.ndarray, offsets: np.ndarray, group: np.ndarray, doc: np.ndarray, count: np.ndarray, *, seed: int, window: int) -> np.ndarray:
     """For every window of the contexts: the least document that holds it, by extending seeds.
 
-    A window is the seed it holds, extended to the left and to the right. Windows of one
-    anchor match if both extensions do, so all contexts of the anchor are compared at once.
+    Where an anchor stands in a context is a seat. Seats of one anchor are extended word by word to the
+    left and to the right as far as they agree; a repeat of at least `window` words that comes out takes
+    its windows from the later document. In groups of up to `FEW` seats each meets each. In a larger one
+    the seeds grow first: what a window has beyond its seed stands at least by half on one side, so
+    every seat goes on with the seed that is longer by that half to the right, and with that to the
+    left, among those that have the same. Seeds of a whole window are extended from the first document only.
     """
     start, end, of = K.word_spans(buf, offsets)
     begins = np.searchsorted(of, np.arange(len(offsets)))
+    words = K.word_numbers(buf, start, end)
     sums = K.prefix_sums(K.word_hashes(buf, start, end))
-    grams = K.run_hash(sums, seed)
     owner = np.repeat(np.arange(len(count)), count)
+    first_window = np.append(0, np.cumsum(count))
     at = K.spans_of(begins[:-1], count)
-    least = K.sliding_min(grams, window - seed + 1)[at]
-    place = np.full(len(grams), len(grams), dtype=np.int64)  # the next place of the seed, at or after
-    order = np.lexsort((np.arange(len(grams)), grams))
-    look = np.lexsort((at, least))
-    place = order[np.searchsorted(_ranked(grams, order), _ranked_query(grams, order, least[look], at[look]))]
-    seat = np.empty(len(at), dtype=np.int64)
-    seat[look] = place
-    left, right = K.range_hash(sums, at, seat), K.range_hash(sums, seat, at + window)
-    both = K.mix(left * U64(3) + right)
+    # The seat of a window: where its least seed stands first. It depends on the words of the window alone.
+    grams = (K.run_hash(sums, seed) >> U64(28) << U64(28)) | np.arange(max(0, len(words) - seed + 1), dtype=U64)
+    seat = (K.sliding_min(grams, window - seed + 1)[at] & U64((1 << 28) - 1)).astype(np.int64)
+    once, _ = K.runs(owner, seat)
+    context, low = owner[once], seat[once]
+    high = low + seed
     out = doc[owner]
-    order = np.lexsort((both, group[owner]))
-    first, many = K.runs(group[owner][order], both[order])
-    if len(first):
-        out[order] = np.repeat(np.minimum.reduceat(out[order], first), many)
+    order = np.lexsort((doc[context], group[context]))
+    context, low, high, key = context[order], low[order], high[order], group[context[order]]
+
+    def extend(a: np.ndarray, b: np.ndarray) -> None:
+        """b loses what it shares with a."""
+        for p in range(0, len(a), 1 << 15):
+            i, j = a[p : p + (1 << 15)], b[p : p + (1 << 15)]
+            x, y = context[i], context[j]
+            left = _agree(words, low[i] - 1, low[j] - 1, np.minimum(low[i] - begins[x], low[j] - begins[y]), -1)
+            right = _agree(words, low[i], low[j], np.minimum(begins[x + 1] - low[i], begins[y + 1] - low[j]), 1)
+            many = left + right - window + 1
+            keep = (many > 0) & (right >= high[i] - low[i])
+            i, j, x, y, left, many = i[keep], j[keep], x[keep], y[keep], left[keep], many[keep]
+            lost = K.spans_of(first_window[y] + low[j] - left - begins[y], many)
+            np.minimum.at(out, lost, np.repeat(doc[x], many))
+
+    while len(key):
+        first, many = K.runs(key)
+        size, whole = np.repeat(many, many), high - low >= window
+        leader = np.repeat(first, many)
+        later = np.flatnonzero(whole & (leader != np.arange(len(key))))
+        extend(leader[later], later)
+        small = (size <= FEW) & ~whole
+        for step in range(1, min(FEW, int(many.max()))):
+            a = np.flatnonzero(small[: len(key) - step] & (key[: len(key) - step] == key[step:]))
+            extend(a, a + step)
+        large = np.flatnonzero(~small & ~whole)
+        half = -(-(window - high[large] + low[large]) // 2)
+        grown = []
+        for side in (0, 1):
+            fits = (high[large] + half <= begins[context[large] + 1]) if side else (low[large] - half >= begins[context[large]])
+            e, h = large[fits], half[fits]
+            new_low, new_high = (low[e], high[e] + h) if side else (low[e] - h, high[e])
+            grown.append((context[e], new_low, new_high, K.mix(K.mix(key[e] + U64(side)) ^ K.range_hash(sums, new_low, new_high))))
+        context, low, high, key = (np.concatenate(x) for x in zip(*grown, strict=True))
+        order = np.lexsort((doc[context], key))
+        context, low, high, key = context[order], low[order], high[order], key[order]
+        _, many = K.runs(key)
+        met = np.repeat(many, many) > 1
+        context, low, high, key = context[met], low[met], high[met], key[met]
     return out
 
 
-def _ranked(grams: np.ndarray, order: np.ndarray) -> np.ndarray:
-    first, many = K.runs(grams[order])
-    return np.repeat(np.arange(len(first)), many) * np.int64(len(grams) + 1) + order
-
-
-def _ranked_query(grams: np.ndarray, order: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    first, _ = K.runs(grams[order])
-    return np.searchsorted(grams[order][first], value) * np.int64(len(grams) + 1) + at
+def _agree(words: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, step: int, width: int = 16) -> np.ndarray:
+    """How many words agree from a[i] and b[i] on, in the direction of step, room[i] at most."""
+    out = np.zeros(len(a), dtype=np.int64)
+    live = np.flatnonzero(room > 0)
+    while len(live):
+        at = out[live][:, None] + np.arange(width)
+        inside = at < room[live][:, None]
+        at = np.where(inside, at * step, 0)
+        same = inside & (words[a[live][:, None] + at] == words[b[live][:, None] + at])
+        more = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
+        out[live] += more
+        live = live[more == width]
+    return out
 
 
 ANSWER = "chunk long, payload binary"
@@ -301,31 +383,38 @@ def _settle(messages: pa.Table, *, first_of: Callable[..., np.ndarray], seed: in
         contents.append(content)
     if parts:
         entry = {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
-        buf = np.concatenate(contents)
-        offsets = np.append(0, np.cumsum(entry["size"]))
-        sums = K.prefix_sums(K.BYTES[buf])
-        content = K.range_hash(sums, offsets[:-1], offsets[1:])
+        size = pa.py_buffer(np.append(0, np.cumsum(entry["size"])))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(entry["size"]), [None, size, pa.py_buffer(np.concatenate(contents))])
+        contents.clear()
+        content = texts.dictionary_encode().indices.to_numpy()  # equal numbers for equal bytes
         order = np.lexsort((entry["doc"], content, entry["anchor"]))
         first, many = K.runs(entry["anchor"][order], content[order])
         leader = order[first]  # the first document of every distinct context
-        size = entry["size"][leader]
-        found = first_of(buf[K.spans_of(offsets[:-1][leader], size)], np.append(0, np.cumsum(size)), entry["anchor"][leader], entry["doc"][leader], entry["count"][leader], seed=seed, window=window)
+        chosen = texts.take(pa.array(leader))
+        offsets = np.frombuffer(chosen.buffers()[1], np.int64)[: len(leader) + 1]
+        found = first_of(np.frombuffer(chosen.buffers()[2], np.uint8)[: offsets[-1]], offsets, entry["anchor"][leader], entry["doc"][leader], entry["count"][leader], seed=seed, window=window)
         at = np.append(0, np.cumsum(entry["count"][leader]))[:-1]
         of_class = np.repeat(np.arange(len(leader)), many)
-        count = entry["count"][order]
-        owner = np.repeat(order, count)
-        nth = K.spans_of(np.zeros(len(order), dtype=np.int64), count)
-        gone = np.flatnonzero(found[np.repeat(at[of_class], count) + nth] < entry["doc"][owner])
-        owner, nth = owner[gone], nth[gone]
-        first, many = K.runs(owner, nth - np.arange(len(nth)))
-        owner, start = owner[first], entry["start"][owner[first]] + nth[first]
-        order = np.argsort(entry["chunk"][owner], kind="stable")
-        owner, start, many = owner[order], start[order], many[order]
-        chunk = entry["chunk"][owner]
-        answers += [(int(chunk[s]), np.stack([entry["row"][owner[s : s + m]], start[s : s + m], many[s : s + m]]).astype(np.uint32).tobytes()) for s, m in zip(*K.runs(chunk), strict=True)]
+        for i, j in K.blocks(np.append(0, np.cumsum(entry["count"][order]))):
+            answers += _lost(order[i:j], at[of_class[i:j]], found, entry)
     return pa.table({"chunk": pa.array([a for a, _ in answers], pa.int64()), "payload": pa.array([b for _, b in answers], pa.binary())})
 
 
+def _lost(holders: np.ndarray, at: np.ndarray, found: np.ndarray, entry: dict[str, np.ndarray]) -> list[tuple[int, bytes]]:
+    """For each chunk, the runs of windows that these holders of contexts lose. at: where found has the windows of their contexts."""
+    count = entry["count"][holders]
+    owner = np.repeat(holders, count)
+    nth = K.spans_of(np.zeros(len(holders), dtype=np.int64), count)
+    gone = np.flatnonzero(found[np.repeat(at, count) + nth] < entry["doc"][owner])
+    owner, nth = owner[gone], nth[gone]
+    first, many = K.runs(owner, nth - np.arange(len(nth)))
+    owner, start = owner[first], entry["start"][owner[first]] + nth[first]
+    order = np.argsort(entry["chunk"][owner], kind="stable")
+    owner, start, many = owner[order], start[order], many[order]
+    chunk = entry["chunk"][owner]
+    return [(int(chunk[s]), np.stack([entry["row"][owner[s : s + m]], start[s : s + m], many[s : s + m]]).astype(np.uint32).tobytes()) for s, m in zip(*K.runs(chunk), strict=True)]
+
+
 def _removed(answers: pa.Table, begins: np.ndarray, window: int) -> np.ndarray:
     """Which symbols of the chunk are covered."""
     step = np.zeros(begins[-1] + 1, dtype=np.int64)
@@ -338,7 +427,7 @@ def _removed(answers: pa.Table, begins: np.ndarray, window: int) -> np.ndarray:
 
 
 def _digest(key: tuple, chunk: pa.Table, answers: pa.Table, *, unit: str, window: int, texts: bool) -> pa.Table:
-    buf, offsets, _, _, chunk = _rows(chunk)
+    buf, offsets, _, _, chunk = _rows(chunk, unit)
     n = chunk.num_rows
     if unit == "byte":
         begins = offsets
@@ -377,7 +466,7 @@ def remove_repeats(documents: DataFrame, unit: str, seed: int, window: int, firs
     """doc_id, n_words or n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every document."""
     chunks = pieces(documents, size=chunk_bytes)
     spec = {"unit": unit, "seed": seed, "window": window}
-    dealt = documents.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"))
+    dealt = documents.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(chunks)).alias("chunk"))
     by_chunk = dealt.groupBy("chunk")
     seeds = by_chunk.applyInArrow(_plain(_seeds, **spec, buckets=chunks), "bucket long, chunk long, payload binary")
     shared = seeds.groupBy("bucket").applyInArrow(_plain(_shared, hot=hot), "chunk long, bucket long, flags binary")

@@ -1,13 +1,18 @@
 """Corpus operators do the whole job, where they once left something out."""
 
 import itertools
+import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stie.llm import decontaminate, jaccard_join, line_dedup
+from stie.llm import decontaminate, jaccard_join, line_dedup, repeats
+from stie.llm.substring_dedup import substring_dedup
+from stie.llm.suffix_dedup import suffix_dedup
+from tests.llm.test_llm import expected_removal
 
 
 def test_hosts_with_few_pages_are_judged(spark):
@@ -52,3 +57,49 @@ def test_short_items_are_found_exactly(spark):
     got = {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.decontaminate(docs, items).collect()}
     assert got == {(1, 1, 3), (4, 2, 9)}
     assert {r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()} == {2, 3, 5, 6}
+
+
+def thue_morse(n):
+    text = b"a"
+    while len(text) < n:
+        text += text.translate(bytes.maketrans(b"ab", b"ba"))
+    return text.decode(), text.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_words_that_a_polynomial_would_mix_up_stay_apart(spark):
+    shared = " ".join(f"w{i}" for i in range(49))
+    for size in (1024, 2048):
+        one, other = thue_morse(size)
+        docs = spark.createDataFrame([(0, f"{shared} {one}"), (1, f"{shared} {other}"), (2, f"{shared}\n{one} x")], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {0: 0, 1: 0, 2: 50}
+        assert {r.n_texts for r in jaccard_join.jaccard_join(docs.where("doc_id < 2"), size=50).collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_seeds_that_very_many_contexts_share(spark, seed):
+    """One phrase of 14 words in 150 documents, with every overlap on either side."""
+    rng = random.Random(seed)
+    phrase = [f"p{i}" for i in range(14)]
+    left, right = [f"l{i}" for i in range(60)], [f"r{i}" for i in range(60)]
+    texts = []
+    for n in range(150):
+        a, b = rng.randrange(0, 50), rng.randrange(0, 50)
+        texts.append(" ".join([f"x{n}_{i}" for i in range(5)] + left[60 - a :] + phrase + right[:b] + [f"y{n}_{i}" for i in range(5)] + phrase))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = {d: e[1] for d, e in expected_removal(list(enumerate(texts)), "word", 50).items()}
+    for hot in (2048, 8):
+        assert {r.doc_id: r.n_removed for r in substring_dedup(docs, hot=hot, chunk_bytes=3000).collect()} == expected
+    assert sum(expected.values()) > 1000
+
+
+def test_all_removal_goes_through_extension_or_suffix_arrays(spark):
+    """What the settling step gives back comes from `first_of` alone: where it finds nothing, nothing is removed."""
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(400)}" for _ in range(200))
+    docs = spark.createDataFrame([(n, f"{base} tail{n}") for n in range(40)], "doc_id long, text string")
+    blind = lambda buf, offsets, group, doc, count, **_: np.full(int(count.sum()), np.iinfo(np.int64).max)
+    for unit, size, least, operator in (("word", 12, 200 * 39, substring_dedup), ("byte", 24, len(base) * 39, suffix_dedup)):
+        one_each = {"chunk_bytes": 1200}
+        found = repeats.remove_repeats(docs, unit, size, 50, blind, **one_each)
+        inside = found.agg(F.sum("n_removed")).first()[0]  # copies that one chunk holds, compared byte by byte there
+        assert operator(docs, **one_each).agg(F.sum("n_removed")).first()[0] >= least > inside
