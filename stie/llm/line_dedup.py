@@ -11,7 +11,9 @@ broadcast if it has at most `broadcast_lines` lines in all; otherwise pages meet
 (host, salt).
 
 Pages without a host, and null or empty texts, lose nothing; empty lines are not counted. Rows
-that repeat are pages of their own. Other columns are passed through.
+that repeat are pages of their own. Very long texts are lines like any other, and a line that a page holds
+more than once counts once there. An empty table gives an empty result. Other columns are passed through,
+whatever their names, but those of the four that are added.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stie.llm.common import reliable, table
+from stie.llm.common import reliable, table, written
 
 BROADCAST_LINES = 200_000
 SALTS = 64
@@ -92,9 +94,13 @@ def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, n_lines, n_dropped and the text that stays, of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = line_dedup(pages, host_of(F.col("url")), trimmed_lines(html_text(F.col("html"))))
+    """page_id, host, n_lines, n_dropped and the text that stays, of every page.
+
+    The lines are taken out of the HTML once, and written: counting and dropping read them there.
+    """
+    pages = table(spark, sf_dir, "pages")
+    lines = written(pages.select("page_id", host_of(F.col("url")).alias("host"), trimmed_lines(html_text(F.col("html"))).alias("lines")))
+    found = line_dedup(lines, F.col("host"), F.col("lines")).drop("host")
     return found.select("page_id", F.col("site").alias("host"), "n_lines", "n_dropped", F.array_join("kept", "\n").alias("kept_text"))
 
 
@@ -112,7 +118,7 @@ WITH p AS (
   FROM pages),
 t AS (SELECT host, count(*) AS total FROM p WHERE host IS NOT NULL GROUP BY host),
 l AS (SELECT DISTINCT rid, host, unnest(lines) AS line FROM p),
-b AS (SELECT l.host, line FROM l JOIN t USING (host) WHERE total >= 10 GROUP BY l.host, line, total HAVING count(*) / total > 0.1),
+b AS (SELECT l.host, line FROM l JOIN t USING (host) GROUP BY l.host, line, total HAVING count(*) >= 2 AND count(*) / total > 0.1),
 k AS (SELECT host, list(line) AS gone FROM b GROUP BY host)
 SELECT page_id, p.host, len(lines)::BIGINT AS n_lines,
        (len(lines) - len(list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false))))::BIGINT AS n_dropped,
