@@ -14,13 +14,14 @@ shingle). The steps:
 3. The texts of cluster members are fetched once, and all pairs of a cluster whose set sizes
    allow the threshold are pruned in the same way and then verified on the whole sets.
 
-No pairs are shuffled. Small clusters are packed into units of work; a large one is cut into
-blocks by size and hash, and every two blocks that may hold links meet in a unit of their
-own. Each unit returns, per document, its number of links and the least document it hangs on,
+No pairs are shuffled. Small clusters are packed into units of work by members and shingles; a large
+one is cut into blocks by size and hash, and every two blocks that may hold links meet in a unit of their
+own, so a unit's memory is bounded. Each unit returns, per document, its number of links and the least document it hangs on,
 so what comes out grows with the documents. A bucket with more than `crowd` members joins its
 members to one cluster without comparing them, which loses no link.
 
-Null and empty texts have no set: each is a class of its own without links. Rows with a null
+Long texts are shingled whole, in blocks. Of other columns, whatever their names, none is read. An empty
+table gives an empty result. Null and empty texts have no set: each is a class of its own without links. Rows with a null
 doc_id come out with a null class and no links. Rows that repeat are copies of each other. Classes
 are numbered, and ids come in only at the end: texts that share an id are compared each on its
 own, and each row has the class and the links of its own text. Two classes that don't hang
@@ -48,6 +49,7 @@ VALUES = BANDS * ROWS
 STEP = 38
 BLOCK = 256
 UNIT = 1024
+UNIT_SHINGLES = 1 << 19  # of packed clusters together; a block of a large cluster has twice as many at most
 
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
@@ -275,8 +277,8 @@ def _verify(threshold: float, needed: list[tuple[int, int]]):
         sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
         out = [[], [], [], []]
         for f, m in zip(*K.runs(cluster), strict=True):
-            left = int((side[f : f + m] == 1).sum()) or None
-            if left == m:
+            left = None if side[f] == 0 else int((side[f : f + m] == 1).sum())
+            if left in (0, m):  # the other block is empty
                 continue
             links, texts, a, b = links_of(sets[f : f + m], sig[f : f + m], copies[f : f + m], left)
             order = np.argsort(doc[f : f + m], kind="stable")
@@ -373,13 +375,13 @@ def _links(read: DataFrame, classes: DataFrame, clusters: DataFrame, threshold:
     # Only neighbouring levels can hold linked sets.
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
     members = members.withColumn("level", level)
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    levels = members.groupBy("cluster", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("m_shingles"))
+    levels = members.groupBy("cluster", "level").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (2 * UNIT_SHINGLES))).cast("int").alias("cuts"))
     above = levels.select("cluster", (F.col("level") - 1).alias("level"), F.col("cuts").alias("cuts_above"))
     below = levels.select("cluster", (F.col("level") + 1).alias("level"), F.col("cuts").alias("cuts_below"))
     shape = levels.join(above, ["cluster", "level"], "left").join(below, ["cluster", "level"], "left").join(sizes, "cluster").fillna(0, ["cuts_above", "cuts_below"])
-    total = members.count()
-    units = max(1, -(-total // UNIT))
+    total = members.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    units = max(1, -(-total.m // UNIT), -(-total.shingles // UNIT_SHINGLES))
     cut = F.pmod(F.xxhash64("doc"), F.col("cuts").cast("long")).cast("int")
     name = lambda low, a, b, kind: F.struct(F.col("cluster").alias("c"), low.alias("l"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(kind).alias("k"))
     job = lambda unit, side: F.struct(unit.alias("unit"), F.lit(side).alias("side"))
@@ -391,7 +393,7 @@ def _links(read: DataFrame, classes: DataFrame, clusters: DataFrame, threshold:
     second = F.transform(steps(zero, F.col("cut") - 1), lambda o: job(name(F.col("level"), o, F.col("cut"), "same"), 2))
     low = F.transform(steps(zero, F.col("cuts_above") - 1), lambda o: job(name(F.col("level"), F.col("cut"), o, "next"), 1))
     high = F.transform(steps(zero, F.col("cuts_below") - 1), lambda o: job(name(F.col("level") - 1, o, F.col("cut"), "next"), 2))
-    jobs = F.when(F.col("m") <= block, packed).otherwise(F.concat(own, first, second, low, high))
+    jobs = F.when((F.col("m") <= block) & (F.col("m_shingles") <= 2 * UNIT_SHINGLES), packed).otherwise(F.concat(own, first, second, low, high))
     planned = members.join(shape, ["cluster", "level"]).withColumn("cut", cut).select("doc", "doc_id", "text_hash", "copies", "cluster", "sig", jobs.alias("jobs"))
     once = read.where(F.col("doc_id").isNotNull()).join(planned, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("text", "doc", "copies", "cluster", "sig", "jobs")
     work = once.mapInArrow(_members(size), "doc long, copies long, cluster long, sig binary, jobs " + planned.schema["jobs"].dataType.simpleString() + ", set binary")
