@@ -51,17 +51,6 @@ def attributed(tracked: DataFrame, heads: DataFrame, free: DataFrame, frame: lis
     return found.withColumn("head_obj", F.coalesce("_body", "_inside")).drop("_body", "_inside")
 
 
-def motion_crops(crops: list[dict], k: int = 4, overlap: float = 0.65) -> Iterable[dict]:
-    """The k crops with the most motion, then the greatest corners, of which no two overlap by more than that IoU; for folds.fold()."""
-    area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
-    kept: list[dict] = []
-    for crop in sorted(crops, key=lambda c: (-c["motion"], *(-c[x] for x in CORNERS), c["obj"])):
-        both = [max(min(crop["x2"], o["x2"]) - max(crop["x1"], o["x1"]), 0.0) * max(min(crop["y2"], o["y2"]) - max(crop["y1"], o["y1"]), 0.0) for o in kept]
-        if len(kept) < k and all(b / max(area(crop) + area(o) - b, 1e-6) <= overlap for b, o in zip(both, kept, strict=True)):
-            kept.append(crop)
-    return kept
-
-
 def time_gate(frames: list[dict], fps: float, start: float = 0.0) -> Iterable[dict]:
     """Frames from `start` on, each at least 1 / fps after the one before; for folds.fold()."""
     due = start

@@ -1,37 +1,44 @@
 """Ordered folds per key, for what can't be said without a running state.
 
-Keys are small (a track, a frame, a clip's pair), so many of them share one call: the rows are
-grouped by a hash of the key, sorted, and handed to the fold one key after the other.
+The rows are dealt by key and sorted, and a task reads them as a stream: it holds one Arrow batch and the
+rows of one key (a track, a clip's pair), however many keys there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """step() gets the rows of one key, in order, and gives the rows of the result."""
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def of_bundle(bundle: pd.DataFrame) -> pd.DataFrame:
-        bundle = bundle.sort_values([*keys, *order], kind="stable")
-        out, group, last = [], [], None
-        for row in bundle.to_dict("records"):
-            key = tuple(row[k] for k in keys)
-            if group and key != last:
-                out += step(group)
-                group = []
-            group.append(row)
-            last = key
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch_of(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in found], f.type) for f in arrow], schema=arrow)
+
+    def of_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, out = [], None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if group and key != last:
+                    out += step(group)
+                    group = []
+                group.append(row)
+                last = key
+            if out:
+                yield batch_of(out)
+                out = []
         out += step(group) if group else []
-        return pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names)
+        if out:
+            yield batch_of(out)
 
-    bundles = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("_bundle", F.pmod(F.xxhash64(*keys), F.lit(bundles))).groupBy("_bundle").applyInPandas(of_bundle, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(of_stream, schema)
 
 
 def keep_assignment(nearby: list[dict], max_gap: float = 1.0, switch_margin: float = 0.05, hold: bool = False) -> Iterable[dict]:
@@ -57,37 +64,6 @@ def keep_assignment(nearby: list[dict], max_gap: float = 1.0, switch_margin: flo
         yield best
 
 
-def suppress(boxes: list[dict], threshold: float = 0.5) -> Iterable[dict]:
-    """Greedy suppression: boxes by confidence; one that overlaps a kept box of its kind by `threshold` IoU goes."""
-    kept: list[dict] = []
-    for box in sorted(boxes, key=lambda b: (-b["conf"], b["obj"])):
-        if all(k["kind"] != box["kind"] or _iou(k, box) < threshold for k in kept):
-            kept.append(box)
-    return kept
-
-
-def drop_contained(boxes: list[dict], share: float = 0.9) -> Iterable[dict]:
-    """The largest first; a box that lies in a kept one of its sort (person or not) by more than `share` of its own area goes."""
-    kept: list[dict] = []
-    for box in sorted(boxes, key=lambda b: (-_area(b), b["obj"])):
-        if all((k["kind"] == "person") != (box["kind"] == "person") or _shared(k, box) <= share * max(_area(box), 1e-6) for k in kept):
-            kept.append(box)
-    return kept
-
-
-def _area(a: dict) -> float:
-    return max(a["x2"] - a["x1"], 0.0) * max(a["y2"] - a["y1"], 0.0)
-
-
-def _shared(a: dict, b: dict) -> float:
-    return max(min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), 0.0) * max(min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]), 0.0)
-
-
-def _iou(a: dict, b: dict) -> float:
-    both = _shared(a, b)
-    return both / max(_area(a) + _area(b) - both, 1e-6)
-
-
 def expand(frames: list[dict], margin: float = 0.25, max_gap: float = 0.5, max_extension: float = 2.0, symmetric: bool = False) -> Iterable[dict]:
     """Walks an event's bounds outwards while its pair stays close.
 
@@ -122,51 +98,3 @@ def expand(frames: list[dict], margin: float = 0.25, max_gap: float = 0.5, max_e
             break
     row = {k: v for k, v in frames[0].items() if k not in ("ts", "gap")}
     return [row | {"start_s": max(0.0, start), "end_s": min(duration, max(until, start + 1e-6))}]
-
-
-def chain(sightings: list[dict], frames_ahead: int = 15, frame_gap: int = 5, reach: float = 0.18, least_reach: float = 55.0) -> list[dict]:
-    """Links a first sighting to later ones by constant velocity, the nearest to the prediction first.
-
-    sightings: (frame, x, y, area, vehicle_width) of one seed and its candidates, the seed first; the
-    width is the vehicle's in that frame.
-    """
-    seed, linked = sightings[0], [sightings[0]]
-    by_frame: dict[int, list[dict]] = {}
-    for s in sightings[1:]:
-        by_frame.setdefault(s["frame"], []).append(s)
-    vx = vy = 0.0
-    for frame in range(seed["frame"] + 1, seed["frame"] + frames_ahead + 1):
-        last = linked[-1]
-        ahead = frame - last["frame"]
-        if ahead > frame_gap:
-            break
-        options = []
-        for s in by_frame.get(frame, []):
-            width = max(s["vehicle_width"], 1.0)
-            limit = max(least_reach, reach * width * ahead)
-            d = ((s["x"] - last["x"] - vx * ahead) ** 2 + (s["y"] - last["y"] - vy * ahead) ** 2) ** 0.5
-            if d <= limit:
-                options.append((d / width - 0.03 * min(s["area"] / max(last["area"], 1.0), 4.0), -s["area"], s["x"], s))
-        if options:
-            best = min(options, key=lambda o: o[:3])[3]
-            vx, vy = (best["x"] - last["x"]) / ahead, (best["y"] - last["y"]) / ahead
-            linked.append(best)
-    return linked
-
-
-def transition_sample(visible: list[frozenset], count: int, dense: bool = True) -> list[int]:
-    """Positions of `count` rows: half of them even, the rest around changes of what is visible."""
-    n = len(visible)
-    even = lambda k: sorted({i * (n - 1) // (k - 1) for i in range(k)}) if k > 1 and n > 1 else [0][:n]
-    if not dense or count < 6 or n <= count:
-        return even(min(count, n))
-    chosen = set(even(min(n, max(4, count // 2))))
-    changes = [0, *(i for i in range(1, n) if visible[i] != visible[i - 1]), n - 1]
-    for radius in range(n):
-        for c in changes:
-            for p in (c - radius, c + radius):
-                if 0 <= p < n and len(chosen) < count:
-                    chosen.add(p)
-        if len(chosen) >= count:
-            break
-    return sorted(chosen)

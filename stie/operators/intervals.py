@@ -31,31 +31,42 @@ def merge_overlapping(events: DataFrame, keys: list[str]) -> DataFrame:
     return _islands(events, keys, False).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_events")).drop("island")
 
 
-def active_at(instants: DataFrame, spans: DataFrame, keys: list[str], at: str = "t") -> DataFrame:
-    """Instants with the spans they fall into, start included and end not."""
-    return instants.join(spans, keys).where((F.col(at) >= F.col("start_s")) & (F.col(at) < F.col("end_s")))
+def active_at(instants: DataFrame, spans: DataFrame, keys: list[str], at: str = "t", bucket: float = 3600.0) -> DataFrame:
+    """Instants with the spans they fall into, start included and end not. They meet by time bucket."""
+    held = spans.withColumn("_bucket", F.explode(_buckets(F.col("start_s"), F.col("end_s"), bucket)))
+    return instants.withColumn("_bucket", F.floor(F.col(at) / bucket)).join(held, [*keys, "_bucket"]).where((F.col(at) >= F.col("start_s")) & (F.col(at) < F.col("end_s"))).drop("_bucket")
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
-    """All pairs within the keys that overlap; the right side's columns get the prefix r_."""
-    right = right.select(*[F.col(c) if c in keys else F.col(c).alias(f"r_{c}") for c in right.columns])
-    meets = (F.col("start_s") < F.col("r_end_s")) & (F.col("r_start_s") < F.col("end_s"))
-    return left.join(right, keys).where(meets if strict else (F.col("start_s") <= F.col("r_end_s")) & (F.col("r_start_s") <= F.col("end_s")))
+def _buckets(start: Column, end: Column, bucket: float) -> Column:
+    return F.sequence(F.floor(start / bucket), F.greatest(F.floor(end / bucket), F.floor(start / bucket)))
+
 
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], strict: bool = True, bucket: float = 3600.0) -> DataFrame:
+    """All pairs within the keys that overlap; the right side's columns get the prefix r_.
 
-def shared_seconds(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, shared: seconds that the two unions have in common."""
-    pairs = overlapping_pairs(a, b, keys)
-    return pairs.groupBy(*keys).agg(F.sum(G.overlap(F.col("start_s"), F.col("end_s"), F.col("r_start_s"), F.col("r_end_s"))).alias("shared"))
+    Both sides stand in every time bucket that they reach into, and a pair counts in that of the later start: so
+    spans meet only those around them, however long the clip is.
+    """
+    right = right.select(*[F.col(c) if c in keys else F.col(c).alias(f"r_{c}") for c in right.columns])
+    left = left.withColumn("_bucket", F.explode(_buckets(F.col("start_s"), F.col("end_s"), bucket)))
+    right = right.withColumn("_bucket", F.explode(_buckets(F.col("r_start_s"), F.col("r_end_s"), bucket)))
+    meets = (F.col("start_s") < F.col("r_end_s")) & (F.col("r_start_s") < F.col("end_s"))
+    meets = meets if strict else (F.col("start_s") <= F.col("r_end_s")) & (F.col("r_start_s") <= F.col("end_s"))
+    return left.join(right, [*keys, "_bucket"]).where(meets & (F.floor(F.greatest("start_s", "r_start_s") / bucket) == F.col("_bucket"))).drop("_bucket")
 
 
 def occupancy(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, predicted, reference, shared, union_s in seconds. spans has side 0 (predicted) and 1 (reference)."""
-    flat = union(spans, [*keys, "side"])
-    length = F.col("end_s") - F.col("start_s")
-    sums = flat.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, length)), F.lit(0.0)).alias(n) for s, n in ((0, "predicted"), (1, "reference"))])
-    shared = shared_seconds(flat.where("side = 0").drop("side"), flat.where("side = 1").drop("side"), keys)
-    return sums.join(shared, keys, "left").withColumn("shared", F.coalesce("shared", F.lit(0.0))).withColumn("union_s", F.col("predicted") + F.col("reference") - F.col("shared"))
+    """keys, predicted, reference, shared, union_s in seconds. spans has side 0 (predicted) and 1 (reference).
+
+    One sweep over the bounds of both sides, counted up and down: no pair of spans is made.
+    """
+    bounds = spans.where("start_s < end_s").select(*keys, "side", F.explode(F.array(F.struct(F.col("start_s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_s").alias("t"), F.lit(-1).alias("d")))).alias("b"))
+    at = bounds.groupBy(*keys, F.col("b.t").alias("t")).agg(*[F.sum(F.when(F.col("side") == s, F.col("b.d")).otherwise(0)).alias(n) for s, n in ((0, "p"), (1, "r"))])
+    order = W.partitionBy(*keys).orderBy("t")
+    sweep = at.select(*keys, (F.lead("t").over(order) - F.col("t")).alias("step"), *[(F.sum(n).over(order) > 0).alias(n) for n in ("p", "r")])
+    seconds = lambda on, name: F.coalesce(F.sum(F.when(on, F.col("step"))), F.lit(0.0)).alias(name)
+    p, r = F.col("p"), F.col("r")
+    return sweep.groupBy(*keys).agg(seconds(p, "predicted"), seconds(r, "reference"), seconds(p & r, "shared"), seconds(p | r, "union_s"))
 
 
 def rates(shared: Column, predicted: Column, reference: Column, union_s: Column) -> dict[str, Column]:
@@ -75,12 +86,12 @@ def pooled(per_key: DataFrame, keys: list[str], within: list[str] | None = None)
     return both.select(*keys, *[F.round(c, 3).alias(c) for c in ("predicted", "reference", "shared", "union_s")], *[F.round(v, 6).alias(k) for k, v in rates(*(F.col(c) for c in ("shared", "predicted", "reference", "union_s"))).items()])
 
 
-def sessions(points: DataFrame, keys: list[str], at: str, limit: float) -> DataFrame:
+def sessions(points: DataFrame, keys: list[str], at: str, limit: float, *more: Column) -> DataFrame:
     """keys, start_s, end_s, n: runs of points; a new one begins where the step exceeds the limit (an equal one doesn't)."""
     order = W.partitionBy(*keys).orderBy(at)
     step = F.col(at) - F.lag(at).over(order)
     numbered = points.withColumn("_new", F.when(step > limit + 1e-9, 1).otherwise(0)).withColumn("session", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "session").agg(F.min(at).alias("start_s"), F.max(at).alias("end_s"), F.count("*").alias("n"))
+    return numbered.groupBy(*keys, "session").agg(F.min(at).alias("start_s"), F.max(at).alias("end_s"), F.count("*").alias("n"), *more)
 
 
 def padded(spans: DataFrame, context: float, duration: Column) -> DataFrame:
@@ -96,20 +107,6 @@ def sliding_windows(spans: DataFrame, window: float, overlap: float) -> DataFram
     return cut.withColumns({"window_start": F.round(start, 3), "window_end": F.round(F.least(F.col("end_s"), start + window), 3)})
 
 
-def exclusive_segments(events: DataFrame, keys: list[str], who: str, what: str, rank: list[Column]) -> DataFrame:
-    """keys, who, what, start_s, end_s: at any time each `who` keeps one `what`, the one whose active event ranks first.
-
-    All bounds of the events of one `who` cut its time into segments; kept segments that touch are fused.
-    """
-    own = [*keys, who]
-    bounds = events.select(*own, F.explode(F.array("start_s", "end_s")).alias("cut")).distinct()
-    segments = bounds.withColumn("next", F.lead("cut").over(W.partitionBy(*own).orderBy("cut"))).where(F.col("next").isNotNull())
-    active = segments.join(events, own).where((F.col("start_s") <= F.col("cut")) & (F.col("cut") < F.col("end_s")))
-    best = active.withColumn("nth", F.row_number().over(W.partitionBy(*own, "cut").orderBy(*rank))).where("nth = 1")
-    kept = best.select(*own, what, F.col("cut").alias("start_s"), F.col("next").alias("end_s"))
-    return union(kept, [*own, what])
-
-
 def cut_to(events: DataFrame, bounds: DataFrame, keys: list[str], first: str | None = None, last: str | None = None) -> DataFrame:
     """Events cut to begin at or after `first` and end at or before `last` of their key; the empty ones go, as do those whose key has no bounds."""
     joined = events.join(bounds, keys)

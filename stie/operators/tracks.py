@@ -174,14 +174,6 @@ def longest_runs(rows: DataFrame, keys: list[str], at: str, positive: Column) ->
     return runs.groupBy(*keys).agg(F.max("n").alias("longest"))
 
 
-def gap_returns(tracks: DataFrame, keys: list[str], least: float, most: float) -> DataFrame:
-    """keys, gone_s, back_s: absences between two sightings that last from `least` to `most` seconds."""
-    order = W.partitionBy(*keys).orderBy("ts")
-    seen = tracks.withColumn("gone_s", F.lag("ts").over(order))
-    away = F.round(F.col("ts") - F.col("gone_s"), 6)
-    return seen.where(F.col("gone_s").isNotNull() & (away >= least) & (away <= most)).select(*keys, "gone_s", F.col("ts").alias("back_s"))
-
-
 def edge_means(values: DataFrame, keys: list[str], at: str, value: str, most: int = 3) -> DataFrame:
     """keys, n, first_mean, last_mean over the first and last min(most, n div 2) rows."""
     by = W.partitionBy(*keys)

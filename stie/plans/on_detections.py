@@ -9,6 +9,7 @@ from stie.functions import geometry as G
 from stie.functions import text as X
 from stie.operators import detections as D
 from stie.operators import folds, learning
+from stie.operators import suppress as S
 from stie.operators import tracks as T
 from stie.plans.on_tracks import gap_sql, inter_sql, side_sql
 from stie.sources.views import DURATION, FRAMES, SPANS, TRACKS, frames_objects, read, spans
@@ -118,7 +119,7 @@ def motion_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = G.motion_region(G.Box.of(), WIDTH, HEIGHT)
     vehicles = frames_objects(spark, sf_dir).where("kind <> 'person' AND conf >= 0.92")
     crops = vehicles.select("frame", "obj", F.col("conf").alias("motion"), *[getattr(region, c).alias(c) for c in CORNERS]).where("x2 - x1 >= 48 AND y2 - y1 >= 48")
-    return folds.fold(crops, ["frame"], ["obj"], D.motion_crops, "frame long, obj string, x1 int, y1 int, x2 int, y2 int")
+    return S.motion_crops(crops, ["frame"]).select("frame", "obj", "x1", "y1", "x2", "y2")
 
 
 @query(f"""WITH RECURSIVE {TRACKS}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ts) AS k FROM (SELECT DISTINCT clip_id, ts FROM tracks)),
@@ -188,8 +189,8 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNSURE_SQL = f"""{SPANS}, c AS (SELECT * FROM spans WHERE side = 0), u AS (SELECT * FROM spans WHERE side = 1 AND type = 'other_interaction'), r AS (SELECT * FROM spans WHERE side = 1 AND type <> 'other_interaction')"""
 
 
-@query(f"""WITH {UNSURE_SQL} SELECT c.clip_id, c.event_id AS candidate_id, (EXISTS (SELECT 1 FROM r WHERE r.clip_id = c.clip_id AND r.slot = c.slot AND greatest(least(c.end_s, r.end_s) - greatest(c.start_s, r.start_s), 0) >= 0.5::DOUBLE * (r.end_s - r.start_s)))::INT AS label
-FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.clip_id = c.clip_id AND u.slot = c.slot AND least(c.end_s, u.end_s) - greatest(c.start_s, u.start_s) > 0)""")
+@query(f"""WITH {UNSURE_SQL} SELECT c.clip_id, c.event_id AS candidate_id, (EXISTS (SELECT 1 FROM r WHERE r.clip_id = c.clip_id AND greatest(least(c.end_s, r.end_s) - greatest(c.start_s, r.start_s), 0) >= 0.5::DOUBLE * (r.end_s - r.start_s)))::INT AS label
+FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.clip_id = c.clip_id AND least(c.end_s, u.end_s) - greatest(c.start_s, u.start_s) > 0)""")
 def labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows: candidates that touch nothing uncertain, 1 if they cover half of a reference."""
     s, keys = spans(spark, sf_dir), ["clip_id"]

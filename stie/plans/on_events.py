@@ -259,20 +259,6 @@ def appearance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.appearance_splits(f, ["track"], 0.3, 0.2, 0.9)
 
 
-@query()
-def emergence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest constant-velocity chain from the first box of every vehicle's people."""
-    t = track_view(spark, sf_dir).where("kind = 'person'")
-    cx, cy = G.Box.of().center
-    rows = t.select("clip_id", "scene", F.col("frame_index").alias("frame"), cx.alias("x"), cy.alias("y"), G.Box.of().area.alias("area"), F.lit(80.0).alias("vehicle_width"), (F.col("id") % 12).alias("vehicle"), "id")
-
-    def step(group: list[dict]):
-        linked = folds.chain(group)
-        return [group[0] | {"links": len(linked) - 1, "last_frame": linked[-1]["frame"], "growth": round(linked[-1]["area"] / max(linked[0]["area"], 1e-6), 6)}]
-
-    return folds.fold(rows, ["clip_id", "scene", "vehicle"], ["frame", "id"], step, "clip_id int, scene int, vehicle long, frame int, links int, last_frame int, growth double")
-
-
 @query(f"""WITH {FRAMES}, c AS (SELECT frame, count(*) FILTER (kind = 'person') AS people, count(*) FILTER (kind <> 'person') AS vehicles FROM fo WHERE conf >= CASE WHEN kind = 'person' THEN 0.93 ELSE 0.95 END GROUP BY frame) SELECT * FROM c""")
 def confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes above the threshold of their kind, counted by frame."""

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stie.functions import geometry as G
-from stie.operators import folds, graph
+from stie.operators import graph
 from stie.operators import intervals as I
+from stie.operators import suppress as S
 from stie.operators import tracks as T
 from stie.sources.views import DURATION, FRAMES, TRACKS, frames_objects, tracks
 
@@ -193,7 +194,7 @@ def _instants(t: DataFrame) -> DataFrame:
     return spans.select("clip_id", F.explode(F.array("a", F.round((F.col("a") + F.col("b")) / 2, 3), "b")).alias("t")).distinct()
 
 
-@query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, frame_index, ts FROM tracks WHERE frame_index % 3 = 0), i AS (SELECT DISTINCT clip_id, unnest(generate_series(0, 36)) + 0.37::DOUBLE AS t FROM tracks)
+@query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, frame_index, ts FROM tracks), i AS (SELECT DISTINCT clip_id, t FROM (SELECT clip_id, unnest([min(ts), round((min(ts) + max(ts)) / 2, 3), max(ts)]) AS t FROM tracks GROUP BY clip_id, id))
 SELECT clip_id, round(t, 3) AS t, frame_index, ts FROM (SELECT i.clip_id, t, f.frame_index, f.ts, row_number() OVER (PARTITION BY i.clip_id, t ORDER BY round(abs(f.ts - t), 9), f.ts) AS nth FROM i JOIN f USING (clip_id)) WHERE nth = 1""")
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
@@ -202,7 +203,7 @@ def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.as_of(instants, frames, ["clip_id"], "t", "ts").withColumn("t", F.round("t", 3))
 
 
-@query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, ts FROM tracks WHERE frame_index % 3 = 0), i AS (SELECT DISTINCT clip_id, unnest(generate_series(0, 36)) + 0.37::DOUBLE AS t FROM tracks)
+@query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, ts FROM tracks), i AS (SELECT DISTINCT clip_id, t FROM (SELECT clip_id, unnest([min(ts), round((min(ts) + max(ts)) / 2, 3), max(ts)]) AS t FROM tracks GROUP BY clip_id, id))
 SELECT clip_id, round(t, 3) AS t, max(CASE WHEN ts <= t THEN ts END) AS before, min(CASE WHEN ts >= t THEN ts END) AS after FROM i JOIN f USING (clip_id) GROUP BY ALL""")
 def asof_forward_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
@@ -222,14 +223,12 @@ AREA_A, AREA_B = "((a.x2 - a.x1) * (a.y2 - a.y1))", "((bs[i + 1].x2 - bs[i + 1].
 
 @query("WITH RECURSIVE " + SUPPRESS_SQL.format(order="conf DESC, obj", clash=f"a.kind = bs[i + 1].kind AND {BOTH} / ({AREA_A} + {AREA_B} - {BOTH}) >= 0.1") + " SELECT frame, u.obj AS obj FROM e")
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = frames_objects(spark, sf_dir)
-    schema = "frame long, obj string"
-    return folds.fold(objects, ["frame"], ["obj"], lambda rows: folds.suppress(rows, 0.1), schema)
+    return S.suppress(frames_objects(spark, sf_dir), ["frame"], 0.1).select("frame", "obj")
 
 
 @query("WITH RECURSIVE " + SUPPRESS_SQL.format(order="(x2 - x1) * (y2 - y1) DESC, obj", clash=f"(a.kind = 'person') = (bs[i + 1].kind = 'person') AND {BOTH} > 0.3 * {AREA_B}") + " SELECT frame, u.obj AS obj FROM e")
 def containment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.fold(frames_objects(spark, sf_dir), ["frame"], ["obj"], lambda rows: folds.drop_contained(rows, 0.3), "frame long, obj string")
+    return S.drop_contained(frames_objects(spark, sf_dir), ["frame"], 0.3).select("frame", "obj")
 
 
 @query(f"""WITH {TRACKS}, f AS (SELECT clip_id, frame_index, sum(x2 + y2) / count(*) AS level FROM tracks GROUP BY ALL), d AS (SELECT *, round(abs(level - lag(level) OVER (PARTITION BY clip_id ORDER BY frame_index)), 6) AS diff FROM f)
@@ -252,11 +251,6 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.longest_runs(tracks(spark, sf_dir), ["clip_id", "id"], "ts", F.col("conf") >= 0.95)
 
 
-@query(f"""WITH {TRACKS} SELECT clip_id, id, gone_s, ts AS back_s FROM (SELECT *, lag(ts) OVER (PARTITION BY clip_id, id ORDER BY ts) AS gone_s FROM tracks WHERE kind = 'person') WHERE gone_s IS NOT NULL AND round(ts - gone_s, 6) BETWEEN 0.3 AND 3.0""")
-def gap_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.gap_returns(tracks(spark, sf_dir).where("kind = 'person'"), ["clip_id", "id"], 0.3, 3.0)
-
-
 @query(f"""WITH {TRACKS}, s AS (SELECT clip_id, id, list(frame_index ORDER BY frame_index) AS fs FROM tracks WHERE kind = 'person' GROUP BY ALL),
 i AS (SELECT clip_id, id, fs, unnest(generate_series(0, 7)) AS k FROM s) SELECT DISTINCT clip_id, id, fs[floor(k * (len(fs) - 1) / 7)::BIGINT + 1]::INT AS frame_index FROM i""")
 def linspace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,17 +260,6 @@ def linspace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("clip_id", "id", F.explode(F.array_distinct(F.transform(at, lambda p: F.element_at("fs", p + 1)))).alias("frame_index"))
 
 
-@query()
-def transition_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen frames of every clip and scene, denser where people come or go."""
-    seen = tracks(spark, sf_dir).groupBy("clip_id", "scene", "frame_index").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.when(F.col("kind") == "person", F.col("id")))), lambda x: x.cast("string")), ",").alias("ids"))
-
-    def step(rows: list[dict]):
-        return [rows[i] for i in folds.transition_sample([frozenset(r["ids"].split(",")) for r in rows], 16)]
-
-    return folds.fold(seen, ["clip_id", "scene"], ["frame_index"], step, "clip_id int, scene int, frame_index int")
-
-
 ALIAS_EDGES = f"""ed AS (SELECT a.clip_id, a.id AS a, b.id AS b FROM tracks a JOIN tracks b ON a.clip_id = b.clip_id AND a.frame_index = b.frame_index AND a.kind <> 'person' AND b.kind <> 'person' AND a.id < b.id
   AND {inter_sql('a', 'b')} / least({area_sql('a')}, {area_sql('b')}) >= 0.8 GROUP BY ALL HAVING count(*) >= 3)"""
 

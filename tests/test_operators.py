@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import geometry as G
 from stie.functions import text as X
-from stie.operators import detections, evaluation, events, folds, graph, intervals, learning, tracks, verify
+from stie.operators import detections, emergence, evaluation, events, folds, graph, intervals, learning, suppress, tracks, verify
 from stie.plans import reports
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -206,8 +206,8 @@ def test_heads_and_crops(spark):
     assert [r.head_obj for r in detections.attributed(people, heads, free, ["f"]).collect()] == ["in"]
     seen = spark.createDataFrame([(0, "t", 48.0, 0.0, 54.0, 14.0), (0, "none", 200.0, 0.0, 210.0, 30.0)], schema)
     assert {r.obj: r.head_obj for r in detections.attributed(seen, heads, free, ["f"]).collect()} == {"t": "free", "none": None}
-    crops = [{"obj": n, "motion": m, "x1": x, "y1": 0.0, "x2": x + 10, "y2": 10.0} for n, m, x in (("a", 3.0, 0.0), ("b", 2.0, 1.0), ("c", 1.0, 50.0))]
-    assert [c["obj"] for c in detections.motion_crops(crops)] == ["a", "c"]
+    crops = spark.createDataFrame([(0, n, m, x, 0.0, x + 10, 10.0) for n, m, x in (("a", 3.0, 0.0), ("b", 2.0, 1.0), ("c", 1.0, 50.0))], "f int, obj string, motion double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(c.obj for c in suppress.motion_crops(crops, ["f"]).collect()) == ["a", "c"]
     assert [f["ts"] for f in detections.time_gate([{"ts": t / 10} for t in range(10)], 4.0)] == [0.0, 0.3, 0.6, 0.9]  # each a quarter of a second after the one before
 
 
@@ -311,11 +311,15 @@ def test_an_exit_ends_farther_away(spark):
     assert {r.e for r in verify.exit_cues(df, ["e"]).collect()} == {"grows"}
 
 
-def test_transition_sampling():
-    visible = [frozenset("vp" if 4 <= i <= 6 else "v") for i in range(10)]
-    assert {0, 9, 4, 7} <= set(folds.transition_sample(visible, 6))
-    assert folds.transition_sample(visible, 4, dense=False) == [0, 3, 6, 9]
-    assert folds.transition_sample([], 4) == [] and folds.transition_sample([frozenset()], 8) == [0]
+def test_transition_sampling(spark):
+    def sample(visible, count, dense=True):
+        df = spark.createDataFrame([("k", i, v) for i, v in enumerate(visible)], "k string, frame_index int, ids string")
+        return [r.frame_index for r in emergence.transition_sample(df, ["k"], count, dense=dense).orderBy("frame_index").collect()]
+
+    visible = ["pv" if 4 <= i <= 6 else "v" for i in range(10)]
+    assert {0, 9, 4, 7} <= set(sample(visible, 6)) and len(sample(visible, 6)) == 6
+    assert sample(visible, 4, dense=False) == [0, 3, 6, 9]
+    assert sample([], 4) == [] and sample([""], 8) == [0]
 
 
 def test_stitching(spark):
@@ -331,11 +335,15 @@ def test_stitching(spark):
     assert len(tracklet("p", (0, 1), (10, 20))) == 2
 
 
-def test_suppression_is_greedy():
-    chain_ = [{"obj": n, "kind": "car", "x1": x, "y1": 0.0, "x2": x + 10.0, "y2": 10.0, "conf": c} for n, x, c in (("a", 0.0, 0.9), ("b", 3.0, 0.8), ("c", 6.0, 0.7))]
-    assert [b["obj"] for b in folds.suppress(chain_, 0.5)] == ["a", "c"]
-    inner = [{"obj": "big", "kind": "car", "x1": 0.0, "y1": 0.0, "x2": 100.0, "y2": 100.0}, {"obj": "in", "kind": "truck", "x1": 10.0, "y1": 10.0, "x2": 20.0, "y2": 20.0}, {"obj": "p", "kind": "person", "x1": 10.0, "y1": 10.0, "x2": 20.0, "y2": 20.0}]
-    assert [b["obj"] for b in folds.drop_contained(inner)] == ["big", "p"]
+def test_suppression_is_greedy(spark):
+    schema = "frame int, obj string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
+    frame = lambda rows: spark.createDataFrame([(0, n, k, x, y, x2, y2, c) for n, k, x, y, x2, y2, c in rows], schema)
+    names = lambda df: sorted(r.obj for r in df.collect())
+    chain_ = [(n, "car", x, 0.0, x + 10.0, 10.0, c) for n, x, c in (("a", 0.0, 0.9), ("b", 3.0, 0.8), ("c", 6.0, 0.7))]
+    assert names(suppress.suppress(frame(chain_), ["frame"], 0.5)) == ["a", "c"]
+    assert names(suppress.united([frame(chain_[:1]), frame(chain_[1:])], ["frame"], 0.5)) == ["a", "c"]
+    inner = [("big", "car", 0.0, 0.0, 100.0, 100.0, 0.5), ("in", "truck", 10.0, 10.0, 20.0, 20.0, 0.5), ("p", "person", 10.0, 10.0, 20.0, 20.0, 0.5)]
+    assert names(suppress.drop_contained(frame(inner), ["frame"])) == ["big", "p"]
 
 
 def test_components(spark):
@@ -366,9 +374,18 @@ def test_appearance_change(spark):
     assert [(r.k, r.at_frame) for r in got] == [("t", 4)]
 
 
-def test_chain_follows_the_motion():
-    seen = [{"frame": f, "x": 10.0 * f, "y": 0.0, "area": 100.0 + f, "vehicle_width": 100.0} for f in range(6)] + [{"frame": 3, "x": 200.0, "y": 0.0, "area": 500.0, "vehicle_width": 100.0}]
-    assert [s["x"] for s in folds.chain(seen)] == [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]
+def test_chain_follows_the_motion(spark):
+    """A person who is seen once beside a car, then detected going away from it, growing; a larger box off the way is not followed."""
+    person = lambda f: (10.0 * f, 0.0, 10.0 * f + 6 + 4 * f, 20.0 + 8 * f, 0.9)
+    boxes = [("c", f, f / 10, 7, "car", 0.0, 0.0, 40.0, 30.0, 0.9) for f in range(8)] + [("c", 0, 0.0, 1, "person", *person(0))]
+    seen = [("c", f, *person(f)) for f in range(1, 6)] + [("c", 3, 200.0, 0.0, 300.0, 90.0, 0.9)]
+    tracked = spark.createDataFrame(boxes, "clip_id string, frame_index int, ts double, id long, kind string, x1 double, y1 double, x2 double, y2 double, conf double")
+    detections = spark.createDataFrame(seen, "clip_id string, frame_index int, x1 double, y1 double, x2 double, y2 double, conf double")
+    (cue,) = emergence.emergence(tracked, detections).collect()
+    assert (cue.person_id, cue.vehicle_id, list(cue.frames)) == (1, 7, [0, 1, 2, 3, 4, 5]) and cue.start_s == 0 and cue.end_s == 0.5
+    copies = tracked.unionByName(spark.createDataFrame([("c", f, f / 10, 2, "person", *person(f)) for f in (2, 3)], tracked.schema))
+    assert emergence.emergence(copies, detections).collect() == []  # somebody who is tracked already
+    assert emergence.emergence(tracked, detections.where("frame_index < 2")).collect() == []
 
 
 def test_diverse_sample_is_farthest_first(spark):
