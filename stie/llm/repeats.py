@@ -51,7 +51,8 @@ HOT = 2048
 FEW = 16  # seats that are extended each with each
 LONGEST_RUN = 128
 BATCH_BITS = 20  # symbols that are sorted together: many texts share each step, and few MB are at work
-FIELDS = (("anchor", np.uint64), ("doc", np.int64), ("row", np.uint32), ("start", np.uint32), ("count", np.uint32), ("size", np.uint32))
+FIELDS = (("doc", np.int64), ("row", np.uint32), ("start", np.uint32), ("count", np.uint32))
+ANCHOR_BYTES = 5  # of an anchor that travel; two anchors of a bucket that agree in these are compared as one
 
 
 def _symbols(buf: np.ndarray, offsets: np.ndarray, unit: str):
@@ -167,20 +168,29 @@ def _shared(seeds: pa.Table, *, hot: int) -> pa.Table:
     return pa.table({"chunk": seeds.column("chunk"), "bucket": seeds.column("bucket"), "flags": pa.array([flag[e - len(x) : e].tobytes() for e, x in zip(ends, blobs, strict=True)], pa.binary())})
 
 
+def _short(anchor: np.ndarray) -> np.ndarray:
+    return anchor.view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
+
+
 def _pack(entries: dict[str, np.ndarray], chosen: slice, buf: np.ndarray) -> tuple[int, int, bytes]:
     part = {k: v[chosen] for k, v in entries.items()}
-    content = buf[K.spans_of(part["from"], part["to"] - part["from"])]
-    part["size"] = part["to"] - part["from"]
-    raw = b"".join([part[k].astype(kind).tobytes() for k, kind in FIELDS] + [content.tobytes()])
+    size = part["to"] - part["from"]
+    content = buf[K.spans_of(part["from"], size)]
+    raw = b"".join([part[k].astype(kind).tobytes() for k, kind in FIELDS] + [(size - part["count"]).astype(np.uint32).tobytes(), np.ascontiguousarray(_short(part["anchor"]).T).tobytes(), content.tobytes()])
     return len(part["row"]), len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(count: int, raw: int, payload: pa.Buffer) -> tuple[dict[str, np.ndarray], np.ndarray]:
     data, at, out = pa.decompress(payload, decompressed_size=raw, codec="zstd"), 0, {}
     for name, kind in FIELDS:
-        out[name] = np.frombuffer(data, kind, count, at).astype(kind if name == "anchor" else np.int64)
+        out[name] = np.frombuffer(data, kind, count, at).astype(np.int64)
         at += count * np.dtype(kind).itemsize
-    return out, np.frombuffer(data, np.uint8, offset=at)
+    out["size"] = out["count"] + np.frombuffer(data, np.uint32, count, at).astype(np.int64)
+    at += 4 * count
+    anchor = np.zeros((count, 8), dtype=np.uint8)
+    anchor[:, :ANCHOR_BYTES] = np.frombuffer(data, np.uint8, ANCHOR_BYTES * count, at).reshape(ANCHOR_BYTES, count).T
+    out["anchor"] = anchor.view(U64).ravel()
+    return out, np.frombuffer(data, np.uint8, offset=at + ANCHOR_BYTES * count)
 
 
 def _windows_apart(burst: dict[str, np.ndarray], buf: np.ndarray, unit: str, window: int) -> dict[str, np.ndarray]:
@@ -395,7 +405,7 @@ def _settle(messages: pa.Table, *, first_of: Callable[..., np.ndarray], seed: in
         found = first_of(np.frombuffer(chosen.buffers()[2], np.uint8)[: offsets[-1]], offsets, entry["anchor"][leader], entry["doc"][leader], entry["count"][leader], seed=seed, window=window)
         at = np.append(0, np.cumsum(entry["count"][leader]))[:-1]
         of_class = np.repeat(np.arange(len(leader)), many)
-        for i, j in K.blocks(np.append(0, np.cumsum(entry["count"][order]))):
+        for i, j in K.blocks(np.append(0, np.cumsum(entry["count"][order])), 1 << 21):
             answers += _lost(order[i:j], at[of_class[i:j]], found, entry)
     return pa.table({"chunk": pa.array([a for a, _ in answers], pa.int64()), "payload": pa.array([b for _, b in answers], pa.binary())})
 
