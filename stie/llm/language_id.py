@@ -7,11 +7,15 @@ farther from it than nearly all of that centroid's training texts (distance abov
 99th percentile) is `rejected`: a flag, since a learned language is to be
 named for every text with a letter.
 
-Only text and non-null language of documents outside the held-out fold are learned from, at most
-`per_language` documents of each of at most `languages` languages, in the order of a hash of the
-ids. The model (centroids and IDF, below 2 MB) goes to the executors with the task. Null
-texts and texts without a letter are `und` with score 0, as is everything if there is nothing
-to learn from; such texts are not rejected.
+Only text and non-null language of documents outside the held-out fold are learned from: of every
+language, however many there are, at most `per_language` documents, and about `rows` in all (but 20 of each),
+in the order of a hash of the ids. Of rows with one id and language, one text is learned from.
+The model (centroids and IDF, 32 kB a language) goes to the executors with the task.
+
+Null texts and texts without a letter are `und` with score 0, as is everything if there is nothing
+to learn from; such texts are not rejected. Long texts are read whole, in blocks. Rows that repeat
+get the same result each; ties go to the centroid that comes first by language. An empty table gives an empty
+result. Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ from pyspark.sql import functions as F
 
 from stie.llm import kernels as K
 from stie.llm.common import held_out, reliable, table
-from stie.llm.learning import ngram_counts, scored
+from stie.llm.learning import ngram_counts, one_text, scored
 from stie.llm.toxicity import LETTERS
 
 DIMS = 2048
 PER_LANGUAGE = 1000
+ROWS = 20_000
+LEAST = 20
 LETTER = r"\p{L}"
 
 
@@ -92,14 +98,16 @@ class LanguageModel:
         return names, score, rejected
 
 
-def fit_languages(documents: DataFrame, per_language: int = PER_LANGUAGE, languages: int = 200, clusters: int = 4, slack: float = 1.25) -> LanguageModel:
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & ~held_out()).select(F.col("doc_id").cast("long"), "lang", F.xxhash64(F.col("doc_id").cast("long")).alias("turn"))
-    most = F.broadcast(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages))
+def fit_languages(documents: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS, clusters: int = 4, slack: float = 1.25) -> LanguageModel:
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & ~held_out()).select(F.col("doc_id").cast("long"), "lang", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 40)).alias("turn"))
+    ids = reliable(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")))
+    most = min(per_language, max(LEAST, rows // max(1, ids.count())))
     # Of a language with many documents, only those whose hash is low can be among the first; twice as many as needed are expected.
-    likely = F.pmod("turn", F.lit(1 << 40)).cast("double") * F.col("count") <= F.lit(float(1 << 40)) * 2 * per_language
-    ranked = usable.join(most, "lang").where(likely).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("turn", F.lit(1 << 40)), "doc_id")))
-    chosen = F.broadcast(ranked.where(F.col("nth") <= per_language).select("doc_id", "lang").distinct())
-    sample = reliable(documents.select(F.col("doc_id").cast("long"), "lang", "text").join(chosen, ["doc_id", "lang"]))
+    likely = F.col("turn").cast("double") * F.col("ids") <= F.lit(float(1 << 40)) * 2 * most
+    first = usable.join(ids, "lang").where(likely).groupBy("lang", "doc_id", "turn").agg(F.lit(1).alias("one"))
+    ranked = first.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("turn", "doc_id")))
+    chosen = ranked.where(F.col("nth") <= most).select("doc_id", "lang")
+    sample = one_text(documents.select(F.col("doc_id").cast("long"), "lang", "text").where(F.col("text").rlike(LETTER)).join(F.broadcast(chosen), ["doc_id", "lang"]), "lang").select("doc_id", "lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,8 @@
 """What the three classifiers share: their bounded training samples and hashed features.
 
 Models are fitted on at most `rows` labelled documents outside the held-out fold, taken in the
-order of a hash of their ids: the same ones in every run, whatever the partitions. All
+order of a hash of their ids: the same ones in every run, whatever the partitions. Of rows with one id,
+one text is learned from, so an id that very many rows have takes no more room than any other. All
 documents are scored, where they lie, in Arrow batches.
 """
 
@@ -28,7 +29,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(rows)
     )
-    return reliable(documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"))
+    return one_text(documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"), "label")
+
+
+def one_text(rows: DataFrame, label: str) -> DataFrame:
+    """doc_id, text and label: of each id and label the text with the least hash; a partial minimum, so no id gathers its rows."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    return reliable(rows.groupBy("doc_id", label).agg(least).select("doc_id", F.col("least.text").alias("text"), label))
 
 
 def ngram_counts(buf: np.ndarray, offsets: np.ndarray, dims: int, orders: tuple[int, ...] = (1, 2, 3)) -> Iterator[tuple[int, int, np.ndarray]]:

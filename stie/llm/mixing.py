@@ -7,7 +7,8 @@ target / words, and each of its documents is emitted floor(rate) times, plus onc
 uniform number made from its id falls below the fraction. No document comes more than `most`
 times.
 
-Empty and null texts have size 0 and take nothing. A null source is a source of its own. Rows
+Long texts count with all their words. An empty table gives an empty result. Columns other than those
+named are passed through by mixed_documents(), but for one named `copy`. Empty and null texts have size 0 and take nothing. A null source is a source of its own. Rows
 with equal ids get equal numbers. The number depends on the id and the seed alone, so reruns
 agree.
 """

@@ -9,6 +9,9 @@ The ratings can have any number of grades; they are read as 0, 1, 2, ... in thei
 fitted on at most `rows` rated documents outside the held-out fold (learning.py), and is a
 few kB. Null and empty texts are scored by the thresholds alone. With one grade only, or no
 rated rows, every document gets that grade (or 0) and a tail of 1.
+
+Long texts are read whole, in blocks. Rows that repeat get the same result each. A null doc_id is in the
+held-out fold. An empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Documents are joined on winnowed anchors (seeds of 12 words); each match is extended to both
 sides, and repeats of at least `window` words are kept as the maximal runs of matching
 windows. See repeats.py for the flow. Empty and null texts have no words and lose none; a
-document shorter than the window loses none. Of rows with one doc_id none takes from another.
+document shorter than the window loses none. Of rows with one doc_id none takes from another; a null doc_id neither
+takes nor loses. Long texts are read whole. An empty table gives an empty result, and other columns are not read.
 """
 
 from __future__ import annotations

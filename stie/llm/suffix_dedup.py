@@ -3,7 +3,11 @@
 The suffix arrays are built by Lyndon-prefix groups (suffix.py), one for all distinct
 contexts of an anchor (repeats.py). Matches never cross documents, since every context is
 part of one document and contexts are cut apart. Null texts are empty; texts shorter than
-`window` bytes lose nothing. Of rows with one doc_id none takes from another.
+`window` bytes lose nothing. Of rows with one doc_id none takes from another; a null doc_id neither takes
+nor loses. Long texts are read whole. An empty table gives an empty result, and other columns are not read.
+
+Equal contexts are one string of the text that is sorted, with their least document; they are known by
+their bytes. Every distinct context is sorted, also one that stands alone.
 """
 
 from __future__ import annotations

@@ -11,6 +11,10 @@ The model is fitted on at most `rows` labelled documents (learning.py); it is a
 kB and goes to the executors with the task. Null and empty texts get the score of a
 text without terms. Without any training rows, or with one class only, the score is the
 class's rate.
+
+Long texts are read whole, in blocks. Rows that repeat get the same score each. A null doc_id is in the
+held-out fold. An empty table gives an empty result. Columns other than doc_id, text and the label are
+not read by the scoring; the filter passes all columns on.
 """
 
 from __future__ import annotations
