@@ -62,39 +62,3 @@ def keep_assignment(nearby: list[dict], max_gap: float = 1.0, switch_margin: flo
                 continue
         last, since = best["vehicle_id"], best["ts"]
         yield best
-
-
-def expand(frames: list[dict], margin: float = 0.25, max_gap: float = 0.5, max_extension: float = 2.0, symmetric: bool = False) -> Iterable[dict]:
-    """Walks an event's bounds outwards while its pair stays close.
-
-    frames: (ts, gap or null, start_s, end_s, duration) of one event, by ts. Backwards, the limit is
-    measured from the start as it moves, forwards from the given end; `symmetric` measures both from
-    the given bounds. Unsupported frames count up to `max_gap` past the last supported one.
-    """
-    times = [f["ts"] for f in frames]
-    close = [f["gap"] is not None and f["gap"] == f["gap"] and f["gap"] <= margin for f in frames]
-    first, end, duration = frames[0]["start_s"], frames[0]["end_s"], frames[0]["duration"]
-    near = lambda t: min(range(len(times)), key=lambda i: (abs(times[i] - t), times[i]))
-    start = support = first
-    for i in range(near(first) - 1, -1, -1):
-        if (first if symmetric else start) - times[i] > max_extension + 1e-9:
-            break
-        if close[i]:
-            start = support = times[i]
-        elif support - times[i] <= max_gap + 1e-9:
-            start = times[i]
-        else:
-            break
-    until, support = end, end
-    for i in range(near(end) + 1, len(times)):
-        if times[i] - end > max_extension + 1e-9:
-            break
-        after = times[i + 1] if i + 1 < len(times) else duration
-        if close[i]:
-            support, until = times[i], min(after, duration)
-        elif times[i] - support <= max_gap + 1e-9:
-            until = min(after, duration)
-        else:
-            break
-    row = {k: v for k, v in frames[0].items() if k not in ("ts", "gap")}
-    return [row | {"start_s": max(0.0, start), "end_s": min(duration, max(until, start + 1e-6))}]

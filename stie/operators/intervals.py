@@ -26,9 +26,9 @@ def union(spans: DataFrame, keys: list[str]) -> DataFrame:
     return _islands(spans, keys, True).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("island")
 
 
-def merge_overlapping(events: DataFrame, keys: list[str]) -> DataFrame:
+def merge_overlapping(events: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """keys, start_s, end_s, n_events: events of one key merge where they strictly overlap; touching ones stay apart."""
-    return _islands(events, keys, False).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_events")).drop("island")
+    return _islands(events, keys, False).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_events"), *more).drop("island")
 
 
 def active_at(instants: DataFrame, spans: DataFrame, keys: list[str], at: str = "t", bucket: float = 3600.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stie.functions import geometry as G
 from stie.functions import text as X
 from stie.operators import events as E
-from stie.operators import folds, learning, tracks, verify
+from stie.operators import learning, tracks, verify
 from stie.plans.on_tracks import EVENTS_SQL, episodes, gap_sql, side_sql
 from stie.sources.views import DURATION, FRAMES, SPANS, TRACKS, frames_objects, read, spans
 from stie.sources.views import tracks as track_view
@@ -42,9 +42,20 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(track_view(spark, sf_dir))
 
 
-@query()
+EXPAND_SQL = MERGED_SQL + f""", fx AS (SELECT clip_id, ts, row_number() OVER w AS i, lead(ts) OVER w AS nxt FROM (SELECT DISTINCT clip_id, ts FROM tracks) WINDOW w AS (PARTITION BY clip_id ORDER BY ts)),
+cx AS (SELECT DISTINCT p.clip_id, p.id AS person_id, v.id AS vehicle_id, p.ts FROM tracks p JOIN tracks v ON p.clip_id = v.clip_id AND p.frame_index = v.frame_index AND p.kind = 'person' AND v.kind <> 'person' WHERE round({gap_sql()} / {side_sql()}, 9) <= 0.25),
+nx AS (SELECT me.clip_id, event_id, arg_min(i, (round(abs(ts - start_s), 9), ts)) AS f0, arg_min(i, (round(abs(ts - end_s), 9), ts)) AS g0 FROM me JOIN fx USING (clip_id) GROUP BY ALL),
+rx AS (SELECT me.clip_id, event_id, start_s, end_s, f0, g0, fx.i, fx.ts, fx.nxt, cx.ts IS NOT NULL AS close FROM me JOIN nx USING (clip_id, event_id) JOIN fx USING (clip_id) LEFT JOIN cx ON cx.clip_id = me.clip_id AND cx.person_id = me.person_id AND cx.vehicle_id = me.vehicle_id AND cx.ts = fx.ts),
+bx AS (SELECT *, coalesce(lead(ts) OVER w, start_s) - ts > 2.0 + 1e-9 OR (NOT close AND coalesce(min(CASE WHEN close THEN ts END) OVER (PARTITION BY clip_id, event_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), start_s) - ts > 0.5 + 1e-9) AS bad FROM rx WHERE i < f0 WINDOW w AS (PARTITION BY clip_id, event_id ORDER BY i)),
+b2 AS (SELECT clip_id, event_id, min(ts) FILTER (i > last_bad) AS start_s FROM (SELECT *, coalesce(max(CASE WHEN bad THEN i END) OVER (PARTITION BY clip_id, event_id), 0) AS last_bad FROM bx) GROUP BY ALL),
+ax AS (SELECT *, ts - end_s > 2.0 + 1e-9 OR (NOT close AND ts - coalesce(max(CASE WHEN close THEN ts END) OVER (PARTITION BY clip_id, event_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), end_s) > 0.5 + 1e-9) AS bad FROM rx WHERE i > g0),
+a2 AS (SELECT clip_id, event_id, least(arg_max(coalesce(nxt, {DURATION}), i) FILTER (i < first_bad), {DURATION}) AS end_s FROM (SELECT *, coalesce(min(CASE WHEN bad THEN i END) OVER (PARTITION BY clip_id, event_id), 1000000000) AS first_bad FROM ax) GROUP BY ALL),
+ex AS (SELECT me.* EXCLUDE (start_s, end_s), greatest(0, coalesce(b2.start_s, me.start_s)) AS start_s, least({DURATION}::DOUBLE, greatest(CASE WHEN a2.end_s IS NULL THEN me.end_s ELSE a2.end_s END, coalesce(b2.start_s, me.start_s) + 1e-6)) AS end_s FROM me LEFT JOIN b2 USING (clip_id, event_id) LEFT JOIN a2 USING (clip_id, event_id))"""
+
+
+@query(EXPAND_SQL + " SELECT clip_id, event_id, start_s, end_s FROM ex")
 def boundary_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds walked outwards over close frames; a fold, tested on small cases."""
+    """Bounds moved outwards over close frames."""
     t = track_view(spark, sf_dir)
     return E.expanded(_numbered(t), t, F.lit(DURATION)).select("clip_id", "event_id", "start_s", "end_s")
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import geometry as G
 from stie.functions import text as X
-from stie.operators import detections, emergence, evaluation, events, folds, graph, intervals, learning, suppress, tracks, verify
+from stie.operators import detections, emergence, evaluation, events, exclusive, folds, graph, intervals, learning, suppress, tracks, verify
 from stie.plans import reports
+from tests import plain
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
 EVENTS = "clip_id string, type string, person_id string, vehicle_id string, start_s double, end_s double"
@@ -256,12 +257,12 @@ def test_visibility_and_labels(spark):
 
 def test_expansion_is_asymmetric():
     frames = [{"ts": round(i * 0.5, 1), "gap": 0.0, "start_s": 20.0, "end_s": 22.0, "duration": 60.0, "event_id": "e"} for i in range(100)]
-    (moving,) = folds.expand(frames)
-    (fixed,) = folds.expand(frames, symmetric=True)
+    (moving,) = plain.expand(frames)
+    (fixed,) = plain.expand(frames, symmetric=True)
     assert (moving["start_s"], moving["end_s"]) == (0.0, 24.5)
     assert (fixed["start_s"], fixed["end_s"]) == (18.0, 24.5)
     apart = [f | {"gap": None} for f in frames]
-    (still,) = folds.expand(apart)
+    (still,) = plain.expand(apart)
     assert (still["start_s"], still["end_s"]) == (19.5, 23.0)
 
 
@@ -272,6 +273,35 @@ def test_expanded_in_spark_equals_the_fold(spark):
     assert (got.start_s, got.end_s) == (0.5, 3.5)
 
 
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_expansion_equals_the_walk(spark, symmetric):
+    """Pairs that are close in some frames, frames that lack, and events anywhere, against walking frame by frame."""
+    rng = random.Random(5)
+    times = sorted({round(rng.uniform(0, 30), 2) for _ in range(160)})
+    times = [t for t in times if not 11 < t < 14]  # nothing is seen here
+    near = {t for t in times if rng.random() < 0.6}
+    rows = [box(i, t, n, *corners) for i, t in enumerate(times) for n, corners in (("p", (0, 0, 10, 10)), ("v", (5, 0, 30, 20) if t in near else (300, 0, 330, 20)))]
+    spans = [(s := round(rng.uniform(0, 28), 2), round(s + rng.uniform(0.1, 2), 2)) for _ in range(60)]
+    made = spark.createDataFrame([("c", f"e{i}", "enter", "p", "v", a, b) for i, (a, b) in enumerate(spans)], "clip_id string, event_id string, type string, person_id string, vehicle_id string, start_s double, end_s double")
+    got = {r.event_id: (r.start_s, r.end_s) for r in events.expanded(made, spark.createDataFrame(rows, BOX), F.lit(31.0), symmetric=symmetric).collect()}
+    for i, (a, b) in enumerate(spans):
+        frames = [{"ts": t, "gap": 0.0 if t in near else 9.0, "start_s": a, "end_s": b, "duration": 31.0} for t in times]
+        (row,) = plain.expand(frames, symmetric=symmetric)
+        assert got[f"e{i}"] == pytest.approx((row["start_s"], row["end_s"])), (i, a, b)
+
+
+def test_one_vehicle_at_a_time(spark):
+    """The nearer vehicle wins where two events of a person meet; evidence follows, or the nearest frame stands in."""
+    rows = []
+    for i in range(10):
+        x = 10 * i  # from a to b
+        rows += [box(i, float(i), "p", x, 0, x + 5, 10), box(i, float(i), "a", 0, 0, 20, 20), box(i, float(i), "b", 80, 0, 100, 20)]
+    made = [("c", 1, "p", "a", [(0.0, 8.0)], [1, 7]), ("c", 2, "p", "b", [(2.0, 10.0)], [2, 3]), ("c", 3, "q", "a", [(0.0, 9.0)], [4]), ("c", 4, "p", "a", [(20.0, 21.0)], [1])]
+    df = spark.createDataFrame(made, "clip_id string, event_no int, person_id string, vehicle_id string, spans array<struct<start_s:double,end_s:double>>, evidence array<int>")
+    got = {r.event_no: ([tuple(s) for s in r.spans], list(r.evidence)) for r in exclusive.single_vehicle(df, spark.createDataFrame(rows, BOX)).collect()}
+    assert got == {1: ([(0.0, 5.0)], [1]), 2: ([(5.0, 10.0)], [7]), 3: ([(0.0, 9.0)], [4]), 4: ([(20.0, 21.0)], [9])}
+
+
 def test_clip_faults(spark):
     rows = [("c", "a", [(1.0, 7.0)], [0]), ("c", "b", [(1.0, 2.0), (1.5, 3.0)], [4]), ("c", "d", [(1.0, 2.0)], [99]), ("c", "d", [(0.0, 1.0)], [0]), ("c", "fine", [(0.0, 1.0), (1.0, 2.0)], [0])]
     df = spark.createDataFrame(rows, "clip_id string, event_id string, spans array<struct<start_s:double,end_s:double>>, evidence_frames array<int>").withColumns({"frame_count": F.lit(10), "duration_s": F.lit(5.0)})
