@@ -197,16 +197,21 @@ def json_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", verify.parsed(j, "struct<k:bigint>")["k"].alias("k"))
 
 
-@query(f"""WITH {SPANS}, p AS (SELECT event_id, type, 'p' || person_id AS pid, 'v' || vehicle_id AS vid FROM spans),
-t AS (SELECT *, CASE WHEN type = 'exit' THEN 'person ' || pid ELSE 'wearing ' || type END AS a, CASE event_id % 3 WHEN 0 THEN 'red van (' || vid || ')' WHEN 1 THEN 'vehicle (' || vid || ')' ELSE vid || ' parked' END AS b,
-  CASE type WHEN 'enter' THEN 'enters' WHEN 'exit' THEN 'exits' WHEN 'load_unload' THEN 'loads or unloads' ELSE 'interacts with' END AS verb FROM p)
-SELECT event_id, upper(a[1]) || substr(a || ' ' || verb || ' ' || b, 2) || '.' AS description FROM t""")
+@query(f"""WITH {SPANS}, p AS (SELECT event_id, type, 'p' || person_id AS pid, 'p' || slot AS oid, 'V' || vehicle_id AS vid FROM spans),
+d AS (SELECT *, CASE WHEN type = 'exit' THEN 'Associated with the vehicle.' WHEN type = 'enter' THEN 'person ' || pid || ' is Wearing a ' || type || ' vest.' ELSE 'Tall' END AS pd,
+  CASE event_id % 4 WHEN 0 THEN 'Vehicle ' || vid || ' is a Red van and appears to be a taxi.' WHEN 1 THEN 'vehicle associated with it' WHEN 2 THEN '' ELSE 'White ' || lower(vid) || ' truck' END AS vd FROM p),
+t AS (SELECT *, regexp_replace(regexp_replace(rtrim(pd, '.'), '^Person\\s+' || pid || '\\s+is\\s+', '', 'i'), '^Person\\s+', '', 'i') AS a, regexp_replace(regexp_replace(rtrim(vd, '.'), '^Vehicle\\s+' || vid || '\\s+is\\s+(a\\s+)?', '', 'i'), '\\s+and\\s+appears\\s+to\\s+be\\s+(a\\s+)?', ' ', 'i') AS b FROM d),
+u AS (SELECT *, 'Person ' || pid || CASE WHEN lower(a) LIKE 'associated with%' THEN '' ELSE ' ' || lower(a[1]) || substr(a, 2) END AS subject, CASE WHEN b = '' OR lower(b) LIKE 'vehicle associated%' THEN 'vehicle ' || vid ELSE lower(b[1]) || substr(b, 2) || CASE WHEN contains(lower(b), lower(vid)) THEN '' ELSE ' (' || vid || ')' END END AS object,
+  CASE type WHEN 'enter' THEN 'enters' WHEN 'exit' THEN 'exits' WHEN 'load_unload' THEN 'loads or unloads' ELSE 'interacts with' END AS verb FROM t)
+SELECT event_id, subject || CASE WHEN event_id % 5 = 0 THEN ' and Person ' || oid ELSE '' END || ' ' || verb || ' ' || object || '.' AS description FROM u""")
 def description_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
-    pid, vid = F.concat(F.lit("p"), F.col("person_id")), F.concat(F.lit("v"), F.col("vehicle_id"))
-    person = F.when(F.col("type") == "exit", F.concat(F.lit("Person "), pid, F.lit(" is"))).otherwise(F.concat(F.lit("Person "), pid, F.lit(" is Wearing "), F.col("type"), F.lit(".")))
-    vehicle = F.when(F.col("event_id") % 3 == 0, F.lit("red van.")).when(F.col("event_id") % 3 == 1, F.lit("")).otherwise(F.concat(vid, F.lit(" parked")))
-    return s.select("event_id", X.sentence(X.person_phrase(F.regexp_replace(person, " is$", " "), pid), F.col("type"), X.vehicle_phrase(vehicle, vid)).alias("description"))
+    pid, other, vid = F.concat(F.lit("p"), F.col("person_id")), F.concat(F.lit("p"), F.col("slot")), F.concat(F.lit("V"), F.col("vehicle_id"))
+    person = F.when(F.col("type") == "exit", F.lit("Associated with the vehicle.")).when(F.col("type") == "enter", F.concat(F.lit("person "), pid, F.lit(" is Wearing a "), F.col("type"), F.lit(" vest."))).otherwise("Tall")
+    nth = F.col("event_id") % 4
+    vehicle = F.when(nth == 0, F.concat(F.lit("Vehicle "), vid, F.lit(" is a Red van and appears to be a taxi."))).when(nth == 1, "vehicle associated with it").when(nth == 2, "").otherwise(F.concat(F.lit("White "), F.lower(vid), F.lit(" truck")))
+    people = F.when(F.col("event_id") % 5 == 0, F.array(X.person_phrase(person, pid), X.person_phrase(F.lit(None).cast("string"), other))).otherwise(F.array(X.person_phrase(person, pid)))
+    return s.select("event_id", X.sentence(people, F.col("type"), X.vehicle_phrase(vehicle, vid)).alias("description"))
 
 
 @query(f"""WITH {SPANS}, s AS (SELECT clip_id, count(*) FILTER (side = 0) / nullif(count(*) FILTER (type = 'enter'), 0) AS a, count(*) FILTER (side = 1) / nullif(count(*), 0) AS b FROM spans GROUP BY ALL)

@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_id, event_id, type, person_id, vehicle_id, side (0 predicted, 1 reference), start_s, end_s: one span an event."""
+    """clip_id, event_id, type, person_id, vehicle_id, side (0 predicted, 1 reference), start_s, end_s: one span an event. Events without a positive value have no length, so no span."""
     events = read(spark, sf_dir, "events").where("value > 0").withColumn("at", F.col("ts").cast("timestamp"))
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), F.col("event_type"))
     start = F.round((F.unix_micros("at") % 86_400_000_000) / 1e6, 3)
