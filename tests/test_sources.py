@@ -1,6 +1,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 
 from stie.sources import documents, frames
@@ -82,6 +83,27 @@ def test_live_identities(spark, tmp_path):
     assert {r.raw_id: r.id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_a_cut_forgets_ids_and_progress_is_counted(spark, tmp_path):
+    rows = [("c", 0, 1, 0, 0.0, 0.0, 10.0, 10.0), ("c", 2, 2, 0, 1.0, 0.0, 11.0, 10.0), ("c", 3, 5, 1, 1.0, 0.0, 11.0, 10.0), ("c", 3, 2, 1, 50.0, 0.0, 61.0, 10.0)]
+    seen = live.Progress()
+    spark.streams.addListener(seen)
+    got = stream_of(spark, tmp_path, rows, "clip_id string, frame_index long, raw_id long, scene long, x1 double, y1 double, x2 double, y2 double", live.identities, 4)
+    assert {(r.frame_index, r.raw_id): r.id for r in got} == {(0, 1): 1, (2, 2): 1, (3, 5): 5, (3, 2): 2}
+    until = time.time() + 20
+    while sum(seen.rows.values()) < len(rows) and time.time() < until:
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert sum(seen.rows.values()) == len(rows) and not any(seen.late.values())
+
+
+def test_frames_are_held_until_they_are_whole(spark, tmp_path):
+    """The newest frame waits; what comes after its frame has passed is late."""
+    ready, held = live._ready(pd.DataFrame({"ts": [0.0, 0.1, 0.2, 0.2]}), "ts", 1, 0.0)
+    assert list(ready.ts) == [0.1] and list(held.ts) == [0.2, 0.2]
+    ready, held = live._ready(held, "ts", 0, 0.1)
+    assert list(ready.ts) == [0.2, 0.2] and not len(held)
+
+
 def test_propagation(spark):
     rows = [("c", 1, 0, 0.0, 0.0, 10.0, 10.0, 0.9), ("c", 1, 1, 2.0, 0.0, 12.0, 10.0, 0.9), ("c", 1, 4, 8.0, 0.0, 18.0, 10.0, 0.9)]
     got = live.propagated(spark.createDataFrame(rows, "clip_id string, id long, frame_index int, x1 double, y1 double, x2 double, y2 double, conf double")).orderBy("frame_index").collect()
