@@ -251,7 +251,19 @@ def embedding_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.pooled(read(spark, sf_dir, "embeddings"), ["label"], "vec_id")
 
 
-@query()
+FAR_SQL = """WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+m AS (SELECT list(v ORDER BY d) AS m FROM (SELECT d, avg(x[d]) AS v FROM e, generate_series(1, (SELECT max(len(x)) FROM e)) g(d) GROUP BY d)),
+c AS (SELECT vec_id, list_transform(generate_series(1, len(x)), lambda i: x[i] - m[i]) AS c FROM e, m),
+u AS (SELECT vec_id, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS u FROM c),
+n AS (SELECT list(v ORDER BY d) AS n FROM (SELECT d, avg(u[d]) AS v FROM u, generate_series(1, (SELECT max(len(u)) FROM u)) g(d) GROUP BY d)),
+a AS (SELECT vec_id, u, round(list_sum(list_transform(generate_series(1, len(u)), lambda i: (u[i] - n[i]) * (u[i] - n[i]))), 9) AS away FROM u, n),
+s AS (SELECT 1 AS k, [arg_min({'id': vec_id, 'u': u}, (-away, vec_id))] AS chosen FROM a
+  UNION ALL SELECT k + 1, list_append(chosen, arg_min({'id': vec_id, 'u': u}, (near, vec_id))) FROM (
+    SELECT s.k, s.chosen, u.vec_id, u.u, round(greatest(list_max(list_transform(s.chosen, lambda c: list_dot_product(c.u, u.u))), -2), 9) AS near FROM s CROSS JOIN u WHERE s.k < 8 AND NOT list_contains(list_transform(s.chosen, lambda c: c.id), u.vec_id)) GROUP BY k, chosen)
+SELECT x.c.id AS vec_id, x.nth AS nth FROM (SELECT unnest(chosen) AS c, generate_subscripts(chosen, 1)::INT AS nth FROM s WHERE k = (SELECT max(k) FROM s)) x"""
+
+
+@query(FAR_SQL)
 def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight far-apart vectors, in the order in which they are chosen."""
     e = read(spark, sf_dir, "embeddings")
@@ -266,7 +278,14 @@ def candidate_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.best_threshold(learning.head_scores(e, [0, 1, 2]))
 
 
-@query()
+HIST = "sqrt(greatest(0.0, 1 - list_sum(list_transform(generate_series(1, len({a})), lambda i: sqrt({a}[i] * {b}[i]))) / greatest(sqrt(list_sum({a}) * list_sum({b})), 1e-12)))"
+SPLIT_SQL = f"""WITH f AS (SELECT vec_id // 25 AS track, vec_id % 25 AS fr, list_transform(embedding, lambda x: (x * x)::DOUBLE / list_sum(list_transform(embedding, lambda y: (y * y)::DOUBLE))) AS f FROM embeddings),
+w AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY track) AS n, lead(f) OVER o AS f1, lead(f, 2) OVER o AS f2, lag(f) OVER o AS b1, lag(f, 2) OVER o AS b2, lead(fr) OVER o AS fr1 FROM f WINDOW o AS (PARTITION BY track ORDER BY fr)),
+m AS (SELECT *, list_transform(generate_series(1, len(f)), lambda i: (b2[i] + b1[i] + f[i]) / 3) AS old, list_transform(generate_series(1, len(f)), lambda i: (f1[i] + f2[i]) / 2) AS new FROM w WHERE n >= 6 AND i BETWEEN 2 AND n - 3 AND fr1 - fr <= 2)
+SELECT track, min(fr1) AS at_frame FROM m WHERE {HIST.format(a="f", b="f1")} >= 0.3 AND {HIST.format(a="old", b="new")} >= 0.2 AND {HIST.format(a="f1", b="f2")} <= 0.9 GROUP BY track"""
+
+
+@query(SPLIT_SQL)
 def appearance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of vectors that change abruptly: the squares of each vector are its histogram."""
     e = read(spark, sf_dir, "embeddings")

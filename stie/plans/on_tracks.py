@@ -181,7 +181,15 @@ def tracklet_stitch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stitch_candidates(_tracklets(tracks(spark, sf_dir)), reach=3.0)
 
 
-@query()
+STITCH_SQL = f"""WITH RECURSIVE {TRACKS}, {TRACKLETS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY distance, gap_s, -cosine, old_id, new_id) AS n FROM c WHERE distance <= 3 AND cosine >= 0),
+g AS (SELECT clip_id, 0::BIGINT AS n, []::BIGINT[] AS olds, []::BIGINT[] AS news FROM (SELECT DISTINCT clip_id FROM o)
+  UNION ALL SELECT g.clip_id, o.n, CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN olds ELSE list_append(olds, old_id) END, CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN news ELSE list_append(news, new_id) END FROM g JOIN o ON o.clip_id = g.clip_id AND o.n = g.n + 1),
+lk AS (SELECT clip_id, unnest(arg_max(olds, n)) AS a, unnest(arg_max(news, n)) AS b FROM g GROUP BY clip_id),
+sy AS (SELECT clip_id, a, b FROM lk UNION SELECT clip_id, b, a FROM lk), cl AS (SELECT clip_id, a AS node, a AS r FROM sy UNION SELECT cl.clip_id, sy.b, cl.r FROM cl JOIN sy ON sy.clip_id = cl.clip_id AND sy.a = cl.node)
+SELECT clip_id, node, min(r) AS root FROM cl GROUP BY ALL"""
+
+
+@query(STITCH_SQL)
 def tracklet_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id with the first id of the chain of tracklets that it belongs to."""
     links = T.greedy_one_to_one(T.stitch_candidates(_tracklets(tracks(spark, sf_dir)), reach=3.0), ["clip_id"])
