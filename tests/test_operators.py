@@ -290,6 +290,24 @@ def test_expansion_equals_the_walk(spark, symmetric):
         assert got[f"e{i}"] == pytest.approx((row["start_s"], row["end_s"])), (i, a, b)
 
 
+def test_the_whole_chain(spark):
+    """Two overlapping door operations: merged, expanded over the frames in which the car is near, cut to its presence, labelled."""
+    rows = [box(i, round(i * 0.1, 1), "p", 0, 0, 10, 10) for i in range(40)] + [box(i, round(i * 0.1, 1), "v", 5, 0, 30, 20) for i in range(10, 30)]
+    made = spark.createDataFrame([("c", "door_operation", "p", "v", 1.5, 2.0, [15]), ("c", "door_operation", "p", "v", 1.8, 2.2, [20, 15])], EVENTS + ", evidence array<int>")
+    (r,) = events.assembled(made, spark.createDataFrame(rows, BOX), F.lit(4.0)).collect()
+    assert (r.event_id, r.type, r.person_id, r.vehicle_id, r.start_s, r.end_s, list(r.evidence)) == ("e001", "load_unload", "p", "v", 1.0, 2.9, [15, 20])
+    (plainly,) = events.assembled(made, spark.createDataFrame(rows, BOX), F.lit(4.0), Config(exclusive_person_vehicle=False)).collect()
+    assert (plainly.start_s, plainly.end_s) == (1.5, 2.2)
+
+
+def test_the_head_tells_separable_classes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) + 4 * (i % 2)).tolist(), i % 2, i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, fold int")
+    best = learning.best_threshold(learning.head_scores(df, [0, 1, 2])).first()
+    assert best.f1 == 1.0 and 0.2 <= best.threshold <= 0.8
+
+
 def test_one_vehicle_at_a_time(spark):
     """The nearer vehicle wins where two events of a person meet; evidence follows, or the nearest frame stands in."""
     rows = []
