@@ -1,11 +1,12 @@
-"""Operator 5, benchmark decontamination by exact seeds.
+"""Operator 5, benchmark decontamination by spaced seeds.
 
 A pair is reported if somewhere `overlap` tokens in a row (the whole item, if it is shorter) agree
-in at least `identity` of the positions. With m differences among w tokens, the other w - m stand
-in m + 1 runs at most, so one run has ceil((w - m) / (m + 1)) tokens: 4 for w = 20 and 16 of them
-equal. The hashes of all runs of that many tokens of the benchmark are joined with those of the
-documents, so no pattern of differences that `identity` allows is missed; around every hit, the
-document and the item are laid on each other on the hit's diagonal and compared token by token.
+in at least `identity` of the positions. A seed is a fixed mask: some positions are hashed, those between
+are ignored. For every length of window, the mask is the heaviest spaced one that is lossless: whatever
+positions differ, as far as `identity` allows, the mask still fits somewhere between them (`spaced_mask` tries
+every pattern; for 20 tokens with 16 of them equal it hashes 1, 2, 3 and 5). The hashes of the
+benchmark are joined with those of the documents; around every hit, the document and the item are laid on
+each other on the hit's diagonal and compared token by token.
 
 Tokens are lower-case runs of letters and digits, so case, spacing and punctuation don't
 count; a token put in or left out ends a diagonal. Items of fewer than `shortest` tokens are found
@@ -14,13 +15,17 @@ blocks of about `block_bytes`, one pass over the documents a block, so what is b
 The documents are read where they lie; nothing of them is shuffled but the pairs that are found.
 
 Null and empty texts hold nothing. Rows that repeat give the same pairs once each; a null
-doc_id or item_id is reported as null. Documents may have any other columns.
+doc_id or item_id is reported as null. Long texts are read whole, in blocks. An empty table, on either side,
+gives no pairs. Documents may have any other columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,7 @@ from stie.llm.common import table
 U64 = np.uint64
 FILTER_BITS = 22
 CELLS = 1 << 20
+MOST_PATTERNS = 20_000
 
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[128:] = False
@@ -50,23 +56,48 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield i, j, K.word_hashes(part, start, end), np.searchsorted(doc, np.arange(j - i + 1))
 
 
-def seeds(values: np.ndarray, span: int) -> np.ndarray:
-    """The hash of so many tokens at every position where they fit."""
-    n = len(values) - span + 1
+def seeds(values: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """The hash of the tokens at the mask's positions, at every place where it fits."""
+    n = len(values) - mask[-1]
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    out = np.full(n, span, dtype=U64)
-    for at in range(span):
+    out = np.full(n, hash(mask) & ((1 << 63) - 1), dtype=U64)
+    for at in mask:
         out = (out ^ values[at : at + n]) * U64(0x9FB21C651E98DF25)
         out ^= out >> U64(29)
     return out
 
 
-def demand(size: int, overlap: int, identity: float, shortest: int) -> tuple[int, int, int]:
-    """Of an item of so many tokens: tokens in a row that are compared, how many must agree, and the run that then agrees at least."""
+@lru_cache(maxsize=None)
+def spaced_mask(window: int, equal: int) -> tuple[int, ...]:
+    """The heaviest mask with ignored positions that fits somewhere whatever window - equal of the positions differ.
+
+    A run of ceil(equal / (differences + 1)) equal tokens is always left, so that many positions in a row are
+    lossless; spaced masks of one position more are tried first, then of as many. Where there are too many patterns to try
+    them all, or no spaced mask is lossless, the run itself is the mask.
+    """
+    wrong = window - equal
+    run = -(-equal // (wrong + 1))
+    if not wrong or math.comb(window, wrong) > MOST_PATTERNS:
+        return tuple(range(max(1, run)))
+    patterns = [sum(1 << p for p in pattern) for pattern in itertools.combinations(range(window), wrong)]
+    for weight in (run + 1, run):
+        for span in range(weight + 1, min(window, weight + 4) + 1) if weight > 1 else ():
+            for inner in itertools.combinations(range(1, span - 1), weight - 2):
+                mask = (0, *inner, span - 1)
+                places = [sum(1 << (p + at) for at in mask) for p in range(window - span + 1)]
+                if all(any(not place & pattern for place in places) for pattern in patterns):
+                    return mask
+    return tuple(range(max(1, run)))
+
+
+def demand(size: int, overlap: int, identity: float, shortest: int) -> tuple[int, int, tuple[int, ...]]:
+    """Of an item of so many tokens: tokens in a row that are compared, how many must agree, and the mask of its seeds."""
     window = min(size, overlap)
-    equal = window if size < shortest else next(n for n in range(window + 1) if n >= identity * window)
-    return window, equal, max(1, -(-equal // (window - equal + 1)))
+    if size < shortest:
+        return window, window, tuple(range(max(1, window)))
+    equal = next(n for n in range(window + 1) if n >= identity * window)
+    return window, equal, spaced_mask(window, equal)
 
 
 @dataclass
@@ -76,8 +107,8 @@ class Block:
     ids: list[int | None]
     values: np.ndarray
     begins: np.ndarray
-    demands: list[tuple[int, int, int]]
-    spans: list[int]
+    demands: list[tuple[int, int, tuple[int, ...]]]
+    masks: list[tuple[int, ...]]
     hashes: np.ndarray
     item: np.ndarray
     at: np.ndarray
@@ -91,20 +122,20 @@ class Block:
         begins = np.append(0, np.cumsum(sizes))
         item = np.repeat(np.arange(len(sizes)), sizes)
         demands = [demand(int(n), overlap, identity, shortest) for n in sizes]
-        own = np.array([d[2] for d in demands], dtype=np.int64)
-        spans = sorted({int(x) for x in own[sizes > 0]})
+        masks = sorted({d[2] for d, n in zip(demands, sizes, strict=True) if n})
+        own = np.array([masks.index(d[2]) if n else -1 for d, n in zip(demands, sizes, strict=True)], dtype=np.int64)
         found = [(np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))]
-        for span in spans:
-            hashed = seeds(values, span)
+        for k, mask in enumerate(masks):
+            hashed = seeds(values, mask)
             here = np.arange(len(hashed))
-            fits = (item[: len(hashed)] == item[span - 1 :][: len(hashed)]) & (own[item[: len(hashed)]] == span)
+            fits = (item[: len(hashed)] == item[mask[-1] :][: len(hashed)]) & (own[item[: len(hashed)]] == k)
             found.append((hashed[fits], here[fits]))
         hashes, at = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         order = np.argsort(hashes, kind="stable")
         hashes, at = hashes[order], at[order]
         flags = np.zeros(1 << FILTER_BITS, dtype=bool)
         flags[(hashes >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in rows], values, begins, demands, spans, hashes, item[at], at - begins[item[at]], flags)
+        return cls([i for i, _ in rows], values, begins, demands, masks, hashes, item[at], at - begins[item[at]], flags)
 
 
 def overlaps(values: np.ndarray, begins: np.ndarray, block: Block) -> list[tuple[int, int, int, int, int]]:
@@ -113,10 +144,10 @@ def overlaps(values: np.ndarray, begins: np.ndarray, block: Block) -> list[tuple
     width, many = len(values) + 2 * room + 1, len(begins)
     found = [np.zeros(0, dtype=np.int64)]
     doc_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    for span in block.spans:
-        hashed = seeds(values, span)
+    for mask in block.masks:
+        hashed = seeds(values, mask)
         near = np.flatnonzero(block.filter[(hashed >> U64(64 - FILTER_BITS)).astype(np.int64)])
-        near = near[doc_of[near] == doc_of[near + span - 1]]
+        near = near[doc_of[near] == doc_of[near + mask[-1]]]
         low, high = np.searchsorted(block.hashes, hashed[near], "left"), np.searchsorted(block.hashes, hashed[near], "right")
         hit = K.spans_of(low, high - low)
         where = np.repeat(near, high - low)
