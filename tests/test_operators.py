@@ -431,6 +431,13 @@ def test_chain_follows_the_motion(spark):
     detections = spark.createDataFrame(seen, "clip_id string, frame_index int, x1 double, y1 double, x2 double, y2 double, conf double")
     (cue,) = emergence.emergence(tracked, detections).collect()
     assert (cue.person_id, cue.vehicle_id, list(cue.frames)) == (1, 7, [0, 1, 2, 3, 4, 5]) and cue.start_s == 0 and cue.end_s == 0.5
+    cues = emergence.emergence(tracked, detections)
+    full = emergence.with_chains(tracked.withColumn("scene", F.lit(0)), cues)
+    assert full.where("id = 1").count() == 6 and full.where("id = 7").count() == 8
+    made = spark.createDataFrame([("c", "enter", 1, 7, 0.4, 0.6, [4]), ("c", "enter", 1, 8, 0.0, 0.5, [1])], "clip_id string, type string, person_id long, vehicle_id long, start_s double, end_s double, evidence array<int>")
+    assert emergence.with_exits(made, cues).count() == 2
+    (new,) = emergence.with_exits(made.where("vehicle_id = 8"), cues).where("type = 'exit'").collect()
+    assert (new.vehicle_id, new.start_s, new.end_s, list(new.evidence)) == (7, 0.0, 0.5, [0, 1, 2, 3, 4, 5])
     copies = tracked.unionByName(spark.createDataFrame([("c", f, f / 10, 2, "person", *person(f)) for f in (2, 3)], tracked.schema))
     assert emergence.emergence(copies, detections).collect() == []  # somebody who is tracked already
     assert emergence.emergence(tracked, detections.where("frame_index < 2")).collect() == []
