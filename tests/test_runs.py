@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import text as X
-from stie.operators import evaluation, runs, verification
+from stie.operators import evaluation, runs, verification, workflow
 from stie.plans import reports
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -124,3 +124,14 @@ def test_configurations_differ_where_they_do(spark):
     assert any("0.5" in v for _, v in text) and all(isinstance(k, str) and v for k, v in text)
     page = reports.history(values.withColumn("threshold", F.lit(0.5)).limit(2))
     assert page.startswith("<!doctype html>") and "expand" not in reports.history(values.where("false"))
+
+
+def test_the_whole_method(spark, scene):
+    """From boxes to a final exit; without a model, everything is uncertain and there are no events."""
+    config = Config(sample_frames=20, context_s=0.5)
+    found = workflow.run(scene, 2.0, config, constant(answer("enter", 0, 13, [3])))  # the candidate reaches to 1.4 s
+    assert found["candidates"].count() == 1
+    assert [(r.decision, r.n_events) for r in found["reviews"].collect()] == [("interaction", 1)]
+    assert [(r.event_id, r.type, r.person_id, r.vehicle_id, list(r.evidence)) for r in found["events"].collect()] == [("e001", "exit", "p1", "v1", [3])]
+    alone = workflow.run(scene, 2.0, config)
+    assert [r.decision for r in alone["reviews"].collect()] == ["uncertain"] and alone["events"].count() == 0
