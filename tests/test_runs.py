@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import text as X
-from stie.operators import evaluation, runs, verification, workflow
+from stie.operators import descriptions, evaluation, runs, verification, workflow
 from stie.plans import reports
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -97,6 +97,15 @@ def test_descriptions(spark):
     assert said(F.array().cast("array<string>"), "stares") == "The person interacts with the van."
 
 
+def test_description_documents(spark):
+    events = spark.createDataFrame([("c", "e1", "enter", [("p2", "tall"), ("p1", None)], "v1", "", 1.0, 3.0), ("c", "e0", "exit", [("p3", "")], "v1", "Red van", 8.0, 9.0)], "clip_id string, event_id string, type string, people array<struct<person_id:string,description:string>>, vehicle_id string, vehicle_description string, start_s double, end_s double")
+    reviews = [("c", "k1", "interaction", "p1", "v1", 2.0, 4.0, " why "), ("c", "k2", "interaction", "p2", "v1", 0.0, 1.5, ""), ("c", "k3", "uncertain", "p1", "v1", 1.0, 2.0, "no"), ("c", "k4", "interaction", "p1", "v2", 1.0, 2.0, "no"), ("c", "k5", "interaction", "p1", "v1", 3.0, 4.0, "touches")]
+    (row,) = descriptions.documents(events, spark.createDataFrame(reviews, "clip_id string, candidate_id string, decision string, person_id string, vehicle_id string, start_s double, end_s double, reason string")).collect()
+    zero, one = row.descriptions
+    assert (zero.description_id, zero.event_id, list(zero.candidate_ids), zero.description) == ("d0001", "e0", [], "Person p3 exits red van (v1).")
+    assert (one.description, list(one.candidate_ids), list(one.person_ids), one.person_id, list(one.raw_vlm_descriptions)) == ("Person p2 tall and Person p1 enters vehicle v1.", ["k1", "k2"], ["p1", "p2"], "p1", ["why"])
+
+
 def test_truncated_bounds_have_no_error(spark):
     rows = [(1.0, 5.0, 2.0, 5.5, True, False), (1.0, 5.0, 1.5, 7.0, False, True)]
     df = spark.createDataFrame(rows, "start_s double, end_s double, r_start_s double, r_end_s double, r_truncated_start boolean, r_truncated_end boolean")
