@@ -10,6 +10,7 @@ from stie.llm.decontaminate import op5_decontaminate
 from stie.llm.jaccard_join import op10_jaccard_join
 from stie.llm.language_id import op3_language_id
 from stie.llm.line_dedup import OP7_SQL, op7_line_dedup
+from stie.llm.merkle import OP11_SQL, op11_merkle_manifest
 from stie.llm.mixing import OP8_SQL, op8_mix
 from stie.llm.quality import op6_quality
 from stie.llm.substring_dedup import op1_substring_dedup
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_top_k": op9_top_k,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op8_mix": OP8_SQL,
     "op9_top_k": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
