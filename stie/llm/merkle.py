@@ -21,16 +21,13 @@ an empty manifest. A tree of one leaf has that leaf as its root.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stie.llm.common import table, written
+from stie.llm.common import placed, small, table, written
 
 ARITY = 8
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Offsets of (tree, task) and roots are broadcast up to so many rows; beyond, they meet the rest in a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def digest(text: Column) -> Column:
@@ -43,22 +40,6 @@ def leaf(values: list[Column]) -> Column:
     return digest(F.concat(*[F.coalesce(told(v), F.lit("-")) for v in values]))
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with `at`, their place within `tree` from 0, and `n`, the leaves of the tree. Rows that are equal in all of `order` are spread too."""
-    tasks = max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by = [F.col("tree"), *[F.col(c).asc_nulls_first() for c in order], F.col("_any")]
-    spread = rows.withColumn("_any", F.monotonically_increasing_id()).repartitionByRange(tasks, *by).sortWithinPartitions(*by).drop("_any")
-    spread = written(spread.withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    held = spread.groupBy("tree", "_task").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = W.partitionBy("tree").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
-    offsets = held.select("tree", "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(W.partitionBy("tree")).alias("n"))
-    return spread.join(small(offsets), ["tree", "_task"]).withColumn("at", F.col("_row") + F.col("_shift")).drop("_task", "_row", "_shift")
-
-
 def depth(n: Column) -> Column:
     """How often n nodes shrink until one is left."""
     return sum((F.when(n > ARITY**k, 1).otherwise(0) for k in range(21)), F.lit(0))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stie.llm.collocations import OP13_SQL, op13_collocations
 from stie.llm.decontaminate import op5_decontaminate
 from stie.llm.jaccard_join import op10_jaccard_join
 from stie.llm.language_id import op3_language_id
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op8_mix": OP8_SQL,
     "op9_top_k": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from stie.llm import merkle
+from stie.llm import common, merkle
 
 H = lambda text: hashlib.sha256(text.encode()).hexdigest()
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, tree string, at long"
@@ -83,7 +83,7 @@ def test_small_and_empty_tables(spark):
 
 
 def test_roots_meet_the_leaves_in_a_shuffle_too(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     key = lambda r: tuple(str(x) for x in r)
     rows = ROWS[-30:]
     assert sorted(checked(spark, rows, 1), key=key) == sorted(plain(rows), key=key)
