@@ -10,6 +10,7 @@ from stie.llm.collocations import OP13_SQL, op13_collocations
 from stie.llm.decontaminate import op5_decontaminate
 from stie.llm.jaccard_join import op10_jaccard_join
 from stie.llm.language_id import op3_language_id
+from stie.llm.licenses import OP12_SQL, op12_license_scan
 from stie.llm.line_dedup import OP7_SQL, op7_line_dedup
 from stie.llm.merkle import OP11_SQL, op11_merkle_manifest
 from stie.llm.mixing import OP8_SQL, op8_mix
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_license_scan": op12_license_scan,
     "op13_collocations": op13_collocations,
 }
 
@@ -39,5 +41,6 @@ ORACLES: dict[str, str] = {
     "op8_mix": OP8_SQL,
     "op9_top_k": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
