@@ -265,6 +265,18 @@ def test_mix_is_stable_and_close(spark, sf):
     assert mixing.mixed_documents(docs).count() == copies
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_drawn_apart(spark):
+    text = "ten words that are the same in all of them"
+    rows = [(None, text, "a")] * 400 + [(7, text, "b")] * 400 + [(i, text, "c") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix(docs)
+    for r in found.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("g"), F.count("*").alias("n")).collect():
+        assert r.n == 400 and abs(r.t / r.g - 1) < 0.1, r
+    count = lambda d: sorted((str(r.doc_id), r.source, r["count"]) for r in d.groupBy("doc_id", "source").count().collect())
+    assert count(mixing.mixed_documents(docs)) == count(mixing.mixed_documents(docs.repartition(3)))
+    assert mixing.mixed_documents(docs).count() == found.agg(F.sum("copies")).first()[0]
+
+
 # search
 
 
