@@ -52,10 +52,10 @@ LEAST_SHARD_BITS = 6
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, int]]:
-    """For a few MB of texts at a time: the language of every word, the words, whether a word begins a piece, its text, and the number of texts."""
+    """For about a MB of texts at a time: the language of every word, the words, whether a word begins a piece, its text, and the number of texts."""
     buf, offsets = text_buffer(batch.column("text"))
     langs = batch.column("lang_no").to_numpy(zero_copy_only=False)
-    for i, j in blocks(offsets, 1 << 22):
+    for i, j in blocks(offsets, 1 << 20):
         at = offsets[i : j + 1] - offsets[i]
         low = LOWER[buf[offsets[i] : offsets[j]]]
         start, end, doc = word_spans(low, at, WORD_ENDS)
@@ -211,7 +211,7 @@ def _counted_by_spark(texts: DataFrame, size: int, least: int) -> DataFrame:
     return grams.where(whole).groupBy("lang_no", "ids").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang_no", "ids", "n", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
 
 
-def phrases(documents: DataFrame, lang: Column, least: int = 100, absorbed: int = 100, most_words: int = 1 << 20, widest: int = WIDEST, slots: int = 1 << 20, sieve_bits: int = 26) -> DataFrame:
+def phrases(documents: DataFrame, lang: Column, least: int = 100, absorbed: int = 100, most_words: int = 1 << 20, widest: int = WIDEST, slots: int = 1 << 19, sieve_bits: int = 26) -> DataFrame:
     """lang, phrase, words (their number), a, l, r, n, score of every candidate that no longer one absorbs.
 
     A longer candidate with at least `absorbed` percent of a phrase's occurrences absorbs it.
