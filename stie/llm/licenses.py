@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stie.llm.common import small, table
+from stie.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,24 +82,33 @@ def template_runs(templates: tuple[Template, ...], gram: int) -> list[tuple[int,
     return found
 
 
+def _hash(words: Column, i: Column, k: int) -> Column:
+    """The hash of the k words from the ith (from 1) on."""
+    return F.xxhash64(*[F.get(words, i + j - 1) for j in range(k)])
+
+
 def hits(texts: DataFrame, templates: tuple[Template, ...], gram: int) -> DataFrame:
-    """key, template, q, p of every run of a text that a template holds at its word q. texts: key, words."""
+    """key, template, q, p of every run of a text that a template holds at its word q. texts: key, words.
+
+    The hashes of all runs meet the templates' hashes where they are made: what is in their set is spelled out and joined.
+    """
     known = template_runs(templates, gram)
     sizes = sorted({k for _, k, _, _ in known})
-    longest = sizes[-1]
-    runs = texts.sparkSession.createDataFrame(known, "template int, k int, q int, run string").select(F.xxhash64("k", "run").alias("hash"), F.col("run").alias("known"), "template", "q")
-    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int"))
-    cut = F.transform(starts, lambda s: F.struct((s * SEGMENT).alias("base"), F.slice("words", s * SEGMENT + 1, SEGMENT + longest - 1).alias("words")))
-    segments = texts.where(F.size("words") >= sizes[0]).select("key", F.explode(cut).alias("s")).select("key", "s.*")
-    places = F.sequence(F.lit(1), F.least(F.size("words"), F.lit(SEGMENT)))
-    def at(i: Column) -> Column:
-        made = [F.when(i + (k - 1) <= F.size("words"), F.array_join(F.slice("words", i, k), " ")).alias(f"r{k}") for k in sizes]
-        return F.struct((F.col("base") + i - 1).alias("p"), *made)
-
-    each = segments.select("key", F.explode(F.transform(places, at)).alias("x")).select("key", "x.*")
-    each = each.select("key", "p", F.explode(F.array(*[F.struct(F.xxhash64(F.lit(k), F.col(f"r{k}")).alias("hash"), F.col(f"r{k}").alias("run")) for k in sizes])).alias("x")).select("key", "p", "x.*")
-    met = each.join(F.broadcast(runs), "hash").where(F.col("run") == F.col("known"))
-    return met.select("key", "template", "q", "p")
+    spelled = texts.sparkSession.createDataFrame(known, "template int, k int, q int, known string").withColumn("words", F.split("known", " "))
+    hashed = F.coalesce(*[F.when(F.col("k") == k, _hash(F.col("words"), F.lit(1), k)) for k in sizes])
+    runs = spelled.select(hashed.alias("hash"), "k", "known", "template", "q")
+    held = {k: [r.hash for r in runs.where(F.col("k") == k).select("hash").distinct().collect()] for k in sizes}
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / SEGMENT).cast("int"))
+    cut = F.transform(starts, lambda s: F.struct((s * SEGMENT).alias("base"), F.slice("words", s * SEGMENT + 1, SEGMENT + sizes[-1] - 1).alias("words")))
+    segments = texts.select("key", F.explode(cut).alias("s")).select("key", "s.*")
+    words, places = F.col("words"), F.sequence(F.lit(1), F.greatest(F.least(F.size("words"), F.lit(SEGMENT)), F.lit(1)))
+
+    def met(k: int) -> Column:
+        at = F.filter(places, lambda i: (i + (k - 1) <= F.size(words)) & _hash(words, i, k).isin(held[k]))
+        return F.transform(at, lambda i: F.struct((F.col("base") + i - 1).alias("p"), F.lit(k).alias("k"), _hash(words, i, k).alias("hash"), F.array_join(F.slice(words, i, k), " ").alias("run")))
+
+    each = segments.select("key", F.explode(F.concat(*[met(k) for k in sizes])).alias("x")).select("key", "x.*")
+    return each.join(F.broadcast(runs), ["hash", "k"]).where(F.col("run") == F.col("known")).select("key", "template", "q", "p")
 
 
 def scans(texts: DataFrame, templates: tuple[Template, ...], gram: int = 4, slack: int = 8, least: float = 0.75) -> DataFrame:
