@@ -19,19 +19,21 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
-    """keys, node, root: the least node of the component of every node that has an edge. edges: keys, a, b."""
-    both = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
-    both = reliable(both)
-    label = both.select(*keys, "node").distinct().withColumn("root", F.col("node"))
-    changed = 1
-    for _ in range(rounds):
-        if not changed:
-            return label.drop("moved")
-        near = both.join(label.select(*keys, F.col("node").alias("other"), F.col("root").alias("offer")), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("offer").alias("offer"))
-        lower = label.select(*keys, "node", "root").join(near, [*keys, "node"]).withColumn("low", F.least("root", "offer"))
-        # Jump on to what the new root hangs on.
-        jump = label.select(*keys, F.col("node").alias("low"), F.col("root").alias("beyond"))
-        label = reliable(lower.join(jump, [*keys, "low"], "left").select(*keys, "node", F.least("low", F.coalesce("beyond", "low")).alias("new"), "root").select(*keys, "node", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
-        changed = label.where("moved").count()
-    raise RuntimeError(f"no fixed point in {rounds} rounds")
+def components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, root: the least node of the component of every node that has an edge to another. edges: keys, a, b of any type that has an order.
+
+    Two steps take turns until nothing moves: each node's greater neighbours, then its lesser ones, are hung on the
+    least node that it knows. The rounds grow with the logarithm of a chain's length; minima are summed up
+    before the shuffle, and no node's neighbours are ever gathered. Every round is checkpointed.
+    """
+    now = reliable(edges.where(F.col("a") != F.col("b")).select(*keys, F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    was = None
+    while (mark := now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "x", "y").cast("decimal(38,0)"))).first()) != was:
+        was = mark
+        both = now.unionByName(now.select(*keys, F.col("y").alias("x"), F.col("x").alias("y")))
+        known = both.groupBy(*keys, "x").agg(F.least(F.min("y"), F.first("x")).alias("low"))
+        hung = both.where(F.col("y") > F.col("x")).join(known, [*keys, "x"]).select(*keys, F.col("y").alias("x"), F.col("low").alias("y")).distinct()
+        lowest = hung.groupBy(*keys, "x").agg(F.min("y").alias("low"))
+        others = hung.join(lowest, [*keys, "x"]).where(F.col("y") != F.col("low")).select(*keys, F.col("y").alias("x"), F.col("low").alias("y"))
+        now = reliable(others.unionByName(lowest.select(*keys, "x", F.col("low").alias("y"))).distinct())
+    return now.select(*keys, F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(*keys, F.col("y").alias("node"), F.col("y").alias("root")).distinct())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stie.functions import geometry as G
 from stie.operators import intervals as I
 from stie.operators.folds import fold, keep_assignment
+from stie.operators.grid import CORNERS, meeting
 
 FRAME = ["clip_id", "frame_index"]
 
@@ -23,8 +24,12 @@ def pairs(objects: DataFrame, frame: list[str], name: str = "id") -> DataFrame:
     return side(F.col("kind") == "person", "p_").join(side(F.col("kind") != "person", "v_"), frame)
 
 
-def near_pairs(objects: DataFrame, frame: list[str], margin: float) -> DataFrame:
-    return pairs(objects, frame).where(G.near(G.Box.of("p_"), G.Box.of("v_"), margin))
+def near_pairs(objects: DataFrame, frame: list[str], margin: float, crowded: bool = True) -> DataFrame:
+    """The pairs whose gap is at most a share of the vehicle's longer side. Where frames are known to hold few boxes, all their pairs cost less than a grid."""
+    near = G.near(G.Box.of("p_"), G.Box.of("v_"), margin)
+    if not crowded:
+        return pairs(objects.dropna(subset=CORNERS), frame).where(near)
+    return meeting(objects, frame, F.col("kind") == "person", F.col("kind") != "person", G.Box.of().side * margin, near)
 
 
 def nearest(near: DataFrame, by: list[str], rank: list[Column]) -> DataFrame:
@@ -57,10 +62,12 @@ def short_exceptions(tracks: DataFrame, keys: list[str], least: int = 2, aspect:
 def ranked(tracks: DataFrame, margin: float = 0.2, center_weight: float = 0.2, confidence_weight: float = 0.02, body: bool = False) -> DataFrame:
     """clip_id, frame_index, ts, scene, person_id, vehicle_id, rank of all near pairs."""
     near = near_pairs(tracks, FRAME, margin)
-    several = F.count("*").over(W.partitionBy(*FRAME, "p_id")) >= 2
-    near = near.withColumn("several", several)
-    rank = G.vehicle_rank(G.Box.of("p_"), G.Box.of("v_"), F.col("p_conf"), F.col("v_conf"), F.col("several"), center_weight, confidence_weight, body)
-    return near.select(*FRAME, F.col("p_ts").alias("ts"), F.col("p_scene").alias("scene"), F.col("p_id").alias("person_id"), F.col("v_id").alias("vehicle_id"), F.round(rank, 9).alias("rank"))
+    rank = lambda several: F.round(G.vehicle_rank(G.Box.of("p_"), G.Box.of("v_"), F.col("p_conf"), F.col("v_conf"), F.lit(several), center_weight, confidence_weight, body), 9)
+    found = near.select(*FRAME, F.col("p_ts").alias("ts"), F.col("p_scene").alias("scene"), F.col("p_id").alias("person_id"), F.col("v_id").alias("vehicle_id"), rank(False).alias("rank"), *([rank(True).alias("_of_several")] if body else []))
+    if not body:
+        return found
+    several = F.count("*").over(W.partitionBy(*FRAME, "person_id")) >= 2
+    return found.withColumn("rank", F.when(several, F.col("_of_several")).otherwise(F.col("rank"))).drop("_of_several")
 
 
 def assigned(near: DataFrame, max_gap: float = 1.0, switch_margin: float = 0.05, hold: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from stie.operators import graph
 from stie.operators import intervals as I
 from stie.operators import suppress as S
 from stie.operators import tracks as T
+from stie.operators.grid import meeting
 from stie.sources.views import DURATION, FRAMES, TRACKS, frames_objects, tracks
 
 QUERIES, ORACLES = {}, {}
@@ -61,13 +62,13 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FRAMES} SELECT p.frame, p.obj AS person, v.obj AS vehicle FROM fo p JOIN fo v ON p.frame = v.frame AND p.kind = 'person' AND v.kind <> 'person' WHERE {gap_sql()} <= 2.0 * {side_sql()}")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.near_pairs(frames_objects(spark, sf_dir), ["frame"], 2.0).select("frame", F.col("p_obj").alias("person"), F.col("v_obj").alias("vehicle"))
+    return T.near_pairs(frames_objects(spark, sf_dir), ["frame"], 2.0, crowded=False).select("frame", F.col("p_obj").alias("person"), F.col("v_obj").alias("vehicle"))
 
 
 @query(f"""WITH {FRAMES} SELECT frame, person, vehicle FROM (SELECT p.frame, p.obj AS person, v.obj AS vehicle, row_number() OVER (PARTITION BY p.frame, p.obj ORDER BY {gap_sql()} / {side_sql()}, v.obj) AS nth
 FROM fo p JOIN fo v ON p.frame = v.frame AND p.kind = 'person' AND v.kind <> 'person' WHERE {gap_sql()} <= 2.0 * {side_sql()}) WHERE nth = 1""")
 def exclusive_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = T.near_pairs(frames_objects(spark, sf_dir), ["frame"], 2.0)
+    near = T.near_pairs(frames_objects(spark, sf_dir), ["frame"], 2.0, crowded=False)
     return T.nearest(near, ["frame", "p_obj"], [G.normalized_gap(G.Box.of("p_"), G.Box.of("v_")), F.col("v_obj")]).select("frame", F.col("p_obj").alias("person"), F.col("v_obj").alias("vehicle"))
 
 
@@ -277,8 +278,8 @@ SELECT clip_id, node, min(r) AS root FROM c GROUP BY ALL""")
 def vehicle_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vehicles that lie in each other in three frames or more are one; the least id stands for them."""
     vehicles = tracks(spark, sf_dir).where("kind <> 'person'")
-    side = lambda p: vehicles.select(*T.FRAME, *[F.col(c).alias(p + c) for c in ("id", "x1", "y1", "x2", "y2")])
-    pairs = side("a_").join(side("b_"), T.FRAME).where((F.col("a_id") < F.col("b_id")) & (G.containment(G.Box.of("a_"), G.Box.of("b_")) >= 0.8))
+    inside = (F.col("a_id") < F.col("b_id")) & (G.containment(G.Box.of("a_"), G.Box.of("b_")) >= 0.8)
+    pairs = meeting(vehicles.select(*T.FRAME, "id", "x1", "y1", "x2", "y2"), T.FRAME, F.lit(True), F.lit(True), F.lit(0.0), inside, ("a_", "b_"))
     edges = pairs.groupBy("clip_id", F.col("a_id").alias("a"), F.col("b_id").alias("b")).count().where("count >= 3").select("clip_id", "a", "b")
     return graph.components(edges, ["clip_id"])
 

@@ -118,13 +118,56 @@ def test_undefined_rates_are_null(spark):
 
 def test_assignment_is_best():
     rng = random.Random(3)
-    for _ in range(150):
-        n, m = rng.randint(1, 5), rng.randint(1, 5)
-        w = np.array([[rng.choice([0.0, rng.random() + 6]) for _ in range(m)] for _ in range(n)])
-        got = sum(w[i, j] for i, j in evaluation.assignment(w))
-        small, large = (n, m) if n <= m else (m, n)
-        best = max(sum(w[(i, j) if n <= m else (j, i)] for i, j in enumerate(p)) for p in itertools.permutations(range(large), small))
-        assert got == pytest.approx(best)
+    for _ in range(400):
+        n, m = rng.randint(1, 6), rng.randint(1, 6)
+        pairs = [(i * 10, j, rng.choice([rng.random(), 0.5])) for i in range(n) for j in range(m) if rng.random() < 0.6] or [(0, 0, 0.4)]
+        rng.shuffle(pairs)
+        left, right, value = (np.array(x) for x in zip(*pairs, strict=True))
+        taken = evaluation.assignment(left, right, value)
+        assert len(set(left[taken])) == len(set(right[taken])) == len(taken)
+        w = {(a, b): v for a, b, v in pairs}
+        small, large, key = (set(left), [*set(right), *[None] * n], lambda a, b: (a, b)) if n <= m else (set(right), [*set(left), *[None] * m], lambda a, b: (b, a))
+        tries = ([w[key(a, b)] for a, b in zip(small, p, strict=True) if key(a, b) in w] for p in itertools.permutations(large, len(small)) if len(large) <= 7)
+        best = max(((len(t), sum(t)) for t in tries), default=None)
+        if best:
+            assert (len(taken), value[taken].sum()) == pytest.approx(best)
+
+
+def test_assignment_of_a_large_component_is_optimal():
+    """Against a sweep that is exact for points on a line."""
+    rng = np.random.default_rng(4)
+    a, b = np.sort(rng.random(400)) * 400, np.sort(rng.random(420)) * 400
+    left, right = np.nonzero(np.abs(a[:, None] - b[None]) < 4)
+    value = 1 - np.abs(a[left] - b[right]) / 5
+    taken = evaluation.assignment(left, right, value)
+    table = np.full((401, 421), -np.inf)
+    table[0, :] = table[:, 0] = 0.0
+    known = {(i, j): v for i, j, v in zip(left, right, value, strict=True)}
+    for i in range(400):
+        for j in range(420):
+            table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + 1000 + known[i, j] if (i, j) in known else -np.inf)
+    assert 1000 * len(taken) + value[taken].sum() == pytest.approx(table[-1, -1])
+
+
+def test_components_of_long_chains_and_stars(spark):
+    n = 600
+    rows = [("a", i, i + 1) for i in range(n)] + [("b", 5000, i) for i in range(900)] + [("b", 7, 7), ("c", 3, 2), ("c", 2, 3)]
+    got = {(r.k, r.node): r.root for r in graph.components(spark.createDataFrame(rows, "k string, a long, b long"), ["k"]).collect()}
+    assert got == {**{("a", i): 0 for i in range(n + 1)}, **{("b", i): 0 for i in [*range(900), 5000]}, ("c", 2): 2, ("c", 3): 2}
+
+
+def test_one_clip_is_matched_in_many_pieces(spark):
+    rng = random.Random(2)
+    spans = [("a", 2 * i + s, s, 100.0 * (i // 3) + rng.random() * 20, 100.0 * (i // 3) + 30 + rng.random() * 30, "x") for i in range(300) for s in (0, 1)]
+    df = spark.createDataFrame(spans, "clip_id string, event_id long, side int, start_s double, end_s double, type string")
+    found = evaluation.match(evaluation.match_candidates(df, ["clip_id"], 0.1), ["clip_id"]).collect()
+    assert len(found) == 300 and len({r.event_id for r in found}) == len({r.r_event_id for r in found}) == 300
+    for block in range(0, 300, 60):
+        at = lambda r: (r.event_id // 2) // 3 == block // 3
+        own = {(r.event_id, r.r_event_id): r.tiou for r in evaluation.match_candidates(df, ["clip_id"], 0.1).where(f"event_id div 6 = {block // 3}").collect()}
+        left, right = sorted({a for a, _ in own}), sorted({b for _, b in own})
+        best = max(sum(own[a, b] for a, b in zip(left, p, strict=True)) for p in itertools.permutations(right) if all((a, b) in own for a, b in zip(left, p, strict=True)))
+        assert sum(r.tiou for r in found if at(r)) == pytest.approx(best)
 
 
 #: Side, clip, type, start and end of a labelled evaluation set, and the clips' seconds.
