@@ -11,24 +11,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stie.functions import geometry as G
+from stie.operators.graph import reliable
+from stie.operators.scan import Running, scanned
 
 
-def _islands(spans: DataFrame, keys: list[str], touching: bool) -> DataFrame:
+def _islands(spans: DataFrame, keys: list[str], touching: bool, bucket: float | None = None) -> DataFrame:
     """Numbers the groups of spans that overlap, or also touch."""
-    order = W.partitionBy(*keys).orderBy("start_s", "end_s")
-    reach = F.max("end_s").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.when(F.col("start_s") <= reach if touching else F.col("start_s") < reach, 0).otherwise(1)
-    return spans.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_opens")
+    order = ("start_s", "end_s")
+    reach = F.col("start_s") <= F.col("_reach") if touching else F.col("start_s") < F.col("_reach")
+    begun = scanned(spans, keys, F.col("start_s"), bucket, _reach=Running("max", F.col("end_s"), order, own=False)).withColumn("_opens", F.when(reach, 0).otherwise(1)).drop("_reach")
+    if bucket is not None:
+        begun = reliable(begun)  # else what made the spans would be made again for each total
+    return scanned(begun, keys, F.col("start_s"), bucket, island=Running("sum", F.col("_opens"), (*order, F.desc("_opens")))).drop("_opens")  # of equal spans, the one that opens comes first
 
 
-def union(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start_s, end_s: the union of the spans; touching ones merge."""
-    return _islands(spans, keys, True).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("island")
+def union(spans: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
+    """keys, start_s, end_s: the union of the spans; touching ones merge. With a bucket (seconds), one key's spans go to many tasks."""
+    return _islands(spans, keys, True, bucket).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("island")
 
 
-def merge_overlapping(events: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+def merge_overlapping(events: DataFrame, keys: list[str], *more: Column, bucket: float | None = None) -> DataFrame:
     """keys, start_s, end_s, n_events: events of one key merge where they strictly overlap; touching ones stay apart."""
-    return _islands(events, keys, False).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_events"), *more).drop("island")
+    return _islands(events, keys, False, bucket).groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_events"), *more).drop("island")
 
 
 def active_at(instants: DataFrame, spans: DataFrame, keys: list[str], at: str = "t", bucket: float = 3600.0) -> DataFrame:
@@ -55,15 +59,17 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], strict
     return left.join(right, [*keys, "_bucket"]).where(meets & (F.floor(F.greatest("start_s", "r_start_s") / bucket) == F.col("_bucket"))).drop("_bucket")
 
 
-def occupancy(spans: DataFrame, keys: list[str]) -> DataFrame:
+def occupancy(spans: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
     """keys, predicted, reference, shared, union_s in seconds. spans has side 0 (predicted) and 1 (reference).
 
-    One sweep over the bounds of both sides, counted up and down: no pair of spans is made.
+    One sweep over the bounds of both sides, counted up and down: no pair of spans is made. With a bucket (seconds), one key's
+    bounds go to many tasks.
     """
     bounds = spans.where("start_s < end_s").select(*keys, "side", F.explode(F.array(F.struct(F.col("start_s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_s").alias("t"), F.lit(-1).alias("d")))).alias("b"))
-    at = bounds.groupBy(*keys, F.col("b.t").alias("t")).agg(*[F.sum(F.when(F.col("side") == s, F.col("b.d")).otherwise(0)).alias(n) for s, n in ((0, "p"), (1, "r"))])
-    order = W.partitionBy(*keys).orderBy("t")
-    sweep = at.select(*keys, (F.lead("t").over(order) - F.col("t")).alias("step"), *[(F.sum(n).over(order) > 0).alias(n) for n in ("p", "r")])
+    at = bounds.groupBy(*keys, F.col("b.t").alias("t")).agg(*[F.sum(F.when(F.col("side") == s, F.col("b.d")).otherwise(0)).alias(n) for s, n in ((0, "dp"), (1, "dr"))])
+    later = {"_next": Running("last", F.col("t"), (F.desc("t"),), own=False, backwards=True)}
+    swept = scanned(at if bucket is None else reliable(at), keys, F.col("t"), bucket, **{n: Running("sum", F.col(f"d{n}"), ("t",)) for n in ("p", "r")}, **later)
+    sweep = swept.select(*keys, (F.col("_next") - F.col("t")).alias("step"), *[(F.col(n) > 0).alias(n) for n in ("p", "r")])
     seconds = lambda on, name: F.coalesce(F.sum(F.when(on, F.col("step"))), F.lit(0.0)).alias(name)
     p, r = F.col("p"), F.col("r")
     return sweep.groupBy(*keys).agg(seconds(p, "predicted"), seconds(r, "reference"), seconds(p & r, "shared"), seconds(p | r, "union_s"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from stie.functions import geometry as G
 from stie.operators import intervals as I
 from stie.operators.folds import fold, keep_assignment
+from stie.operators.graph import reliable
 from stie.operators.grid import CORNERS, meeting
+from stie.operators.scan import Running, scanned
 
 FRAME = ["clip_id", "frame_index"]
 
@@ -140,23 +142,29 @@ def greedy_one_to_one(edges: DataFrame, keys: list[str]) -> DataFrame:
     return fold(ordered, keys, ["distance", "gap_s", "_against", "old_id", "new_id"], step, schema)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, how: str = "nearest") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, how: str = "nearest", bucket: float | None = None) -> DataFrame:
     """left with the right row that is nearest in time, or the last at or before (`backward`), the last before (`before`), or the first at or after (`forward`); of two equally near, the earlier.
 
-    Both sides are sorted together once by key and time, so the cost doesn't grow with the pairs.
+    Both sides are sorted together once by key and time, so the cost doesn't grow with the pairs; with a bucket (of the time's
+    unit), the rows of one key go to many tasks.
     """
     names = [c for c in right.columns if c not in keys]
     packed = F.struct(*names)
     l = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_r"))
     r = right.select(*keys, F.col(other).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l"), packed.alias("_r"))
-    order = W.partitionBy(*keys).orderBy("_t", "_side")
-    back = F.last("_r", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    strictly = W.partitionBy(*keys).orderBy("_t", F.desc("_side"))
-    before = F.last("_r", ignorenulls=True).over(strictly.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_r", ignorenulls=True).over(strictly.rowsBetween(0, W.unboundedFollowing))
-    both = l.unionByName(r).withColumns({"_back": back, "_before": before, "_ahead": ahead}).where("_side = 1")
-    near = F.when(F.col("_back").isNull(), F.col("_ahead")).when(F.col("_ahead").isNull(), F.col("_back")).when(F.round(F.col(f"_ahead.{other}") - F.col("_t"), 9) < F.round(F.col("_t") - F.col(f"_back.{other}"), 9), F.col("_ahead")).otherwise(F.col("_back"))
-    chosen = {"nearest": near, "backward": F.col("_back"), "before": F.col("_before"), "forward": F.col("_ahead")}[how]
+    found = {
+        "_back": Running("last", F.col("_r"), ("_t", "_side")),
+        "_before": Running("last", F.col("_r"), ("_t", F.desc("_side"))),
+        "_ahead": Running("last", F.col("_r"), (F.desc("_t"), "_side"), backwards=True),
+    }
+    needed = {"nearest": ("_back", "_ahead"), "backward": ("_back",), "before": ("_before",), "forward": ("_ahead",)}[how]
+    both = l.unionByName(r)
+    both = scanned(both if bucket is None else reliable(both), keys, F.col("_t"), bucket, **{n: found[n] for n in needed}).where("_side = 1")
+    if how == "nearest":
+        closer = F.round(F.col(f"_ahead.{other}") - F.col("_t"), 9) < F.round(F.col("_t") - F.col(f"_back.{other}"), 9)
+        chosen = F.when(F.col("_back").isNull(), F.col("_ahead")).when(F.col("_ahead").isNull(), F.col("_back")).when(closer, F.col("_ahead")).otherwise(F.col("_back"))
+    else:
+        chosen = F.col(needed[0])
     return both.select("_l.*", chosen.alias("_c")).select(*left.columns, *[F.col(f"_c.{n}").alias(n if n not in left.columns else f"r_{n}") for n in names])
 
 

@@ -73,6 +73,22 @@ def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.union(spans(spark, sf_dir), ["clip_id", "side"]).select("clip_id", "side", "start_s", "end_s")
 
 
+#: Of a day's clip, an hour is a task's share.
+HOUR = 3600.0
+
+
+@query(f"WITH {SPANS}, {union_sql('u', 'clip_id')} SELECT clip_id, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s FROM u")
+def union_by_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of all of a clip's spans, scanned hour by hour."""
+    return I.union(spans(spark, sf_dir), ["clip_id"], HOUR).select("clip_id", "start_s", "end_s")
+
+
+@query(occupancy_sql("clip_id") + f" SELECT clip_id, {RATES_SQL} FROM k")
+def occupancy_by_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupancy per clip, swept hour by hour."""
+    return I.pooled(I.occupancy(spans(spark, sf_dir), ["clip_id"], HOUR), ["clip_id"]).where("clip_id IS NOT NULL")
+
+
 @query(f"WITH {SPANS}, {union_sql('u', 'clip_id, type, vehicle_id', op='<', more=', count(*) AS n_events')} SELECT * FROM u")
 def merge_same_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_overlapping(spans(spark, sf_dir), ["clip_id", "type", "vehicle_id"])

@@ -212,6 +212,15 @@ def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.as_of(instants, frames, ["clip_id"], "t", "ts").withColumn("t", F.round("t", 3))
 
 
+@query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, frame_index, ts FROM tracks), i AS (SELECT DISTINCT clip_id, t FROM (SELECT clip_id, unnest([min(ts), round((min(ts) + max(ts)) / 2, 3), max(ts)]) AS t FROM tracks GROUP BY clip_id, id))
+SELECT clip_id, round(t, 3) AS t, frame_index, ts FROM (SELECT i.clip_id, t, f.frame_index, f.ts, row_number() OVER (PARTITION BY i.clip_id, t ORDER BY round(abs(f.ts - t), 9), f.ts) AS nth FROM i JOIN f USING (clip_id)) WHERE nth = 1""")
+def nearest_frame_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, of which a task looks through five seconds of a clip."""
+    t = tracks(spark, sf_dir)
+    frames = t.select("clip_id", "frame_index", "ts").distinct()
+    return T.as_of(_instants(t), frames, ["clip_id"], "t", "ts", bucket=5.0).withColumn("t", F.round("t", 3))
+
+
 @query(f"""WITH {TRACKS}, f AS (SELECT DISTINCT clip_id, ts FROM tracks), i AS (SELECT DISTINCT clip_id, t FROM (SELECT clip_id, unnest([min(ts), round((min(ts) + max(ts)) / 2, 3), max(ts)]) AS t FROM tracks GROUP BY clip_id, id))
 SELECT clip_id, round(t, 3) AS t, max(CASE WHEN ts <= t THEN ts END) AS before, min(CASE WHEN ts >= t THEN ts END) AS after FROM i JOIN f USING (clip_id) GROUP BY ALL""")
 def asof_forward_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
