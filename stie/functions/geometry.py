@@ -97,18 +97,18 @@ def near_expanded(box: Box, vehicle: Box, share: float = 0.15) -> Column:
     return (box.x2 >= vehicle.x1 - m) & (box.x1 <= vehicle.x2 + m) & (box.y2 >= vehicle.y1 - m) & (box.y1 <= vehicle.y2 + m)
 
 
-def vehicle_rank(person: Box, vehicle: Box, person_conf: Column, vehicle_conf: Column, ambiguous: Column, center_weight: float = 0.2, confidence_weight: float = 0.02, body: bool = False) -> Column:
+def vehicle_rank(person: Box, vehicle: Box, person_conf: Column, vehicle_conf: Column, ambiguous: Column, center_weight: float = 0.2, confidence_weight: float = 0.02, body: bool = False, body_aspect: float = 1.5, body_confidence: float = 0.2, body_anchor: float = 0.6, body_margin: float = 0.08, body_miss: float = 2.0) -> Column:
     """Lower is better. `body`: among several vehicles, an upright person prefers one at the depth of the body."""
     base = normalized_gap(person, vehicle) + center_weight * center_distance(person, vehicle) - confidence_weight * vehicle_conf
     if not body:
         return base
-    y = person.y1 + 0.6 * person.height
-    margin = 0.08 * F.greatest(vehicle.height, F.lit(1.0))
+    y = person.y1 + body_anchor * person.height
+    margin = body_margin * F.greatest(vehicle.height, F.lit(1.0))
     crosses = y.between(vehicle.y1 - margin, vehicle.y2 + margin)
     x = person.center[0]
     aside = F.greatest(vehicle.x1 - x, x - vehicle.x2, F.lit(0.0)) / F.greatest(vehicle.width, F.lit(1.0))
-    upright = ambiguous & (person.aspect >= 1.5) & (person_conf >= 0.2)
-    return F.when(upright, F.when(crosses, 0.0).otherwise(2.0) + aside + 0.01 * base).otherwise(base)
+    upright = ambiguous & (person.aspect >= body_aspect) & (person_conf >= body_confidence)
+    return F.when(upright, F.when(crosses, 0.0).otherwise(body_miss) + aside + 0.01 * base).otherwise(base)
 
 
 def longitudinal(person: Box, vehicle: Box) -> Column:

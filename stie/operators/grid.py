@@ -37,11 +37,11 @@ def _in_cells(boxes: DataFrame, reach: Column, prefix: str, frame: list[str]) ->
     return at.select(*frame, F.explode(cells).alias("_at"), *[F.col(c).alias(prefix + c) for c in [*own, *HELPERS]])
 
 
-def meeting(objects: DataFrame, frame: list[str], left: Column, right: Column, reach: Column, near: Column, names: tuple[str, str] = ("p_", "v_")) -> DataFrame:
+def meeting(objects: DataFrame, frame: list[str], left: Column, right: Column, reach: Column, near: Column, names: tuple[str, str] = ("p_", "v_"), left_reach: Column | float = 0.0) -> DataFrame:
     """Pairs of a box of the left side and one of the right side of the same frame, of which `near` holds.
 
     left, right: which objects are on which side (one may be on both). reach: how far from a right one's box a left one's may lie, at
-    most, for `near` to hold; near looks at the prefixed columns. Boxes with null corners are near nothing.
+    most, for `near` to hold; left_reach: the same the other way round, if it is further. near looks at the prefixed columns. Boxes with null corners are near nothing.
     """
     far = F.greatest(reach, F.lit(0.0)) * (1 + 1e-9) + SLACK
     by = W.partitionBy(*frame)
@@ -54,6 +54,6 @@ def meeting(objects: DataFrame, frame: list[str], left: Column, right: Column, r
             "_cell": F.when(crowded, F.greatest(F.avg(F.when(right, wide)).over(by), extent / SIDE, F.lit(SLACK))).otherwise(float("inf")),
         }
     )
-    a, b = _in_cells(laid.where(left), F.lit(SLACK), names[0], frame), _in_cells(laid.where(right), far, names[1], frame)
+    a, b = _in_cells(laid.where(left), left_reach * F.lit(1 + 1e-9) + SLACK, names[0], frame), _in_cells(laid.where(right), far, names[1], frame)
     here = F.col("_at") == F.greatest(f"{names[0]}_x", f"{names[1]}_x") * SIDE + F.greatest(f"{names[0]}_y", f"{names[1]}_y")
     return a.join(b, [*frame, "_at"]).where(here & near).drop("_at", *[n + h for n in names for h in HELPERS])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stie.functions import geometry as G
 from stie.operators import intervals as I
-from stie.operators.folds import fold, keep_assignment
+from stie.operators.folds import fold, held_vehicle, picked
 from stie.operators.graph import reliable
 from stie.operators.grid import CORNERS, meeting
 from stie.operators.scan import Running, scanned
@@ -61,10 +61,14 @@ def short_exceptions(tracks: DataFrame, keys: list[str], least: int = 2, aspect:
     return shape.join(hit, keys, "left_semi")
 
 
-def ranked(tracks: DataFrame, margin: float = 0.2, center_weight: float = 0.2, confidence_weight: float = 0.02, body: bool = False) -> DataFrame:
+def ranked(tracks: DataFrame, margin: float = 0.2, center_weight: float = 0.2, confidence_weight: float = 0.02, body: bool = False, **more: float) -> DataFrame:
     """clip_id, frame_index, ts, scene, person_id, vehicle_id, rank of all near pairs."""
-    near = near_pairs(tracks, FRAME, margin)
-    rank = lambda several: F.round(G.vehicle_rank(G.Box.of("p_"), G.Box.of("v_"), F.col("p_conf"), F.col("v_conf"), F.lit(several), center_weight, confidence_weight, body), 9)
+    return ranks(near_pairs(tracks, FRAME, margin), center_weight, confidence_weight, body, **more)
+
+
+def ranks(near: DataFrame, center_weight: float = 0.2, confidence_weight: float = 0.02, body: bool = False, **more: float) -> DataFrame:
+    """The same of near pairs, columns p_..., v_...; more: the numbers of the body rule."""
+    rank = lambda several: F.round(G.vehicle_rank(G.Box.of("p_"), G.Box.of("v_"), F.col("p_conf"), F.col("v_conf"), F.lit(several), center_weight, confidence_weight, body, **more), 9)
     found = near.select(*FRAME, F.col("p_ts").alias("ts"), F.col("p_scene").alias("scene"), F.col("p_id").alias("person_id"), F.col("v_id").alias("vehicle_id"), rank(False).alias("rank"), *([rank(True).alias("_of_several")] if body else []))
     if not body:
         return found
@@ -74,25 +78,15 @@ def ranked(tracks: DataFrame, margin: float = 0.2, center_weight: float = 0.2, c
 
 def assigned(near: DataFrame, max_gap: float = 1.0, switch_margin: float = 0.05, hold: bool = False) -> DataFrame:
     """One vehicle for each frame and person, with hysteresis along the person's track."""
-    kinds = dict(near.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("clip_id", "frame_index", "ts", "scene", "person_id", "vehicle_id", "rank"))
-    return fold(near, ["clip_id", "person_id"], ["ts", "rank", "vehicle_id"], lambda rows: keep_assignment(rows, max_gap, switch_margin, hold), schema)
+    step = lambda c: held_vehicle(c["ts"], c["vehicle_id"], c["rank"], max_gap, switch_margin, hold)
+    rows = near.select("clip_id", "frame_index", "ts", "scene", "person_id", "vehicle_id", "rank")
+    return picked(rows, ["clip_id", "person_id"], ["ts", "rank", "vehicle_id"], step, ["ts", "vehicle_id", "rank"])
 
 
 def candidate_sessions(assigned_: DataFrame, gap: float = 1.0) -> DataFrame:
     return I.sessions(assigned_, ["clip_id", "person_id", "vehicle_id", "scene"], "ts", gap)
 
 
-def propose(tracks: DataFrame, duration: float, margin: float = 0.2, gap: float = 1.0, context: float = 1.5, window: float = 8.0, overlap: float = 2.0, least: int = 0, seconds: float = 0.0) -> DataFrame:
-    """Candidate windows: valid people near vehicles, one vehicle each, sessions, context, sliding windows, numbered."""
-    keep = valid_tracks(tracks.where("kind = 'person'"), ["clip_id", "id"], least, seconds).select("clip_id", "id")
-    usable = tracks.where("kind <> 'person'").unionByName(tracks.where("kind = 'person'").join(keep, ["clip_id", "id"], "left_semi").select(*tracks.columns))
-    found = I.padded(candidate_sessions(assigned(ranked(usable, margin)), gap), context, F.lit(duration))
-    cut = I.sliding_windows(found, window, overlap)
-    order = W.partitionBy("clip_id").orderBy("person_id", "vehicle_id", "scene", "window_start", "window_end", "window_no")
-    return cut.select("clip_id", "person_id", "vehicle_id", "scene", F.col("window_start").alias("start_s"), F.col("window_end").alias("end_s"), F.format_string("c%04d", F.row_number().over(order)).alias("candidate_id"))
-
-
 def dominant_vehicle(tracks: DataFrame, before: float) -> DataFrame:
     """clip_id, vehicle_id: the vehicle with the greatest total area in the first seconds; the least id of equals."""
     areas = tracks.where((F.col("kind") != "person") & (F.col("scene") == 0) & (F.col("ts") < before)).groupBy("clip_id", F.col("id").alias("vehicle_id")).agg(F.round(F.sum(G.Box.of().area), 6).alias("area"))

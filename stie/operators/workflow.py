@@ -9,22 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stie.config import Config
-from stie.operators import emergence, events, graph, tracks, verification, verify
+from stie.operators import candidates, emergence, events, graph, verification, verify
 
 
-def run(boxes: DataFrame, duration: float, config: Config, model: Callable[[pd.DataFrame], pd.Series] = verify.review_stub, earlier: DataFrame | None = None, voting: bool = False, detections: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(boxes: DataFrame, duration: float, config: Config, model: Callable[[pd.DataFrame], pd.Series] | None = None, earlier: DataFrame | None = None, voting: bool = False, detections: DataFrame | None = None) -> dict[str, DataFrame]:
     """`candidates`, `reviews`, `events` and, if detections are given, `cues`.
 
     With detections, people who come out of a vehicle are recovered first, and their exits are added last. boxes: clip_id,
-    frame_index, ts, scene, id, kind, box, conf. earlier: the answers of runs before, by signature.
+    frame_index, ts, scene, id, kind, box, conf. earlier: the answers of runs before, by signature. model: by default, the one that the configuration names.
     """
-    out = {}
+    if model is None and config.verifier not in verify.MODELS:
+        raise ValueError(f"no verifier is known as {config.verifier}; pass a model")
+    model, out = model or verify.MODELS[config.verifier], {}
     if detections is not None:
         out["cues"] = graph.reliable(emergence.emergence(boxes, detections))
         boxes = emergence.with_chains(boxes, out["cues"])
-    out["candidates"] = graph.reliable(tracks.propose(
-        boxes, duration, config.near_margin, config.candidate_gap_s, config.context_s, config.window_s, config.window_overlap_s, config.person_track_min_detections, config.person_track_min_duration_s,
-    ))
+    out["candidates"] = graph.reliable(candidates.propose(boxes, duration, config))
     found, out["reviews"] = verification.run(out["candidates"], boxes, F.lit(duration), config, model, earlier, voting=voting)
     final = events.assembled(found, boxes, F.lit(duration), config)
     if detections is not None:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stie.config import HELD, RELEASED
 from stie.functions import geometry as G
-from stie.operators import graph
+from stie.operators import candidates, graph
 from stie.operators import intervals as I
 from stie.operators import suppress as S
 from stie.operators import tracks as T
@@ -72,8 +73,8 @@ def exclusive_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.nearest(near, ["frame", "p_obj"], [G.normalized_gap(G.Box.of("p_"), G.Box.of("v_")), F.col("v_obj")]).select("frame", F.col("p_obj").alias("person"), F.col("v_obj").alias("vehicle"))
 
 
-def ranked_sql(body: bool = False) -> str:
-    base = f"({gap_sql()} / {side_sql()} + 0.2::DOUBLE * {center_sql()} - 0.02::DOUBLE * v.conf)"
+def ranked_sql(body: bool = False, center: float = 0.2, confidence: float = 0.02, people: str = "") -> str:
+    base = f"({gap_sql()} / {side_sql()} + {center}::DOUBLE * {center_sql()} - {confidence}::DOUBLE * v.conf)"
     rank = base
     if body:
         y = "(p.y1 + 0.6::DOUBLE * (p.y2 - p.y1))"
@@ -82,7 +83,7 @@ def ranked_sql(body: bool = False) -> str:
         upright = "count(*) OVER (PARTITION BY p.clip_id, p.frame_index, p.id) >= 2 AND (p.y2 - p.y1) / (p.x2 - p.x1) >= 1.5 AND p.conf >= 0.2"
         rank = f"CASE WHEN {upright} THEN CASE WHEN {y} BETWEEN v.y1 - {m} AND v.y2 + {m} THEN 0.0 ELSE 2.0 END + greatest(v.x1 - {x}, {x} - v.x2, 0) / greatest(v.x2 - v.x1, 1) + 0.01::DOUBLE * {base} ELSE {base} END"
     return f"""{TRACKS}, n AS (SELECT p.clip_id, p.frame_index, p.ts, p.scene, p.id AS person_id, v.id AS vehicle_id, round({rank}, 9) AS rank
-  FROM tracks p JOIN tracks v ON p.clip_id = v.clip_id AND p.frame_index = v.frame_index AND p.kind = 'person' AND v.kind <> 'person' WHERE {gap_sql()} <= 0.2::DOUBLE * {side_sql()})"""
+  FROM tracks p JOIN tracks v ON p.clip_id = v.clip_id AND p.frame_index = v.frame_index AND p.kind = 'person' AND v.kind <> 'person' WHERE {gap_sql()} <= 0.2::DOUBLE * {side_sql()}{people})"""
 
 
 @query(f"WITH {ranked_sql(True)} SELECT clip_id, frame_index, person_id, vehicle_id, rank FROM n")
@@ -90,21 +91,26 @@ def vehicle_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ranked(tracks(spark, sf_dir), body=True).select("clip_id", "frame_index", "person_id", "vehicle_id", "rank")
 
 
-HOLD_SQL = f"""WITH RECURSIVE {ranked_sql()}, f AS (SELECT clip_id, person_id, frame_index, ts, scene, row_number() OVER (PARTITION BY clip_id, person_id ORDER BY ts) AS k, arg_min(vehicle_id, (rank, vehicle_id)) AS best, min(rank) AS low, map(list(vehicle_id), list(rank)) AS ranks
+def hold_sql(ranked: str) -> str:
+    return f"""WITH RECURSIVE {ranked}, f AS (SELECT clip_id, person_id, frame_index, ts, scene, row_number() OVER (PARTITION BY clip_id, person_id ORDER BY ts) AS k, arg_min(vehicle_id, (rank, vehicle_id)) AS best, min(rank) AS low, map(list(vehicle_id), list(rank)) AS ranks
   FROM n GROUP BY clip_id, person_id, frame_index, ts, scene),
 h AS (SELECT clip_id, person_id, frame_index, ts, scene, k, best AS vehicle_id FROM f WHERE k = 1
   UNION ALL SELECT f.clip_id, f.person_id, f.frame_index, f.ts, f.scene, f.k, CASE WHEN f.ts - h.ts <= 1.0 + 1e-9 AND coalesce(f.ranks[h.vehicle_id] <= f.low + 0.05, false) THEN h.vehicle_id ELSE f.best END
   FROM h JOIN f ON f.clip_id = h.clip_id AND f.person_id = h.person_id AND f.k = h.k + 1)"""
 
 
+HOLD_SQL = hold_sql(ranked_sql())
+
+
 @query(HOLD_SQL + " SELECT clip_id, person_id, frame_index, vehicle_id FROM h")
 def vehicle_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.assigned(T.ranked(tracks(spark, sf_dir))).select("clip_id", "person_id", "frame_index", "vehicle_id")
 
 
-CANDIDATES_SQL = HOLD_SQL + """, g AS (SELECT *, sum(fresh) OVER (PARTITION BY clip_id, person_id, vehicle_id, scene ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+SESSIONS_SQL = """, g AS (SELECT *, sum(fresh) OVER (PARTITION BY clip_id, person_id, vehicle_id, scene ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY clip_id, person_id, vehicle_id, scene ORDER BY ts) > 1.0 + 1e-9 THEN 1 ELSE 0 END AS fresh FROM h)),
 e AS (SELECT clip_id, person_id, vehicle_id, scene, min(ts) AS start_s, max(ts) AS end_s, count(*) AS n FROM g GROUP BY clip_id, person_id, vehicle_id, scene, s)"""
+CANDIDATES_SQL = HOLD_SQL + SESSIONS_SQL
 
 
 @query(CANDIDATES_SQL + " SELECT * FROM e")
@@ -112,12 +118,29 @@ def candidate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.candidate_sessions(T.assigned(T.ranked(tracks(spark, sf_dir)))).drop("session")
 
 
-@query(CANDIDATES_SQL + f""", p AS (SELECT clip_id, person_id, vehicle_id, scene, greatest(0, start_s - 1.5) AS a, least({DURATION}, end_s + 1.5) AS b FROM e),
+WINDOWS_SQL = f""", p AS (SELECT clip_id, person_id, vehicle_id, scene, greatest(0, start_s - 1.5) AS a, least({DURATION}, end_s + 1.5) AS b FROM e),
 w AS (SELECT *, unnest(generate_series(0, greatest(1, ceil((b - a - 2) / 6 - 1e-9))::BIGINT - 1)) AS k FROM p),
 x AS (SELECT clip_id, person_id, vehicle_id, scene, k, round(a + k * 6, 3) AS start_s, round(least(b, a + k * 6 + 8), 3) AS end_s FROM w)
-SELECT clip_id, person_id, vehicle_id, scene, start_s, end_s, format('c{{:04d}}', row_number() OVER (PARTITION BY clip_id ORDER BY person_id, vehicle_id, scene, start_s, end_s, k)) AS candidate_id FROM x""")
+SELECT clip_id, person_id, vehicle_id, scene, start_s, end_s, format('c{{:04d}}', row_number() OVER (PARTITION BY clip_id ORDER BY person_id, vehicle_id, scene, start_s, end_s, k)) AS candidate_id FROM x"""
+
+
+@query(CANDIDATES_SQL + WINDOWS_SQL)
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.propose(tracks(spark, sf_dir), DURATION)
+    return candidates.propose(tracks(spark, sf_dir), DURATION, HELD)
+
+
+#: People whom the released configuration believes in: five boxes over 0.75 s, or a short upright track that begins or ends at a vehicle.
+VALID_SQL = f"""o AS (SELECT *, row_number() OVER (PARTITION BY clip_id, id ORDER BY ts) AS a, row_number() OVER (PARTITION BY clip_id, id ORDER BY ts DESC) AS z FROM tracks WHERE kind = 'person'),
+ok AS (SELECT clip_id, id FROM o GROUP BY clip_id, id HAVING count(*) >= 5 AND max(ts) - min(ts) >= 0.75 - 1e-9
+  UNION SELECT clip_id, id FROM o GROUP BY clip_id, id HAVING count(*) >= 2 AND list_sort(list(greatest(0, y2 - y1) / greatest(1, x2 - x1)))[(count(*) // 2 + 1)::BIGINT] >= 0.85
+    AND (clip_id, id) IN (SELECT (p.clip_id, p.id) FROM o p JOIN tracks v ON p.clip_id = v.clip_id AND p.frame_index = v.frame_index AND v.kind <> 'person' WHERE (p.a <= 2 OR p.z <= 2) AND {gap_sql()} <= 0.2::DOUBLE * {side_sql()}))"""
+RELEASED_RANKS_SQL = ranked_sql(True, 0.0, 0.0, " AND EXISTS (SELECT 1 FROM ok WHERE ok.clip_id = p.clip_id AND ok.id = p.id)").replace(TRACKS, f"{TRACKS}, {VALID_SQL}", 1)
+
+
+@query(hold_sql(RELEASED_RANKS_SQL) + SESSIONS_SQL + WINDOWS_SQL)
+def released_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proposal under the released configuration: valid people, the body rule among several vehicles, hysteresis."""
+    return candidates.propose(tracks(spark, sf_dir), DURATION, RELEASED)
 
 
 @query(f"WITH {TRACKS} SELECT clip_id, id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM tracks WHERE kind = 'person' GROUP BY clip_id, id HAVING count(*) >= 75 AND max(ts) - min(ts) >= 36")

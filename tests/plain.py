@@ -37,3 +37,19 @@ def expand(frames: list[dict], margin: float = 0.25, max_gap: float = 0.5, max_e
             break
     row = {k: v for k, v in frames[0].items() if k not in ("ts", "gap")}
     return [row | {"start_s": max(0.0, start), "end_s": min(duration, max(until, start + 1e-6))}]
+
+
+def keep(nearby: list[dict], max_gap: float, switch_margin: float, hold: bool) -> Iterable[int]:
+    """Which of the rows (at, vehicle, rank, ordered) a person is given, frame after frame."""
+    last = since = None
+    for at in sorted({r["at"] for r in nearby}):
+        frame = [(i, r) for i, r in enumerate(nearby) if r["at"] == at]
+        chosen = frame[0]
+        if last is not None and at - since <= max_gap + 1e-9:
+            same = [x for x in frame if x[1]["vehicle"] == last]
+            if same and same[0][1]["rank"] <= chosen[1]["rank"] + switch_margin:
+                chosen = same[0]
+            elif not same and hold:
+                continue
+        last, since = chosen[1]["vehicle"], at
+        yield chosen[0]

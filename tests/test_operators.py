@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stie.config import DEFAULT, RELEASED, Config
 from stie.functions import geometry as G
 from stie.functions import text as X
-from stie.operators import detections, emergence, evaluation, events, exclusive, folds, graph, intervals, learning, suppress, tracks, verify
+from stie.operators import detections, emergence, evaluation, events, exclusive, graph, intervals, learning, suppress, tracks, verify
 from stie.plans import reports
 from tests import plain
 
@@ -25,33 +25,12 @@ def box(i, t, name, x1, y1, x2, y2, conf=0.9, scene=0, kind=None):
     return ("c", i, t, scene, name, kind or ("person" if name[0] == "p" else "car"), float(x1), float(y1), float(x2), float(y2), conf)
 
 
-def windows(spark, rows, duration=5.0, **options):
-    return tracks.propose(spark.createDataFrame(rows, BOX), duration, **options).orderBy("candidate_id").collect()
-
-
-def test_only_the_near_person_is_proposed(spark):
-    got = windows(spark, [box(20, 2.0, "p1", 9, 0, 11, 4), box(20, 2.0, "p2", 100, 0, 110, 4), box(20, 2.0, "v1", 0, 0, 10, 5)], context=1.0)
-    assert [(r.candidate_id, r.person_id, r.start_s) for r in got] == [("c0001", "p1", 1.0)]
-
-
-def test_scenes_are_apart(spark):
-    rows = [box(i, float(s), n, 0, 0, w, w, scene=s) for s, i in ((1, 1), (2, 2)) for n, w in (("p", 2), ("v", 5))]
-    assert len(windows(spark, rows)) == 2
-
-
 def test_the_nearer_center_wins(spark):
     rows = [box(0, 0.0, "p", 95, 45, 115, 85), box(0, 0.0, "v_far", 0, 0, 105, 50, 0.9), box(0, 0.0, "v_near", 10, 35, 100, 100, 0.8)]
     best = tracks.nearest(tracks.ranked(spark.createDataFrame(rows, BOX), 0.3, 0.2), ["clip_id", "frame_index", "person_id"], [F.col("rank"), F.col("vehicle_id")]).collect()
     assert [r.vehicle_id for r in best] == ["v_near"]
 
 
-def test_a_missing_vehicle_is_waited_for():
-    near = [{"ts": 0.0, "vehicle_id": "correct", "rank": 0.0}, {"ts": 1.0, "vehicle_id": "wrong", "rank": 0.0}, {"ts": 2.0, "vehicle_id": "correct", "rank": 0.02}, {"ts": 2.0, "vehicle_id": "wrong", "rank": 0.0}]
-    near.sort(key=lambda r: (r["ts"], r["rank"], r["vehicle_id"]))
-    assert [r["vehicle_id"] for r in folds.keep_assignment(near, 3.0, hold=True)] == ["correct", "correct"]
-    assert [r["vehicle_id"] for r in folds.keep_assignment(near, 3.0)] == ["correct", "wrong", "wrong"]
-
-
 def test_upright_body_prefers_a_vehicle_at_its_depth(spark):
     rows = [box(0, 0.0, "p", 250, 170, 290, 270, 0.8), box(0, 0.0, "lower", 0, 165, 240, 335, kind="car"), box(0, 0.0, "upper", 44, 75, 260, 183, kind="car")]
     for chosen, expected in ((rows, "lower"), ([rows[0], rows[2]], "upper")):
