@@ -294,6 +294,14 @@ def appearance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.appearance_splits(f, ["track"], 0.3, 0.2, 0.9)
 
 
+@query(f"""WITH sp AS ({SPLIT_SQL}) SELECT t.track, vec_id % 25 AS frame_index, t.track::VARCHAR || CASE WHEN vec_id % 25 >= at_frame THEN 'b' ELSE '' END AS id FROM (SELECT vec_id, vec_id // 25 AS track FROM embeddings) t LEFT JOIN sp ON sp.track = t.track""")
+def split_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tracks, cut there: what comes after the change has another id."""
+    e = read(spark, sf_dir, "embeddings").select(F.lit(0).alias("clip_id"), F.floor(F.col("vec_id") / 25).alias("id"), (F.col("vec_id") % 25).alias("frame_index"))
+    cut = E.split_tracks(e, appearance_split(spark, sf_dir).select(F.lit(0).alias("clip_id"), F.col("track").alias("id"), "at_frame"), ["clip_id"])
+    return cut.select(F.col("raw_id").cast("long").alias("track"), "frame_index", "id")
+
+
 @query(f"""WITH {FRAMES}, c AS (SELECT frame, count(*) FILTER (kind = 'person') AS people, count(*) FILTER (kind <> 'person') AS vehicles FROM fo WHERE conf >= CASE WHEN kind = 'person' THEN 0.93 ELSE 0.95 END GROUP BY frame) SELECT * FROM c""")
 def confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes above the threshold of their kind, counted by frame."""

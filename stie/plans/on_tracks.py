@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stie.config import HELD, RELEASED
 from stie.functions import geometry as G
-from stie.operators import candidates, graph
+from stie.operators import candidates, events, graph
 from stie.operators import intervals as I
 from stie.operators import suppress as S
 from stie.operators import tracks as T
@@ -351,16 +351,33 @@ def episode_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(EDGE_SQL + """ SELECT clip_id, root, count(*) AS events, count(DISTINCT person_id) AS people, min(start_s) AS start_s, max(end_s) AS end_s, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'other_interaction' END AS type,
-arg_max(person_id, (round(end_s - start_s, 6), -n)) AS person_id FROM l2 GROUP BY clip_id, root""")
+CASE WHEN count(DISTINCT type) = 1 THEN arg_max(person_id, (round(end_s - start_s, 6), -n)) ELSE coalesce(arg_max(person_id, (round(end_s - start_s, 6), -n)) FILTER (type = 'other_interaction'), arg_max(person_id, (round(end_s - start_s, 6), -n))) END AS person_id FROM l2 GROUP BY clip_id, root""")
 def episode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event an episode: its only type or other_interaction, the person of its longest event, its outer bounds."""
+    """One event an episode: its only type or other_interaction, the person of its longest event of that type (of all, where none has it), its outer bounds."""
     rank = F.struct(F.round(F.col("end_s") - F.col("start_s"), 6), -F.col("n"))
-    kind = F.when(F.countDistinct("type") == 1, F.min("type")).otherwise("other_interaction")
+    one_type = F.countDistinct("type") == 1
+    kind = F.when(one_type, F.min("type")).otherwise("other_interaction")
+    person = F.when(one_type, F.max_by("person_id", rank)).otherwise(F.coalesce(F.max_by("person_id", F.when(F.col("type") == "other_interaction", rank)), F.max_by("person_id", rank)))
     return _episode_roots(tracks(spark, sf_dir)).groupBy("clip_id", "root").agg(
-        F.count("*").alias("events"), F.countDistinct("person_id").alias("people"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), kind.alias("type"), F.max_by("person_id", rank).alias("person_id")
+        F.count("*").alias("events"), F.countDistinct("person_id").alias("people"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), kind.alias("type"), person.alias("person_id")
     )
 
 
+COLLAPSED_SQL = EDGE_SQL + """, vs AS (SELECT clip_id, root, vehicle_id FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, root ORDER BY seconds DESC, vehicle_id) AS nth FROM (SELECT clip_id, root, vehicle_id, round(sum(end_s - start_s), 6) AS seconds FROM l2 GROUP BY ALL)) WHERE nth = 1),
+ep AS (SELECT clip_id, root, count(*) AS m, min(start_s) AS start_s, max(end_s) AS end_s, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'other_interaction' END AS type,
+  CASE WHEN count(DISTINCT type) = 1 THEN arg_max(person_id, (round(end_s - start_s, 6), -n)) ELSE coalesce(arg_max(person_id, (round(end_s - start_s, 6), -n)) FILTER (type = 'other_interaction'), arg_max(person_id, (round(end_s - start_s, 6), -n))) END AS person_id FROM l2 GROUP BY clip_id, root),
+ev2 AS (SELECT ep.*, vehicle_id FROM ep JOIN vs USING (clip_id, root)),
+mg AS (SELECT *, sum(opens) OVER (PARTITION BY clip_id, type, person_id, vehicle_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN start_s < max(end_s) OVER (PARTITION BY clip_id, type, person_id, vehicle_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM ev2))
+SELECT clip_id, type, person_id, vehicle_id, min(start_s) AS start_s, max(end_s) AS end_s, sum(m)::BIGINT AS n_events FROM mg GROUP BY clip_id, type, person_id, vehicle_id, island"""
+
+
+@query(COLLAPSED_SQL)
+def collapsed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events after duplicates of one episode are taken together, told apart by vehicle ids alone."""
+    return events.collapsed(episodes(tracks(spark, sf_dir))).select("clip_id", "type", "person_id", "vehicle_id", "start_s", "end_s", "n_events")
+
+
 @query(EVENTS_SQL + """, f3 AS (SELECT clip_id, id AS person_id, min(ts) AS seen FROM tracks WHERE kind = 'person' AND conf >= 0.95 GROUP BY ALL)
 SELECT ev.clip_id, person_id, vehicle_id, greatest(start_s, seen) AS start_s, end_s, type FROM ev JOIN f3 USING (clip_id, person_id) WHERE greatest(start_s, seen) < end_s""")
 def visibility_clip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,31 @@ def test_collapsed_episodes(spark):
     assert events.collapsed(two).count() == 2
 
 
+def test_an_episode_is_told_by_its_winning_type(spark):
+    schema = EVENTS + ", evidence array<int>, truncated_start boolean, truncated_end boolean, person_description string, vehicle_description string"
+    rows = [
+        ("c", "enter", "p", "v", 0.0, 5.0, [3, 1], False, None, "long", "red"), ("c", "other_interaction", "q", "v", 0.5, 4.9, [2], True, False, "right", "blue"), ("c", "other_interaction", "r", "v", 0.4, 4.0, [2], False, False, "short", None),
+        ("c", "exit", "p", "w", 0.0, 2.0, [9], False, False, "a", "x"), ("c", "enter", "q", "w", 0.1, 2.0, [8], False, True, "b", "y"),
+        ("d", "exit", "p", "v", 0.0, 4.0, [1], False, False, "one", "car"), ("d", "exit", "p", "v", 3.9, 9.0, [2], False, True, "two", "van"),
+    ]
+    got = {(r.clip_id, r.vehicle_id): r for r in events.collapsed(spark.createDataFrame(rows, schema)).collect()}
+    a, b, d = got["c", "v"], got["c", "w"], got["d", "v"]
+    assert (a.type, a.person_id, a.person_description, a.vehicle_description, a.start_s, a.end_s, a.n_events, a.evidence, a.truncated_start, a.truncated_end) == ("other_interaction", "q", "right", "red", 0.0, 5.0, 3, [1, 2, 3], True, False)
+    assert (b.type, b.person_id, b.person_description, b.truncated_end) == ("other_interaction", "p", "a", True)
+    # too little in common for one episode, but of one pair and overlapping: merged in the end
+    assert (d.type, d.start_s, d.end_s, d.n_events, d.person_description, d.vehicle_description, d.truncated_end) == ("exit", 0.0, 9.0, 2, "one", "car", True)
+    kept = events.merged(spark.createDataFrame(rows[-2:], schema)).first()
+    assert (kept.event_id, kept.person_description, kept.evidence, kept.truncated_end) == ("e001", "one", [1, 2], True)
+
+
+def test_tracks_are_cut_where_they_turn_into_others(spark):
+    boxes = spark.createDataFrame([("c", f, i) for f in range(6) for i in (7, 8)] + [("d", 9, 7)], "clip_id string, frame_index int, id int")
+    turns = spark.createDataFrame([("c", 7, 2), ("c", 7, 4), ("c", 99, 0)], "clip_id string, id int, at_frame int")
+    got = events.split_tracks(boxes, turns, ["clip_id"])
+    assert {(r.clip_id, r.frame_index, r.raw_id): r.id for r in got.collect()} == {("c", f, i): i if i == "8" or f < 2 else "7b" if f < 4 else "7c" for f in range(6) for i in ("7", "8")} | {("d", 9, "7"): "7"}
+    assert events.split_tracks(got, turns.withColumn("id", F.lit("7c")).limit(1), ["clip_id"]).where("id <> raw_id").select("raw_id").distinct().count() == 1
+
+
 def test_episodes_need_people_together(spark):
     rows = [(n, p) for n in ("p", "q") for p in (0, 1)]
     near = [box(i, float(i), n, 10 * (n == "q"), 0, 20 + 10 * (n == "q"), 50, kind="person") for n, i in rows] + [box(i, float(i), "v", 0, 0, 90, 60) for i in (0, 1)]

@@ -138,9 +138,14 @@ def test_configurations_differ_where_they_do(spark):
 def test_the_whole_method(spark, scene):
     """From boxes to a final exit; without a model, everything is uncertain and there are no events."""
     config = Config(sample_frames=20, context_s=0.5)
-    found = workflow.run(scene, 2.0, config, constant(answer("enter", 0, 13, [3])))  # the candidate reaches to 1.4 s
+    found = workflow.run(scene, 2.0, config, constant(answer("enter", 0, 13, [3]).replace('"person_description": ""', '"person_description": "a tall person"').replace('"vehicle_description": ""', '"vehicle_description": "a red car"')))  # the candidate reaches to 1.4 s
     assert found["candidates"].count() == 1
     assert [(r.decision, r.n_events) for r in found["reviews"].collect()] == [("interaction", 1)]
     assert [(r.event_id, r.type, r.person_id, r.vehicle_id, list(r.evidence)) for r in found["events"].collect()] == [("e001", "exit", "p1", "v1", [3])]
+    (r,) = found["events"].collect()
+    assert (r.truncated_start, r.truncated_end) == (True, False) and (r.person_description, r.vehicle_description) == ("a tall person", "a red car")
+    (d,) = found["descriptions"].collect()
+    assert [(e.event_id, e.final_type, e.person_ids, e.candidate_ids) for e in d.descriptions] == [("e001", "exit", ["p1"], ["c0001"])]
+    assert r.person_description in d.descriptions[0].description
     alone = workflow.run(scene, 2.0, config)
     assert [r.decision for r in alone["reviews"].collect()] == ["uncertain"] and alone["events"].count() == 0
