@@ -135,6 +135,49 @@ def test_configurations_differ_where_they_do(spark):
     assert page.startswith("<!doctype html>") and "expand" not in reports.history(values.where("false"))
 
 
+def test_a_killed_run_asks_nobody_twice(spark, tmp_path):
+    schema = "clip_id string, candidate_id string, scene int, person_id string, vehicle_id string, start_s double, end_s double, frames array<bigint>, prompt string"
+    asked = spark.createDataFrame([("c", f"c{i}", 0, f"p{i}", "v", 0.0, 1.0, [1, 2], "what?") for i in range(40)], schema)
+    log = tmp_path / "asked"
+
+    def model(batch):
+        with log.open("a") as out:
+            out.write("".join(f"{p}\n" for p in batch["person_id"]))
+        if (batch["person_id"] == "p7").any():
+            raise OSError("p7 can't be read")
+        return "answer to " + batch["person_id"]
+
+    def dying(batch):
+        if list((tmp_path / "cut").glob("*.parquet")):
+            raise SystemExit("killed after the first wave")
+        return model(batch)
+
+    first = verification.answered(asked.limit(25), DEFAULT, model, kept=f"{tmp_path}/kept", rows_a_wave=10)
+    got = {r.person_id: (r.answer, r.error) for r in first.collect()}
+    assert len(got) == 25 and got["p7"] == (None, "OSError: p7 can't be read") and got["p8"] == ("answer to p8", None)
+    log.write_text("")
+    whole = {r.person_id: (r.answer, r.error) for r in verification.answered(asked, DEFAULT, model, kept=f"{tmp_path}/kept", rows_a_wave=10).collect()}
+    again = log.read_text().split()
+    assert len(whole) == 40 and set(again) == {"p7", *(f"p{i}" for i in range(25, 40))} and whole["p3"] == ("answer to p3", None)
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 39
+
+    with pytest.raises(Exception, match="killed|exit|crash|abort"):
+        verification.answered(asked, DEFAULT, dying, kept=f"{tmp_path}/cut", rows_a_wave=10)
+    stays = {r.answer for r in spark.read.parquet(f"{tmp_path}/cut").collect()}
+    assert 0 < len(stays) < 40
+    log.write_text("")
+    verification.answered(asked, DEFAULT, model, kept=f"{tmp_path}/cut", rows_a_wave=10)
+    assert {f"answer to {p}" for p in log.read_text().split()}.isdisjoint(stays)
+
+
+def test_prompts_tell_what_is_known(spark, scene):
+    one = spark.createDataFrame([("c", "c0001", 0, "p1", "v1", 0.2, 1.0, [2, 3])], "clip_id string, candidate_id string, scene int, person_id string, vehicle_id string, start_s double, end_s double, frames array<bigint>")
+    plain = verification.prompted(one, scene, DEFAULT).first().prompt
+    assert "p1" in plain and "v1" in plain and "[2, 3]" in plain and "\n" not in plain
+    full = verification.prompted(one, scene, Config(exit_motion_cue=True, disappearance_cue=True, boundary_context=True)).first().prompt
+    assert "context only" in full and full.startswith(plain)
+
+
 def test_the_whole_method(spark, scene):
     """From boxes to a final exit; without a model, everything is uncertain and there are no events."""
     config = Config(sample_frames=20, context_s=0.5)
