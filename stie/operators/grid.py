@@ -56,4 +56,5 @@ def meeting(objects: DataFrame, frame: list[str], left: Column, right: Column, r
     )
     a, b = _in_cells(laid.where(left), left_reach * F.lit(1 + 1e-9) + SLACK, names[0], frame), _in_cells(laid.where(right), far, names[1], frame)
     here = F.col("_at") == F.greatest(f"{names[0]}_x", f"{names[1]}_x") * SIDE + F.greatest(f"{names[0]}_y", f"{names[1]}_y")
-    return a.join(b, [*frame, "_at"]).where(here & near).drop("_at", *[n + h for n in names for h in HELPERS])
+    # the left side of a task is what its cells hold, so it can stand in memory; sorting both sides would cost more than the pairs
+    return a.hint("shuffle_hash").join(b, [*frame, "_at"]).where(here & near).drop("_at", *[n + h for n in names for h in HELPERS])
