@@ -173,6 +173,12 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.confusion(s, _matched(s), LABELS)
 
 
+@query()
+def metric_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, rates and boundary errors at four thresholds, with and without types, in all, by clip and by type: one matching for all cases."""
+    return E.metric_grid(spans(spark, sf_dir), GROUP, (0.3, 0.5, 0.7, 0.9))
+
+
 @query()
 def boundary_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.boundary_errors(_matched(spans(spark, sf_dir)))

@@ -205,6 +205,31 @@ def test_collapsed_episodes(spark):
     assert events.collapsed(two).count() == 2
 
 
+def test_the_metric_grid_is_what_single_matchings_give(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        start = rng.randrange(60)
+        rows.append((rng.choice(["a", "b", "only predicted"]) if i % 2 == 0 else rng.choice(["a", "b", "only referred"]), i, rng.choice(["enter", "exit", "load"]), i % 2, float(start), float(start + rng.randrange(1, 12))))
+    df = graph.reliable(spark.createDataFrame(rows, "clip_id string, event_id long, type string, side int, start_s double, end_s double"))
+    got = {(r.threshold, r.typed, r.clip_id, r.type): r for r in evaluation.metric_grid(df, ["clip_id"], (0.3, 0.6)).collect()}
+    for threshold in (0.3, 0.6):
+        for typed in (False, True):
+            matched = graph.reliable(evaluation.match(evaluation.match_candidates(df, ["clip_id"], threshold, typed), ["clip_id"]))
+            per = {r.clip_id: (r.tp, r.fp, r.fn) for r in evaluation.counts(df, matched, ["clip_id"]).collect()}
+            assert set(per) == {k[2] for k in got if k[:2] == (threshold, typed) and k[2]} == {"a", "b", "only referred"}
+            for clip, counts in per.items():
+                r = got[threshold, typed, clip, None]
+                assert (r.tp, r.fp, r.fn) == counts and r.start_median is None
+            whole, errors = got[threshold, typed, None, None], evaluation.boundary_errors(matched).first()
+            assert (whole.tp, whole.fp, whole.fn) == tuple(map(sum, zip(*per.values(), strict=True)))
+            assert whole.tp == errors.n
+            types = {k[3]: r for k, r in got.items() if k[:2] == (threshold, typed) and k[3]}
+            assert bool(types) == typed and (not typed or sum(r.tp for r in types.values()) == whole.tp)
+    one = {k for k in got if k[2] is None and k[3] is None}
+    assert len(one) == 4
+
+
 def test_an_episode_is_told_by_its_winning_type(spark):
     schema = EVENTS + ", evidence array<int>, truncated_start boolean, truncated_end boolean, person_description string, vehicle_description string"
     rows = [
