@@ -14,6 +14,7 @@ from stie.operators import suppress as S
 from stie.operators import tracks as T
 from stie.operators.grid import meeting
 from stie.sources.views import DURATION, FRAMES, TRACKS, frames_objects, tracks
+from stie.streaming import tracking
 
 QUERIES, ORACLES = {}, {}
 
@@ -143,6 +144,13 @@ def released_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.propose(tracks(spark, sf_dir), DURATION, RELEASED)
 
 
+@query()
+def linked_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of all frames without their ids, linked to tracks anew: by place, velocity and kind alone."""
+    seen = tracks(spark, sf_dir).select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame_index").cast("long").alias("frame_index"), F.timestamp_millis((F.col("ts") * 1000).cast("long")).alias("at"), F.col("scene").cast("long").alias("scene"), "kind", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("conf").cast("double").alias("conf"))
+    return tracking.linked(seen)
+
+
 @query(f"WITH {TRACKS} SELECT clip_id, id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM tracks WHERE kind = 'person' GROUP BY clip_id, id HAVING count(*) >= 75 AND max(ts) - min(ts) >= 36")
 def valid_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.valid_tracks(tracks(spark, sf_dir).where("kind = 'person'"), ["clip_id", "id"], 75, 36.0)

@@ -43,7 +43,7 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 #: Beyond SQL, with the tests that hold them against known or brute-force results.
 OTHERS = {
     "matched_events": "test_whole_job", "event_kpis": "test_whole_job", "kpi_by_type": "test_whole_job", "confusion": "test_whole_job", "boundary_errors": "test_whole_job", "metric_grid": "test_operators",
-    "assembled_events": "test_operators", "candidate_head": "test_operators", "verification_run": "test_runs",
+    "assembled_events": "test_operators", "linked_tracks": "test_tracking", "candidate_head": "test_operators", "verification_run": "test_runs",
 }
 
 
