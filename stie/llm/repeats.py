@@ -475,12 +475,13 @@ def _digest(key: tuple, chunk: pa.Table, answers: pa.Table, *, unit: str, window
 def remove_repeats(documents: DataFrame, unit: str, seed: int, window: int, first_of: Callable[..., np.ndarray], texts: bool = False, hot: int = HOT, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words or n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every document."""
     chunks = pieces(documents, size=chunk_bytes)
+    buckets = 2 * chunks  # what a bucket gathers is held several times over while it is settled
     spec = {"unit": unit, "seed": seed, "window": window}
     dealt = documents.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(chunks)).alias("chunk"))
     by_chunk = dealt.groupBy("chunk")
-    seeds = by_chunk.applyInArrow(_plain(_seeds, **spec, buckets=chunks), "bucket long, chunk long, payload binary")
+    seeds = by_chunk.applyInArrow(_plain(_seeds, **spec, buckets=buckets), "bucket long, chunk long, payload binary")
     shared = seeds.groupBy("bucket").applyInArrow(_plain(_shared, hot=hot), "chunk long, bucket long, flags binary")
-    asked = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_keyed(_contexts, **spec, buckets=chunks), MESSAGE)
+    asked = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_keyed(_contexts, **spec, buckets=buckets), MESSAGE)
     answers = asked.groupBy("bucket").applyInArrow(_plain(_settle, first_of=first_of, seed=seed, window=window), ANSWER)
     schema = f"doc_id long, {'n_bytes' if unit == 'byte' else 'n_words'} long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_keyed(_digest, unit=unit, window=window, texts=texts), schema)
