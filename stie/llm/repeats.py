@@ -396,11 +396,13 @@ def _settle(messages: pa.Table, *, first_of: Callable[..., np.ndarray], seed: in
         size = pa.py_buffer(np.append(0, np.cumsum(entry["size"])))
         texts = pa.Array.from_buffers(pa.large_binary(), len(entry["size"]), [None, size, pa.py_buffer(np.concatenate(contents))])
         contents.clear()
+        parts.clear()
         content = texts.dictionary_encode().indices.to_numpy()  # equal numbers for equal bytes
         order = np.lexsort((entry["doc"], content, entry["anchor"]))
         first, many = K.runs(entry["anchor"][order], content[order])
         leader = order[first]  # the first document of every distinct context
         chosen = texts.take(pa.array(leader))
+        del texts, content  # only the distinct contexts are needed from here on
         offsets = np.frombuffer(chosen.buffers()[1], np.int64)[: len(leader) + 1]
         found = first_of(np.frombuffer(chosen.buffers()[2], np.uint8)[: offsets[-1]], offsets, entry["anchor"][leader], entry["doc"][leader], entry["count"][leader], seed=seed, window=window)
         at = np.append(0, np.cumsum(entry["count"][leader]))[:-1]
