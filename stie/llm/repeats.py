@@ -50,7 +50,7 @@ U64 = np.uint64
 HOT = 2048
 FEW = 16  # seats that are extended each with each
 LONGEST_RUN = 128
-BATCH_BITS = 20  # symbols that are sorted together: many texts share each step, and few MB are at work
+BATCH_BITS = 21  # symbols that are sorted together: many texts share each step, and few MB are at work
 FIELDS = (("doc", np.int64), ("row", np.uint32), ("start", np.uint32), ("count", np.uint32))
 ANCHOR_BYTES = 5  # of an anchor that travel; two anchors of a bucket that agree in these are compared as one
 
