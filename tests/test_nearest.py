@@ -1,0 +1,62 @@
+"""The best vehicles without all near pairs: against all pairs, on crowded frames, and how many rows are made."""
+
+import random
+
+import pytest
+
+from stie.config import Config
+from stie.operators import candidates, nearest
+from stie.operators import tracks as T
+from stie.operators.nearest import Rule
+
+COLUMNS = "clip_id int, frame_index int, ts double, scene int, id long, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
+
+
+def crowd(spark, boxes=400, frames=6, seed=1, width=300, still=False, missing=0.3):
+    """Frames of many boxes, with exact copies; ids of a kind go on from frame to frame."""
+    draw, rows = random.Random(seed), []
+    start = {i: (draw.randrange(width), draw.randrange(200)) for i in range(boxes)}
+    for f in range(frames):
+        for i in range(boxes):
+            if draw.random() < missing:
+                continue
+            j = i - 2 if i % 10 == 9 else i  # a copy of another one
+            x, y = start[j]
+            x, y = (x, y) if still else (x + draw.randrange(-3, 4), y + draw.randrange(-3, 4))
+            w, h = (10 + j % 3, 25) if i % 3 == 0 else (40 + j % 7, 30)
+            rows.append((1, f, round(f * 0.1 + (2.0 if f > frames // 2 else 0), 1), 0, i, "person" if i % 3 == 0 else "car", float(x), float(y), float(x + w), float(y + h), round(0.5 + j % 5 / 10, 2)))
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def rows_of(df):
+    names = ["clip_id", "frame_index", "person_id", "vehicle_id", "rank"]
+    return sorted(tuple(r) for r in df.select(*[n for n in names if n in df.columns]).collect())
+
+
+@pytest.mark.parametrize(("tile", "body", "hold", "still"), [(50_000, False, False, True), (60, True, True, True), (60, False, False, False)])
+def test_held_vehicles_are_those_of_all_pairs(spark, monkeypatch, tile, body, hold, still):
+    monkeypatch.setattr(nearest, "TILE", tile)
+    monkeypatch.setattr(nearest, "FEW", 50)
+    weights, boxes = (0.0, 0.0) if body else (0.2, 0.02), crowd(spark, 150, 8, seed=3, still=still)
+    expected = rows_of(T.assigned(T.ranked(boxes, 0.2, *weights, body=body), 1.0, 0.05, hold))
+    assert expected and rows_of(T.assigned_best(boxes, Rule(0.2, *weights, body), 1.0, 0.05, hold)) == expected
+
+
+def test_rows_grow_with_the_boxes_not_with_their_square(spark):
+    made = []
+    for n in (200, 800):
+        boxes = T.narrow(crowd(spark, n, 4))
+        best = T.best_ranked(boxes, Rule())
+        made.append((boxes.where("kind = 'person'").count(), T.chased(boxes, best, Rule()).count(), T.ranked(boxes).count()))
+    (people, rows, pairs), (more_people, more_rows, more_pairs) = made
+    assert more_pairs / pairs > 3 * more_people / people
+    assert more_rows / rows < 1.5 * more_people / people
+
+
+def test_candidates_make_no_near_pairs(spark, monkeypatch):
+    boxes, config = crowd(spark, 120, 8), Config(hysteresis=True, person_track_min_detections=3)
+    near = candidates.near_pairs(boxes, config)
+    near = near.join(candidates.valid_people(boxes, near, config).withColumnRenamed("person_id", "p_id"), ["clip_id", "p_id"], "left_semi")
+    expected = rows_of(candidates.encounters(near, config))
+    monkeypatch.setattr(T, "meeting", None)
+    assert rows_of(candidates.exclusive_encounters(boxes, config).select("clip_id", "frame_index", "person_id", "vehicle_id")) == [r[:4] for r in expected]
