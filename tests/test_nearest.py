@@ -8,6 +8,7 @@ from stie.config import Config
 from stie.operators import candidates, nearest
 from stie.operators import tracks as T
 from stie.operators.nearest import Rule
+from stie.plans import on_events, on_tracks
 
 COLUMNS = "clip_id int, frame_index int, ts double, scene int, id long, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -60,3 +61,24 @@ def test_candidates_make_no_near_pairs(spark, monkeypatch):
     expected = rows_of(candidates.encounters(near, config))
     monkeypatch.setattr(T, "meeting", None)
     assert rows_of(candidates.exclusive_encounters(boxes, config).select("clip_id", "frame_index", "person_id", "vehicle_id")) == [r[:4] for r in expected]
+
+
+def test_whether_a_person_has_several_vehicles_is_known_before_the_pairs(spark):
+    boxes = crowd(spark, 120, 3)
+    found = T.ranked(boxes, body=True)
+    assert rows_of(found) == rows_of(T.ranks(T.near_pairs(boxes, T.FRAME, 0.2), body=True))
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert not any("p_id" in line or "person_id" in line for line in windows)
+
+
+def test_crops_meet_boxes_by_ids(spark, sf, monkeypatch):
+    expected = on_events.crop_boxes(spark, sf).count()
+    monkeypatch.setattr(T, "pairs", None)
+    assert on_events.crop_boxes(spark, sf).count() == expected > 0
+
+
+def test_stitching_and_short_tracks_make_no_pairs_of_frames(spark, sf, monkeypatch):
+    monkeypatch.setattr(T, "pairs", None)
+    monkeypatch.setattr(T, "meeting", None)
+    assert on_tracks.tracklet_stitch_candidates(spark, sf).columns
+    assert on_tracks.short_track_exception(spark, sf).columns
