@@ -95,8 +95,9 @@ OBSERVED_SQL = MERGED_SQL + f""", ob AS (SELECT me.clip_id, me.event_id, me.type
 
 def _observed(t: DataFrame) -> DataFrame:
     p, v = G.Box.of("p_"), G.Box.of("v_")
-    both = tracks.pairs(t, tracks.FRAME).select("clip_id", F.col("p_id").alias("person_id"), F.col("v_id").alias("vehicle_id"), F.col("p_ts").alias("ts"), G.contains(v, *p.center).alias("inside"), F.round(G.normalized_gap(p, v), 9).alias("gap"))
-    return _numbered(t).join(both, ["clip_id", "person_id", "vehicle_id"]).where((F.col("ts") >= F.col("start_s") - 1) & (F.col("ts") < F.col("end_s") + 1))
+    events = _numbered(t)
+    both = tracks.together(events, t, (F.col("p_ts") >= F.col("start_s") - 1) & (F.col("p_ts") < F.col("end_s") + 1))
+    return both.select(*events.columns, F.col("p_ts").alias("ts"), G.contains(v, *p.center).alias("inside"), F.round(G.normalized_gap(p, v), 9).alias("gap"))
 
 
 @query(OBSERVED_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY clip_id, event_id ORDER BY ts) AS a, row_number() OVER (PARTITION BY clip_id, event_id ORDER BY ts DESC) AS z FROM ob),
@@ -117,8 +118,7 @@ def exit_motion_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT clip_id, event_id, round(greatest(0, x1 - (x2 - x1) * 0.1), 6) AS x1, round(greatest(0, y1 - (y2 - y1) * 0.1), 6) AS y1, round(least(720, x2 + (x2 - x1) * 0.1), 6) AS x2, round(least(540, y2 + (y2 - y1) * 0.1), 6) AS y2 FROM c""")
 def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = track_view(spark, sf_dir)
-    both = tracks.pairs(t, tracks.FRAME).withColumnsRenamed({"p_id": "person_id", "v_id": "vehicle_id"})
-    seen = _numbered(t).join(both, ["clip_id", "person_id", "vehicle_id"]).where((F.col("p_ts") >= F.col("start_s")) & (F.col("p_ts") < F.col("end_s")))
+    seen = tracks.together(_numbered(t), t, (F.col("p_ts") >= F.col("start_s")) & (F.col("p_ts") < F.col("end_s")))
     found = verify.crop_boxes(seen, ["clip_id", "event_id"], 0.1, 720.0, 540.0)
     return found.select("clip_id", "event_id", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
