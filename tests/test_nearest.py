@@ -5,7 +5,7 @@ import random
 import pytest
 
 from stie.config import Config
-from stie.operators import candidates, nearest
+from stie.operators import candidates, expansion, nearest
 from stie.operators import tracks as T
 from stie.operators.nearest import Rule
 from stie.plans import on_events, on_tracks
@@ -86,3 +86,10 @@ def test_stitching_and_short_tracks_make_no_pairs_of_frames(spark, sf, monkeypat
     monkeypatch.setattr(T, "meeting", None)
     assert on_tracks.tracklet_stitch_candidates(spark, sf).columns
     assert on_tracks.short_track_exception(spark, sf).columns
+
+
+def test_chains_are_made_of_the_events_pairs_only(spark):
+    boxes = crowd(spark, 60, 5, still=True, missing=0.0)
+    near = T.ranked(boxes).select("clip_id", "person_id", "vehicle_id").distinct().orderBy("person_id", "vehicle_id").limit(1)
+    found = expansion._chains(near, boxes, 0.25, 0.5, 2.0)
+    assert found.count() == 5 and [tuple(r) for r in found.select("person_id", "vehicle_id").distinct().collect()] == [tuple(r)[1:] for r in near.collect()]
