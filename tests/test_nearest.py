@@ -93,3 +93,28 @@ def test_chains_are_made_of_the_events_pairs_only(spark):
     near = T.ranked(boxes).select("clip_id", "person_id", "vehicle_id").distinct().orderBy("person_id", "vehicle_id").limit(1)
     found = expansion._chains(near, boxes, 0.25, 0.5, 2.0)
     assert found.count() == 5 and [tuple(r) for r in found.select("person_id", "vehicle_id").distinct().collect()] == [tuple(r)[1:] for r in near.collect()]
+
+
+def test_vehicles_are_chased_alike_whether_lookups_are_sent_or_dealt(spark, monkeypatch):
+    boxes = crowd(spark, 150, 24, seed=5, missing=0.1)
+    boxes = boxes.unionByName(boxes.where("id % 30 = 0 AND frame_index % 5 = 0").withColumn("x1", boxes.x1 - 3))  # a person twice in a frame
+    expected = rows_of(T.assigned(T.ranked(boxes)))
+    for few in (0, 400_000):
+        monkeypatch.setattr(T, "FEW_LOOKUPS", few)
+        assert rows_of(T.assigned_best(boxes)) == expected
+
+
+def test_boxes_move_once_for_the_first_lookup_and_not_for_later_ones(spark, monkeypatch):
+    """Each round had dealt all boxes and all frames anew."""
+    boxes = T.narrow(crowd(spark, 150, 40, seed=5, missing=0.05))
+    best = T.best_ranked(boxes, Rule())
+    made = []
+    reliable, limit = T.reliable, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(T, "reliable", lambda df: made.append(df) or reliable(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        T.chased(boxes, best, Rule()).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    later = [df._jdf.queryExecution().executedPlan().toString() for df in made[2:]]
+    assert later and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in later)
