@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stie.functions import geometry as G
@@ -211,10 +212,15 @@ AND p.start_s < r.end_s AND r.start_s < p.end_s GROUP BY p.event_id) SELECT p.cl
 def review_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with the reviews of the same vehicle that overlap it, in order."""
     s = spans(spark, sf_dir)
-    events = s.where("side = 0")
-    pairs = I.overlapping_pairs(events, s.where("side = 1 AND type = 'enter'"), ["clip_id", "vehicle_id"])
-    ids = pairs.groupBy("event_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r_event_id")), lambda x: x.cast("string")), ",").alias("reviews"))
-    return events.select("clip_id", "event_id").join(ids, "event_id", "left").fillna("", ["reviews"])
+    events, reviews = s.where("side = 0"), s.where("side = 1 AND type = 'enter'")
+    text = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    numbered = events.withColumn("n", F.count("*").over(W.partitionBy("event_id")))
+    once = I.with_overlapping(numbered.where("n = 1 AND event_id IS NOT NULL"), reviews, ["clip_id", "vehicle_id"], "ids").select("clip_id", "event_id", text("ids").alias("reviews"))
+    # events of one id share their reviews
+    again = numbered.where("n > 1 OR event_id IS NULL")
+    pairs = I.overlapping_pairs(again, reviews, ["clip_id", "vehicle_id"])
+    shared = again.select("clip_id", "event_id").join(pairs.groupBy("event_id").agg(text(F.sort_array(F.collect_list("r_event_id"))).alias("reviews")), "event_id", "left")
+    return once.unionByName(shared.fillna("", ["reviews"]))
 
 
 @query(f"""WITH {SPANS}, n AS (SELECT * FROM spans WHERE type = 'exit' AND side = 1) SELECT clip_id, event_id, 'kept' AS origin FROM spans WHERE side = 0
