@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stie.config import DEFAULT, HELD, RELEASED, Config
 from stie.operators import candidates, events, folds, tracks, workflow
+from stie.plans import catalogue
 from tests import plain
 
 BOX = "clip_id string, frame_index int, ts double, scene int, id string, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
@@ -149,3 +150,10 @@ def test_every_parameter_is_read():
     assert [f.name for f in fields(Config) if f"config.{f.name}" not in text] == []
     with pytest.raises(ValueError, match="no verifier"):
         workflow.run(None, 1.0, replace(DEFAULT, verifier="unheard of"))
+
+
+def test_a_filter_looks_for_vehicles_once(spark, sf, monkeypatch):
+    made, found = [], tracks.best_ranked
+    monkeypatch.setattr(tracks, "best_ranked", lambda *a: made.append(1) or found(*a))
+    kept = {(r.clip_id, r.event_id) for r in catalogue.QUERIES["classifier_filter"](spark, sf).collect()}
+    assert kept and len(made) == 1
