@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stie.functions.geometry import overlap
+from stie.operators.graph import reliable
+from stie.operators.intervals import _buckets
+from stie.operators.scan import Running, scanned
 from stie.operators.verify import evenly
 
 
@@ -73,16 +76,33 @@ def spread_sample(rows: DataFrame, by: str, order: list[str], n: int) -> DataFra
     return ranked.where(evenly(F.col("_i"), F.col("_m"), n)).drop("_i", "_m")
 
 
-def labelled(candidates: DataFrame, references: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """candidates with `label`: 1 if it shares at least that part of any reference's duration. Both: keys, start_s, end_s; candidates: candidate_id."""
-    r = references.select(*keys, F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
-    shared = overlap(F.col("start_s"), F.col("end_s"), F.col("_start"), F.col("_end"))
-    hit = candidates.join(r, keys).where(shared >= least * (F.col("_end") - F.col("_start"))).select(*keys, "candidate_id").distinct().withColumn("_hit", F.lit(1))
-    return candidates.join(hit, [*keys, "candidate_id"], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
+def labelled(candidates: DataFrame, references: DataFrame, keys: list[str], least: float = 0.5, bucket: float = 600.0) -> DataFrame:
+    """candidates with `label`: 1 if it shares at least that part of any reference's duration. Both: keys, start_s, end_s; candidates: candidate_id.
 
-
-def without_uncertain(candidates: DataFrame, uncertain: DataFrame, keys: list[str]) -> DataFrame:
-    """The candidates that share no time with an uncertain span."""
-    u = uncertain.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return candidates.join(u, [*same, overlap(F.col("start_s"), F.col("end_s"), F.col("_start"), F.col("_end")) > 0], "left_anti")
+    They meet by time bucket, and a candidate looks no further than its first hit; what is dealt are spans, not pairs. A reference of no length is shared by all of its key.
+    """
+    span = F.struct(F.col("start_s").alias("a"), F.col("end_s").alias("b"))
+    long = references.where((F.col("end_s") > F.col("start_s")) & F.lit(least > 0))
+    around = long.withColumn("_bucket", F.explode(_buckets(F.col("start_s"), F.col("end_s"), bucket))).groupBy(*keys, "_bucket").agg(F.collect_list(span).alias("_near"))
+    candidates, one = reliable(candidates), [*keys, "candidate_id"]
+    shared = lambda r: overlap(F.col("start_s"), F.col("end_s"), r["a"], r["b"])
+    met = candidates.withColumn("_bucket", F.explode(_buckets(F.col("start_s"), F.col("end_s"), bucket))).join(around, [*keys, "_bucket"])
+    hit = met.where(F.exists("_near", lambda r: shared(r) >= least * (r["b"] - r["a"]))).select(*one).distinct().withColumn("_hit", F.lit(1))
+    short = references.where((F.col("end_s") <= F.col("start_s")) | F.lit(least <= 0)).select(*keys).distinct().withColumn("_all", F.lit(1))
+    found = candidates.join(hit, one, "left").join(short, keys, "left")
+    return found.withColumn("label", F.coalesce("_hit", "_all", F.lit(0))).select(*candidates.columns, "label")
+
+
+def without_uncertain(candidates: DataFrame, uncertain: DataFrame, keys: list[str], bucket: float = 3600.0) -> DataFrame:
+    """The candidates that share no time with an uncertain span.
+
+    Of the uncertain spans that begin before a candidate's end, the latest end tells: a running maximum over both, no pairs.
+    """
+    row = lambda df, at, end, whole: df.select(*keys, F.col(at).alias("_t"), end.cast("double").alias("_end"), whole.alias("_c"))
+    whole = F.struct(*candidates.columns)
+    none = F.lit(None).cast(candidates.select(whole.alias("x")).schema["x"].dataType)
+    # at the same time, candidates come first: a span that begins where they end shares nothing
+    both = row(candidates, "end_s", F.lit(None), whole).unionByName(row(uncertain.dropna(subset=keys).where("start_s < end_s"), "start_s", F.col("end_s"), none))
+    begun = scanned(both, keys, F.col("_t"), bucket, _reach=Running("max", F.col("_end"), ("_t", F.col("_c").isNull())))
+    clear = F.coalesce(F.col("_reach") <= F.col("_c.start_s"), F.lit(True)) | F.coalesce(F.col("_c.start_s") >= F.col("_c.end_s"), F.lit(True))
+    return begun.where(F.col("_c").isNotNull() & clear).select("_c.*")

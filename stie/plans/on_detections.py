@@ -195,5 +195,5 @@ def labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows: candidates that touch nothing uncertain, 1 if they cover half of a reference."""
     s, keys = spans(spark, sf_dir), ["clip_id"]
     unsure = F.col("type") == "other_interaction"
-    sure = learning.without_uncertain(s.where("side = 0").withColumnRenamed("event_id", "candidate_id"), s.where((F.col("side") == 1) & unsure), keys)
+    sure = learning.without_uncertain(s.where("side = 0").select("clip_id", F.col("event_id").alias("candidate_id"), "start_s", "end_s"), s.where((F.col("side") == 1) & unsure), keys)
     return learning.labelled(sure, s.where((F.col("side") == 1) & ~unsure), keys).select("clip_id", "candidate_id", "label")

@@ -542,6 +542,23 @@ def test_training_labels(spark):
     assert {r.candidate_id for r in learning.without_uncertain(candidates, unsure, ["clip_id"]).collect()} == {"half", "less", "other", "none"}
 
 
+def test_labels_make_no_pairs_of_a_clip(spark):
+    """Against every pair, also of spans of no length and reversed ones, and with no join on the clip alone."""
+    draw = random.Random(3)
+    spans = lambda n: [("a" if i % 9 else "b" if i % 2 else None, i, s := float(draw.randrange(5000)), s + draw.choice([-5.0, 0.0, 10.0, 300.0, 900.0, 4000.0])) for i in range(n)]
+    schema = "clip_id string, candidate_id long, start_s double, end_s double"
+    some, others = spans(150), spans(12)
+    df, r = spark.createDataFrame(some, schema), spark.createDataFrame(others, schema)
+    shared = lambda c, o: max(min(c[3], o[3]) - max(c[2], o[2]), 0.0) if c[0] and c[0] == o[0] else -1.0
+    kept = learning.without_uncertain(df, r, ["clip_id"])
+    assert {x.candidate_id for x in kept.collect()} == {c[1] for c in some if all(shared(c, o) <= 0 for o in others)}
+    for refs in (others, [o for o in others if o[2] < o[3]]):
+        got = learning.labelled(df, spark.createDataFrame(refs, schema), ["clip_id"])
+        assert {x.candidate_id: x.label for x in got.collect()} == {c[1]: int(any(c[0] == o[0] and c[0] and shared(c, o) >= 0.5 * (o[3] - o[2]) for o in refs)) for c in some}
+        plans = got._jdf.queryExecution().optimizedPlan().toString() + kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "_bucket" in plans and "LeftAnti" not in plans
+
+
 def test_an_appearance_change_needs_a_vehicle(spark):
     tracks_ = [("p", i, 10.0, [0.9, 0.1] if i < 4 else [0.1, 0.9], near) for i in range(8) for near in [False]] + [("q", i, 10.0, [9.0, 1.0] if i < 4 else [1.0, 9.0], i == 4) for i in range(8)]
     rows = spark.createDataFrame(tracks_, "id string, frame_index int, area double, f array<double>, near boolean")
