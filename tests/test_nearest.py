@@ -8,7 +8,7 @@ from stie.config import Config
 from stie.operators import candidates, expansion, nearest
 from stie.operators import tracks as T
 from stie.operators.nearest import Rule
-from stie.plans import on_events, on_tracks
+from stie.plans import on_events, on_sightings, on_tracks
 
 COLUMNS = "clip_id int, frame_index int, ts double, scene int, id long, kind string, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -118,3 +118,27 @@ def test_boxes_move_once_for_the_first_lookup_and_not_for_later_ones(spark, monk
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     later = [df._jdf.queryExecution().executedPlan().toString() for df in made[2:]]
     assert later and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in later)
+
+
+def test_the_closest_person_near_a_vehicle(spark):
+    boxes = crowd(spark, 500, 3)
+    people, cars = boxes.where("kind = 'person'"), boxes.where("kind <> 'person'")
+    points = cars.selectExpr("clip_id", "frame_index", "id - 1 - id % 3 as id", "id as vehicle", "x1 + id % 40 as px", "y1 + id % 50 as py", "if(id % 50 = 1, null, x1) as x1", "y1", "x2", "y2")
+    got = {}
+    for r in nearest.closest_near(points, people, T.FRAME, 0.2).collect():
+        one = r.o_id is not None and ((r.ox - r.px) ** 2 + (r.oy - r.py) ** 2, r.o_id)
+        got[r.frame_index, r.vehicle] = min(got.get((r.frame_index, r.vehicle), one), one)
+    stand = {}
+    for r in people.collect():
+        stand.setdefault(r.frame_index, []).append(r)
+    asked = points.collect()
+    for r in asked:
+        gap = lambda p: (max(p.x1 - r.x2, r.x1 - p.x2, 0.0) ** 2 + max(p.y1 - r.y2, r.y1 - p.y2, 0.0) ** 2) ** 0.5  # noqa: E731, B023
+        near = [p for p in stand[r.frame_index] if r.x1 is not None and p.id != r.id and gap(p) <= max(r.x2 - r.x1, r.y2 - r.y1) * 0.2]
+        assert got[r.frame_index, r.vehicle] == min((((p.x1 + p.x2) / 2 - r.px) ** 2 + ((p.y1 + p.y2) / 2 - r.py) ** 2, p.id) for p in near) if near else got[r.frame_index, r.vehicle] is False
+    assert len(got) == len(asked) and any(got.values()) and not all(got.values())
+
+
+def test_returns_make_no_near_pairs(spark, sf, monkeypatch):
+    monkeypatch.setattr(T, "near_pairs", None)
+    assert on_sightings.gap_return(spark, sf).count() > 0
