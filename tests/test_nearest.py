@@ -142,3 +142,30 @@ def test_the_closest_person_near_a_vehicle(spark):
 def test_returns_make_no_near_pairs(spark, sf, monkeypatch):
     monkeypatch.setattr(T, "near_pairs", None)
     assert on_sightings.gap_return(spark, sf).count() > 0
+
+
+def test_the_largest_vehicle_beside_a_person(spark):
+    boxes = crowd(spark, 300, 3, width=900)
+    people, cars = boxes.where("kind = 'person'"), boxes.where("kind <> 'person'")
+    got = {(r.frame_index, r.id): (r.v_id, r.v_x1) for r in nearest.largest_beside(people, cars, T.FRAME, 24.0, 0.12, 0.2).collect()}
+    stand = {}
+    for r in cars.collect():
+        stand.setdefault(r.frame_index, []).append(r)
+    want = {}
+    for p in people.collect():
+        some = []
+        for v in stand[p.frame_index]:
+            level = max(min(p.y2, v.y2) - max(p.y1, v.y1), 0.0)
+            shared = max(min(p.x2, v.x2) - max(p.x1, v.x1), 0.0) * level
+            if shared > 0 or (max(v.x1 - p.x2, p.x1 - v.x2, 0.0) <= max(24.0, 0.12 * (v.x2 - v.x1)) and level >= 0.2 * min(p.y2 - p.y1, v.y2 - v.y1)):
+                some.append((-(v.x2 - v.x1) * (v.y2 - v.y1), -shared, v.id, v.x1))
+        if some:
+            want[p.frame_index, p.id] = min(some)[2:]
+    assert got == want and 0 < len(want) < people.count()
+
+
+def test_seeds_carry_no_frames(spark, sf, monkeypatch):
+    monkeypatch.setattr(T, "pairs", None)
+    found = on_sightings.emergence_chain(spark, sf)
+    assert "boxes" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns[:3] == ["clip_id", "person_id", "vehicle_id"]
