@@ -169,3 +169,32 @@ def test_seeds_carry_no_frames(spark, sf, monkeypatch):
     found = on_sightings.emergence_chain(spark, sf)
     assert "boxes" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.columns[:3] == ["clip_id", "person_id", "vehicle_id"]
+
+
+@pytest.mark.parametrize(("boxes", "width", "frames"), [(300, 60, 2), (250, 900, 3), (250, 2500, 1)])
+def test_nested_boxes_hang_together(spark, boxes, width, frames):
+    rows = crowd(spark, boxes, 6, width=width).where("kind <> 'person'")
+    by_frame, seen = {}, {}
+    for r in rows.collect():
+        by_frame.setdefault(r.frame_index, []).append(r)
+    area = lambda r: (r.x2 - r.x1) * (r.y2 - r.y1)
+    for some in by_frame.values():
+        for i, a in enumerate(some):
+            for b in some[:i]:
+                shared = max(min(a.x2, b.x2) - max(a.x1, b.x1), 0.0) * max(min(a.y2, b.y2) - max(a.y1, b.y1), 0.0)
+                if shared / min(area(a), area(b)) >= 0.8:
+                    seen[a.id, b.id] = seen.get((a.id, b.id), 0) + 1
+    root = {i: i for pair in seen if seen[pair] >= frames for i in pair}
+    for _ in root:
+        for a, b in (p for p in seen if seen[p] >= frames):
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in nearest.nested_components(rows, "clip_id", "frame_index", 0.8, frames).collect()} == root and root
+
+
+def test_aliases_make_no_pairs_inside_a_component(spark, monkeypatch):
+    made, found = [], nearest._named
+    monkeypatch.setattr(nearest, "_named", lambda find, *more: made.append(find) or found(find, *more))
+    rows = crowd(spark, 300, 6, width=60, still=True).where("kind <> 'person'")
+    roots = nearest.nested_components(rows, "clip_id", "frame_index", 0.8, 1)
+    assert made[0] is nearest._first_nested and made[-1] is nearest._all_nested and made.count(nearest._all_nested) == 1
+    assert roots.count() > 0
