@@ -5,7 +5,7 @@ import random
 import pytest
 
 from stie.config import Config
-from stie.operators import candidates, expansion, nearest
+from stie.operators import candidates, events, expansion, nearest
 from stie.operators import tracks as T
 from stie.operators.nearest import Rule
 from stie.plans import on_events, on_sightings, on_tracks
@@ -198,3 +198,17 @@ def test_aliases_make_no_pairs_inside_a_component(spark, monkeypatch):
     roots = nearest.nested_components(rows, "clip_id", "frame_index", 0.8, 1)
     assert made[0] is nearest._first_nested and made[-1] is nearest._all_nested and made.count(nearest._all_nested) == 1
     assert roots.count() > 0
+
+
+def test_close_vehicles_are_looked_up_by_their_ids(spark):
+    boxes = crowd(spark, 120, 3)
+    cars = [r.id for r in boxes.where("kind <> 'person'").select("id").distinct().collect()]
+    asked = spark.createDataFrame([(1, a, b) for a in sorted(cars)[:20] for b in sorted(cars)[20:50]], "clip_id int, vehicle_id long, r_vehicle_id long")
+    at = {(r.frame_index, r.id): r for r in boxes.where("kind <> 'person'").collect()}
+
+    def close(a, b):
+        gap = (max(a.x1 - b.x2, b.x1 - a.x2, 0.0) ** 2 + max(a.y1 - b.y2, b.y1 - a.y2, 0.0) ** 2) ** 0.5
+        return gap / max(a.x2 - a.x1, a.y2 - a.y1, b.x2 - b.x1, b.y2 - b.y1) <= 0.15
+
+    want = {(r.vehicle_id, r.r_vehicle_id) for r in asked.collect() for f in range(3) if (f, r.vehicle_id) in at and (f, r.r_vehicle_id) in at and close(at[f, r.vehicle_id], at[f, r.r_vehicle_id])}
+    assert {(r.vehicle_id, r.r_vehicle_id) for r in events.vehicles_close(asked, boxes).collect()} == want and 0 < len(want) < 600
