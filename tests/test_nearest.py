@@ -5,7 +5,7 @@ import random
 import pytest
 
 from stie.config import Config
-from stie.operators import candidates, events, expansion, nearest
+from stie.operators import candidates, emergence, events, expansion, nearest
 from stie.operators import tracks as T
 from stie.operators.nearest import Rule
 from stie.plans import on_events, on_sightings, on_tracks
@@ -212,3 +212,10 @@ def test_close_vehicles_are_looked_up_by_their_ids(spark):
 
     want = {(r.vehicle_id, r.r_vehicle_id) for r in asked.collect() for f in range(3) if (f, r.vehicle_id) in at and (f, r.r_vehicle_id) in at and close(at[f, r.vehicle_id], at[f, r.r_vehicle_id])}
     assert {(r.vehicle_id, r.r_vehicle_id) for r in events.vehicles_close(asked, boxes).collect()} == want and 0 < len(want) < 600
+
+
+def test_seeds_where_nothing_is_detected(spark):
+    boxes = crowd(spark, 60, 6)
+    seeds = emergence.single_sightings(boxes.where("kind <> 'person' or frame_index = 1"))
+    found = emergence.chains(seeds, boxes, boxes.where("kind = 'person' and frame_index > 900")).collect()
+    assert found and all(len(r.linked) == 1 and r.linked[0].frame == r.frame_index for r in found)
