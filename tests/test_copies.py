@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stie.operators import evaluation, intervals
+from stie.plans import on_spans
+from tests.test_whole_job import write_events
 
 BOUNDS = "clip_id string, event_id long, side int, start_s double, end_s double, type string"
 
@@ -60,3 +62,25 @@ def test_spans_without_other_columns_count_by_copies(spark, held):
     found = intervals.pairs_of_bounds(df, df, ["clip_id"], lambda p: p)
     assert found.columns == ["clip_id", "start_s", "end_s", "r_start_s", "r_end_s"] and found.count() == 25
     assert found.where(F.col("start_s") == F.col("r_start_s")).count() == 13
+
+
+def test_overlaps_of_a_vehicle_are_those_of_trying_all(spark, held, tmp_path):
+    """Copies, ids that repeat, and spans without length; each pair once, the smaller id first."""
+    rng = random.Random(5)
+    kinds = [(rng.randrange(9000), rng.choice([1, 20, 60, 61, 300])) for _ in range(15)] + [(50, 1e-7), (50, 10)]
+    rows = [(len(kinds) * k + i, s, m, "view") for k in range(4) for i, (s, m) in enumerate(kinds)]
+    rows += [rows[3], (rows[3][0], 100, 200, "view")]
+    got = on_spans.interval_overlap_pairs(spark, write_events(spark, tmp_path, rows)).collect()
+    spans = [(i, s, round(s + m * 60, 3)) for i, s, m, _ in rows]
+    expected = [(a[0], b[0], round(min(a[2], b[2]) - max(a[1], b[1]), 3)) for a in spans for b in spans if a[0] < b[0] and a[1] < b[2] and b[1] < a[2]]
+    assert sorted((r.event_id, r.other_id, r.shared) for r in got) == sorted(expected) and len(expected) > 500
+
+
+def test_overlaps_are_judged_once_for_copies(spark, tmp_path, monkeypatch):
+    """What meets is judged by bounds, and in one order only: 30 copies of three spans are 4,005 pairs and six of bounds."""
+    seen, pairs = [], intervals.pairs_of_bounds
+    monkeypatch.setattr(intervals, "TOGETHER", 100)
+    monkeypatch.setattr(intervals, "pairs_of_bounds", lambda left, right, keys, judged: pairs(left, right, keys, lambda p: seen.append(judged(p)) or seen[-1]))
+    rows = [(3 * k + i, 100 + i, 10, "view") for k in range(30) for i in range(3)]
+    assert on_spans.interval_overlap_pairs(spark, write_events(spark, tmp_path, rows)).count() == 90 * 89 // 2
+    assert seen[0].count() == 6
